@@ -66,7 +66,7 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 64, shard_words: int = 32768, max_shards: int = 65536, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0, block: int = 16, shard_words: int = 32768, max_shards: int = 65536, seed: int = 17) -> DataFrame:
     """(doc_id, size, source_size, target, taken, passes, spans): what the mix takes of each document.
 
     Sources in code point order, null last, weigh ``cycle`` in turn. Sizes are words of whole texts.
