@@ -17,13 +17,10 @@ def round_nearest(value: Column, digits: int) -> Column:
 
 
 def round_nearest_text(value: Column, digits: int = 6) -> Column:
-    """The shortest decimal within half a unit of the last digit of the value; at most ``digits`` decimals; 0 if that small."""
+    """The shortest decimal that rounds like the value at ``digits`` decimals (half to even, as printf); 0 if that small."""
     eps = 5.0 * 10.0 ** -(digits + 1)
-    out = F.format_string(f"%.{digits}f", F.bround(value, digits))  # half to even, as printf
-    for d in range(digits - 1, -1, -1):
-        cut = F.round(value, d)
-        out = F.when(F.abs(cut - value) < eps, F.format_string(f"%.{d}f", cut)).otherwise(out)
-    return F.when(F.abs(value) < eps, F.lit("0")).otherwise(out)
+    cut = F.regexp_replace(F.format_string(f"%.{digits}f", F.bround(value, digits)), r"\.?0+$", "") if digits else F.format_string("%.0f", value)
+    return F.when(F.abs(value) < eps, F.lit("0")).otherwise(cut)
 
 
 def thousands(value: Column) -> Column:

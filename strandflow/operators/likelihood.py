@@ -36,27 +36,27 @@ def allele_fraction(hist: Column, ref: Column, alt: Column) -> Column:
     return F.coalesce(F.try_divide(n, n + m), F.lit(0.0))
 
 
-def base_probability(read_base: Column, q: Column, true_base: str) -> Column:
+def base_probability(read_base: Column, q: Column, true_base: Column) -> Column:
     """log10 P(read base | true base): right with 1 - e, each wrong base with e / 3."""
     return F.when(read_base == true_base, _log10(1 - F.pow(F.lit(10.0), -q / 10.0))).otherwise(-q / 10.0 - F.log10(F.lit(3.0)))
 
 
-def genotype_likelihood(hist: Column, ref: Column, genotype: str, f: Column) -> Column:
+def genotype_likelihood(hist: Column, ref: Column, a: Column, b: Column, f: Column) -> Column:
     """A heterozygote with the reference reads its other base at rate f; other genotypes half and half."""
-    a, b = genotype
-    half = F.lit(0.5)
-    if a == b:
-        wa = wb = half
-    else:
-        wa = F.when(ref == a, 1 - f).when(ref == b, f).otherwise(half)
-        wb = F.when(ref == a, f).when(ref == b, 1 - f).otherwise(half)
-    one = lambda h: _log10(wa * F.pow(F.lit(10.0), base_probability(h["base"], h["q"], a)) + wb * F.pow(F.lit(10.0), base_probability(h["base"], h["q"], b)))
-    return F.aggregate(F.filter(hist, lambda h: (h["q"] > 0) & F.instr(F.lit("ACGT"), h["base"]).cast("boolean")), F.lit(0.0), lambda s, h: s + h["n"] * one(h))
+    wa = F.when((a == b) | ((ref != a) & (ref != b)), 0.5).when(ref == a, 1 - f).otherwise(f)
+
+    def one(h: Column) -> Column:
+        e = F.pow(F.lit(10.0), -h["q"] / 10.0)
+        read = lambda x: F.when(h["base"] == x, 1 - e).otherwise(e / 3)
+        return h["n"] * _log10(wa * read(a) + (1 - wa) * read(b))
+
+    return F.aggregate(F.filter(hist, lambda h: (h["q"] > 0) & F.instr(F.lit("ACGT"), h["base"]).cast("boolean")), F.lit(0.0), lambda s, h: s + one(h))
 
 
 def genotype_likelihoods(hist: Column, ref: Column, f: Column) -> Column:
     """array<double> in the fixed order of the ten genotypes."""
-    return F.array(*[genotype_likelihood(hist, ref, g, f) for g in GENOTYPES])
+    names = F.array(*[F.lit(g) for g in GENOTYPES])
+    return F.transform(names, lambda g: genotype_likelihood(hist, ref, F.substring(g, 1, 1), F.substring(g, 2, 1), f))
 
 
 def best_genotype(likelihoods: Column) -> Column:
@@ -108,10 +108,10 @@ def contaminated(hist: Column, ref: Column, alt: Column, fraction: float) -> Col
 
 
 def contaminant_lod(hist: Column, ref: Column, alt: Column, fraction: float, tumor_f: Column) -> Column:
-    changed = contaminated(hist, ref, alt, fraction)
+    """Heterozygote against reference once the pile is contaminated."""
     f = F.least(F.lit(fraction), tumor_f)
-    pick = lambda a, b: F.coalesce(*[F.when(F.array_join(F.array_sort(F.array(a, b)), "") == g, genotype_likelihood(changed, ref, g, f)) for g in GENOTYPES])
-    return pick(ref, alt) - pick(ref, ref)
+    pair = F.transform(F.array(contaminated(hist, ref, alt, fraction)), lambda c: genotype_likelihood(c, ref, ref, alt, f) - genotype_likelihood(c, ref, ref, ref, f))
+    return F.element_at(pair, 1)
 
 
 def alternatives(loci: DataFrame, ref: str = "ref") -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries of the pileup engine and their SQL twins."""
 
-from . import pileup, tables
+from . import calling, pileup, tables
 
-QUERIES = pileup.QUERIES | tables.QUERIES
-SQL = pileup.SQL | tables.SQL
+QUERIES = pileup.QUERIES | tables.QUERIES | calling.QUERIES
+SQL = pileup.SQL | tables.SQL | calling.SQL

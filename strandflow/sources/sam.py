@@ -33,8 +33,8 @@ def scan(spark: SparkSession, path: str | Sequence[str], dictionary: DataFrame |
     f = F.split("value", "\t")
     tags = F.filter(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.instr(t, ":") > 0)
     rows = lines.select(
-        f[0].alias("qname"), f[1].cast("int").alias("flag"), F.when(f[2] != "*", f[2]).alias("contig"), (f[3].cast("int") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"),
-        F.when(f[6] == "=", F.when(f[2] != "*", f[2])).when(f[6] != "*", f[6]).alias("mate_contig"), (f[7].cast("int") - 1).alias("mate_pos"), f[8].cast("int").alias("isize"), F.when(f[9] != "*", f[9]).otherwise("").alias("seq"), decode_quality(f[10]).alias("qual"),
+        F.get(f, F.lit(0)).alias("qname"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.when(F.get(f, F.lit(2)) != "*", F.get(f, F.lit(2))).alias("contig"), (F.get(f, F.lit(3)).cast("int") - 1).alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"), F.get(f, F.lit(5)).alias("cigar"),
+        F.when(F.get(f, F.lit(6)) == "=", F.when(F.get(f, F.lit(2)) != "*", F.get(f, F.lit(2)))).when(F.get(f, F.lit(6)) != "*", F.get(f, F.lit(6))).alias("mate_contig"), (F.get(f, F.lit(7)).cast("int") - 1).alias("mate_pos"), F.get(f, F.lit(8)).cast("int").alias("isize"), F.when(F.get(f, F.lit(9)) != "*", F.get(f, F.lit(9))).otherwise("").alias("seq"), decode_quality(F.get(f, F.lit(10))).alias("qual"),
         F.map_from_entries(F.transform(tags, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))).alias("tags"),
     )
     rows = rows.withColumn("stop", R.alignment_end(F.col("pos"), R.cigar_elements(F.col("cigar"))))

@@ -13,13 +13,13 @@ from ..functions.text import vcf_info
 def parse(lines: DataFrame, keep: Sequence[str] = (), value: str = "value") -> DataFrame:
     """contig, pos (0-based), id, ref, alt (array), qual, filter (array), info (map), format, calls; malformed lines are dropped."""
     f = F.split(value, "\t")
-    ok = (F.size(f) >= 8) & f[1].rlike("^[0-9]+$")
+    ok = (F.size(f) >= 8) & F.get(f, F.lit(1)).rlike("^[0-9]+$")
     none = lambda c: F.when(c != ".", c)
     rows = lines.filter(~F.col(value).startswith("#")).filter(ok)
     items = lambda c, sep: F.when(c == ".", F.array().cast("array<string>")).otherwise(F.split(c, sep))
     return rows.select(
-        *keep, f[0].alias("contig"), (f[1].cast("int") - 1).alias("pos"), none(f[2]).alias("id"), f[3].alias("ref"), items(f[4], ",").alias("alt"), none(f[5]).try_cast("float").alias("qual"),
-        items(f[6], ";").alias("filter"), vcf_info(f[7]).alias("info"), F.when(F.size(f) > 8, F.split(f[8], ":")).alias("format"), F.when(F.size(f) > 9, F.transform(F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(1))), lambda c: F.split(c, ":"))).alias("calls"),
+        *keep, F.get(f, F.lit(0)).alias("contig"), (F.get(f, F.lit(1)).cast("int") - 1).alias("pos"), none(F.get(f, F.lit(2))).alias("id"), F.get(f, F.lit(3)).alias("ref"), items(F.get(f, F.lit(4)), ",").alias("alt"), none(F.get(f, F.lit(5))).try_cast("float").alias("qual"),
+        items(F.get(f, F.lit(6)), ";").alias("filter"), vcf_info(F.get(f, F.lit(7))).alias("info"), F.when(F.size(f) > 8, F.split(F.get(f, F.lit(8)), ":")).alias("format"), F.when(F.size(f) > 9, F.transform(F.slice(f, F.lit(10), F.greatest(F.size(f) - 9, F.lit(1))), lambda c: F.split(c, ":"))).alias("calls"),
     )
 
 
