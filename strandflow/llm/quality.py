@@ -17,7 +17,7 @@ BLOCK = 2048
 class Model:
     """Two dictionaries and a logistic calibration of what they save."""
 
-    def __init__(self, good: bytes, bad: bytes, level: int = 1):
+    def __init__(self, good: bytes, bad: bytes, level: int = 3):
         self.good, self.bad, self.level = good, bad, level
         self.mean, self.scale, self.weight = np.zeros(3), np.ones(3), np.zeros(4)
         self._tools = None

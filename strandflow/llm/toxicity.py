@@ -89,14 +89,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     def rows(docs: list[np.ndarray]) -> np.ndarray:
         return np.stack([np.isin(words, d, assume_unique=True) for d in docs]).astype(float) if len(words) else np.zeros((len(docs), 0))
 
-    w, b = nnpu(rows(positive), rows(unlabelled), prior)
+    xp, xu = rows(positive), rows(unlabelled)
+    seen = (xp.sum(1) > 0).mean()
+    if seen:  # what share of unlabelled text can be toxic at all, if toxic text holds these words as often as confirmed text
+        prior = min(prior, max(0.005, (xu.sum(1) > 0).mean() / seen))
+    w, b = nnpu(xp, xu, prior)
     return Model(words, w, b)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, folds: int = 5, held_fold: int = 0) -> Model:
     """Fit on at most ``most`` confirmed toxic and 3 * ``most`` unlabelled texts outside the held-out fold, picked by a hash of doc_id.
 
-    The class prior is the share of toxic rows among the labels outside the held-out fold.
+    The class prior is the share of toxic rows among the labels outside the held-out fold, or what
+    the unlabelled texts' words allow, whichever is less.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
