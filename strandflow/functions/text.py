@@ -19,7 +19,9 @@ def round_nearest(value: Column, digits: int) -> Column:
 def round_nearest_text(value: Column, digits: int = 6) -> Column:
     """The shortest decimal that rounds like the value at ``digits`` decimals (half to even, as printf); 0 if that small."""
     eps = 5.0 * 10.0 ** -(digits + 1)
-    cut = F.regexp_replace(F.format_string(f"%.{digits}f", F.bround(value, digits)), r"\.?0+$", "") if digits else F.format_string("%.0f", value)
+    tie = value * 2.0 ** (digits + 1)  # halves that are exact in binary go to even, as printf has it
+    exact = F.when(tie == F.floor(tie), F.bround(value, digits)).otherwise(value)
+    cut = F.regexp_replace(F.format_string(f"%.{digits}f", exact), r"\.?0+$", "") if digits else F.format_string("%.0f", F.rint(value))
     return F.when(F.abs(value) < eps, F.lit("0")).otherwise(cut)
 
 

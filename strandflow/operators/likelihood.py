@@ -13,6 +13,11 @@ def _log10(x: Column) -> Column:
     return F.when(x > 0, F.log10(x)).otherwise(F.lit(float("-inf")))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once: inside lambdas a plain expression would be repeated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def read_log_likelihood(base: Column, q: Column, ref: Column, alt: Column, f: Column) -> Column:
     """Of one read for alt fraction f; bases that are neither add nothing."""
     e = F.pow(F.lit(10.0), -q / 10.0)
@@ -20,7 +25,7 @@ def read_log_likelihood(base: Column, q: Column, ref: Column, alt: Column, f: Co
 
 
 def log_likelihood(hist: Column, ref: Column, alt: Column, f: Column) -> Column:
-    return F.aggregate(hist, F.lit(0.0), lambda a, h: a + h["n"] * read_log_likelihood(h["base"], h["q"], ref, alt, f))
+    return let(f, lambda v: F.aggregate(hist, F.lit(0.0), lambda a, h: a + h["n"] * read_log_likelihood(h["base"], h["q"], ref, alt, v)))
 
 
 def lod(hist: Column, ref: Column, alt: Column, f: Column, f0: Column | None = None) -> Column:
@@ -43,14 +48,15 @@ def base_probability(read_base: Column, q: Column, true_base: Column) -> Column:
 
 def genotype_likelihood(hist: Column, ref: Column, a: Column, b: Column, f: Column) -> Column:
     """A heterozygote with the reference reads its other base at rate f; other genotypes half and half."""
-    wa = F.when((a == b) | ((ref != a) & (ref != b)), 0.5).when(ref == a, 1 - f).otherwise(f)
+    share = F.when((a == b) | ((ref != a) & (ref != b)), 0.5).when(ref == a, 1 - f).otherwise(f)
 
-    def one(h: Column) -> Column:
+    def one(h: Column, wa: Column) -> Column:
         e = F.pow(F.lit(10.0), -h["q"] / 10.0)
         read = lambda x: F.when(h["base"] == x, 1 - e).otherwise(e / 3)
-        return h["n"] * _log10(wa * read(a) + (1 - wa) * read(b))
+        # both alleles wrong or both right: no weight matters; never 0 as qualities are over 0
+        return F.when((h["q"] > 0) & (F.instr(F.lit("ACGT"), h["base"]) > 0), h["n"] * F.log10(wa * read(a) + (1 - wa) * read(b))).otherwise(0.0)
 
-    return F.aggregate(F.filter(hist, lambda h: (h["q"] > 0) & F.instr(F.lit("ACGT"), h["base"]).cast("boolean")), F.lit(0.0), lambda s, h: s + one(h))
+    return let(share, lambda wa: F.aggregate(hist, F.lit(0.0), lambda s, h: s + one(h, wa)))
 
 
 def genotype_likelihoods(hist: Column, ref: Column, f: Column) -> Column:
@@ -109,9 +115,8 @@ def contaminated(hist: Column, ref: Column, alt: Column, fraction: float) -> Col
 
 def contaminant_lod(hist: Column, ref: Column, alt: Column, fraction: float, tumor_f: Column) -> Column:
     """Heterozygote against reference once the pile is contaminated."""
-    f = F.least(F.lit(fraction), tumor_f)
-    pair = F.transform(F.array(contaminated(hist, ref, alt, fraction)), lambda c: genotype_likelihood(c, ref, ref, alt, f) - genotype_likelihood(c, ref, ref, ref, f))
-    return F.element_at(pair, 1)
+    diff = lambda c, f: genotype_likelihood(c, ref, ref, alt, f) - genotype_likelihood(c, ref, ref, ref, f)
+    return let(contaminated(hist, ref, alt, fraction), lambda c: let(F.least(F.lit(fraction), tumor_f), lambda f: diff(c, f)))
 
 
 def alternatives(loci: DataFrame, ref: str = "ref") -> DataFrame:

@@ -47,7 +47,7 @@ def samples(pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
 def combine(per_sample: DataFrame) -> DataFrame:
     """One row a site: quality shares summed over samples, alleles (reference first, then by share), summed counts."""
     sums = per_sample.withColumn("total", F.aggregate("qsum", F.lit(0).cast("long"), lambda a, x: a + x))
-    share = lambda i: F.sum(F.when(F.col("total") > 0, F.round(F.col("qsum")[i] / F.col("total"), 9)).otherwise(0.0))
+    share = lambda i: F.sum(F.when(F.col("total") > 0, F.col("qsum")[i] / F.col("total")).otherwise(0.0))
     site = sums.groupBy("tid", "p", "ref").agg(F.array(*[share(i) for i in range(4)]).alias("qs"), F.sum("depth").alias("depth"), F.sum("mq0").alias("mq0"), F.array(*[F.sum(F.col("anno")[i]) for i in range(12)]).alias("anno"), F.array_sort(F.collect_list(F.struct("sample", "qsum", "adf", "adr", "anno", "bases"))).alias("samples"))
     others = F.filter(F.transform("qs", lambda q, i: F.struct((-q).alias("k"), (-i).alias("i"), F.substring(F.lit(BASES), i + 1, F.lit(1)).alias("b"))), lambda x: (x["k"] < 0) & (x["b"] != F.col("ref")))
     alts = F.transform(F.array_sort(others), lambda x: x["b"])

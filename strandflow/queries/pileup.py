@@ -262,7 +262,7 @@ def depths(spark, sf):
     return P.depth_by_boundaries(spans).select("depth").distinct()
 
 
-@query(DEPTHS + ", x AS (SELECT depth, CAST(unnest(generate_series(0, depth)) AS INT) AS k FROM d) SELECT depth, k, round(" + PMF.format(p="0.31") + ", 9) AS pmf FROM x")
+@query(DEPTHS + ", x AS (SELECT depth, CAST(unnest(generate_series(0, depth)) AS INT) AS k FROM d) SELECT depth, k, round(" + PMF.format(p="0.31") + ", 7) AS pmf FROM x")
 def binomial_pmf(spark, sf):
     import pandas as pd
 
@@ -274,7 +274,7 @@ def binomial_pmf(spark, sf):
                 p = binomial(int(n), 0.31)
                 yield pd.DataFrame({"depth": int(n), "k": range(len(p)), "pmf": p})
 
-    return depths(spark, sf).mapInPandas(run, "depth bigint, k int, pmf double").select("depth", "k", F.round("pmf", 9).alias("pmf"))
+    return depths(spark, sf).mapInPandas(run, "depth bigint, k int, pmf double").select("depth", "k", F.round("pmf", 7).alias("pmf"))
 
 
 def power_sql(p: str, lod: str, threshold: float, flip: bool) -> str:
