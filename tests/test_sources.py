@@ -82,3 +82,33 @@ def test_levelled_reads(spark):
     r = spark.createDataFrame([(0, i // 10, 50, i) for i in range(40)], "k int, pos int, stop int, i int")
     out = downsample.levelled(r, ["k"], "pos", ["i"], 12).toPandas()
     assert len(out) == 12 and (out.groupby("pos").size() == 3).all()
+
+
+def bgzf(raw: bytes) -> bytes:
+    import struct
+    import zlib
+
+    out = b""
+    for at in range(0, len(raw), 60):
+        part = raw[at : at + 60]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_bam(spark, tmp_path):
+    import struct
+
+    from strandflow.sources.bam import BamSource
+
+    head = b"@HD\tVN:1.0\n"
+    raw = b"BAM\x01" + struct.pack("<i", len(head)) + head + struct.pack("<ii", 1, 5) + b"chr1\0" + struct.pack("<i", 100)
+    for i in range(20):
+        name, ops, seq = f"r{i}".encode() + b"\0", [(5 << 4) | 0, (2 << 4) | 2, (3 << 4) | 0], "ACGTACGT"
+        body = struct.pack("<iiBBHHHiiii", 0, i, len(name), 60, 0, len(ops), 99, len(seq), -1, -1, 7) + name + struct.pack("<3I", *ops) + bytes("=ACMGRSVTWYHKDBN".index(seq[k]) << 4 | "=ACMGRSVTWYHKDBN".index(seq[k + 1]) for k in range(0, 8, 2)) + bytes([30] * 8) + b"RGZx\0NMi" + struct.pack("<i", 2) + b"ZZBs" + struct.pack("<ihh", 2, 1, -1)
+        raw += struct.pack("<i", len(body)) + body
+    (tmp_path / "a.bam").write_bytes(bgzf(raw))
+    spark.dataSource.register(BamSource)
+    rows = spark.read.format("strandflow_bam").load(str(tmp_path / "a.bam")).orderBy("pos").collect()
+    assert len(rows) == 20 and rows[3]["qname"] == "r3" and rows[3]["cigar"] == "5M2D3M" and rows[3]["seq"] == "ACGTACGT" and rows[3]["stop"] == 12 and rows[3]["tags"] == {"RG": "x", "NM": "2", "ZZ": "s,1,-1"} and rows[3]["contig"] == "chr1" and rows[3]["qual"] == [30] * 8
