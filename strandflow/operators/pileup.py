@@ -139,7 +139,7 @@ def window_mismatch_quality(rows: DataFrame, keys: Sequence[str], at: Column, re
 
 
 def indel_ahead(elements: Column) -> Column:
-    """array<struct<ref0, length>>: the indel that follows the base before it (insertions positive), as samtools marks it."""
+    """array<struct<ref0, length>>: the indel that follows the base before it (insertions positive)."""
     b = R.blocks(elements)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(b) - 1, F.lit(1))), lambda i: F.struct(F.try_element_at(b, i).alias("x"), F.try_element_at(b, i + 1).alias("y")))
     hits = F.filter(pairs, lambda v: F.instr(F.lit("M=X"), v["x"]["op"]) > 0)
