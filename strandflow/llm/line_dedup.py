@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, filter_bits, materialize, may_be_in
+from .common import _BLOCK_BITS, bit_filter, filter_bits, has_bit, let, materialize, may_be_in
 
 
 def chunks(text: Column, window: int = 2, mask: int = 3, least: int = 2) -> Column:
@@ -15,20 +15,21 @@ def chunks(text: Column, window: int = 2, mask: int = 3, least: int = 2) -> Colu
     its low bits are 0 (one line in mask + 1 on average), so inserted lines shift no later boundary.
     Chunks of fewer than ``least`` lines are given too; callers leave them alone.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    hashes = F.transform(lines, lambda x: F.xxhash64(x))
-    n = F.size(lines)
+    body = F.coalesce(text, F.lit(""))
 
-    def ends(h: Column, i: Column) -> Column:
-        mixed = h
-        for k in range(1, window):
-            mixed = F.xxhash64(mixed, F.try_element_at(hashes, i + 1 - k))
-        return (i + window > window) & (F.pmod(mixed, F.lit(mask + 1)) == 0)
+    def of_lines(lines: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), window - 1).alias("last"), F.array().cast("array<int>").alias("stops"))
 
-    flags = F.transform(hashes, ends)
-    stops = F.filter(F.transform(flags, lambda f, i: F.when(f | (i == n - 1), i + 1)), lambda x: x.isNotNull())
-    starts = F.concat(F.array(F.lit(0)), F.slice(stops, F.lit(1), F.size(stops) - 1))
-    return F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("at"), (b - a).alias("lines"), F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("text")))
+        def step(a: Column, line: Column) -> Column:
+            h = F.xxhash64(line)
+            ends = F.pmod(F.xxhash64(h, a["last"]), F.lit(mask + 1)) == 0
+            stops = F.when(ends, F.array_append(a["stops"], a["i"] + 1)).otherwise(a["stops"])
+            return F.struct((a["i"] + 1).alias("i"), F.slice(F.array_prepend(a["last"], h), F.lit(1), F.lit(window - 1)).alias("last"), stops.alias("stops"))
+
+        cut = F.aggregate(lines, zero, step, lambda a: F.when(F.element_at(F.concat(F.array(F.lit(0)), a["stops"]), -1) == a["i"], a["stops"]).otherwise(F.array_append(a["stops"], a["i"])))
+        return let(cut, lambda stops: F.transform(stops, lambda stop, k: let(F.coalesce(F.get(stops, k - 1), F.lit(0)), lambda at: F.struct(at.alias("at"), (stop - at).alias("lines"), F.array_join(F.slice(lines, at + 1, stop - at), "\n").alias("text")))))
+
+    return let(F.split(body, "\n", -1), of_lines)
 
 
 def repeated_chunks(docs: DataFrame, window: int = 2, mask: int = 3, least: int = 2) -> DataFrame:
@@ -61,8 +62,6 @@ def dedup_lines(docs: DataFrame, window: int = 2, mask: int = 3, least: int = 2)
     per = materialize(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("cuts")), "cuts")
     bits = filter_bits(per.count())
     slim = docs.select("doc_id", "text")
-    from .common import _BLOCK_BITS, has_bit
-
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     placed = slim.withColumn("f_block", (bit / _BLOCK_BITS).cast("int")).withColumn("f_bit", F.pmod(bit, F.lit(_BLOCK_BITS)))
     placed = placed.join(F.broadcast(bit_filter(per, F.col("doc_id"), bits)), "f_block", "left").withColumn("f_hit", has_bit(F.col("f_map"), F.col("f_bit"))).select("doc_id", "text", "f_hit")
