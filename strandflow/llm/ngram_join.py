@@ -61,12 +61,20 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets meet the threshold, compared in full."""
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, i, diff): sizes and intersection of each pair, compared in full.
+
+    diff is the symmetric difference, kept where the sets share at least half of the larger one.
+    """
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("i", inter).filter(F.col("i") * 100 >= (F.size("sa") + F.size("sb") - F.col("i")) * percent).select("a", "b")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    diff = F.when(F.col("i") * 2 >= F.greatest(F.size("sa"), F.size("sb")), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), "i", diff.alias("diff"))
+
+
+def _linked(percent: int) -> Column:
+    return F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, pivot_rounds: int = 4) -> DataFrame:
@@ -98,14 +106,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, extra
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    compared: DataFrame | None = None
     open_regions = regions.withColumn("component", F.col("doc_id"))
     for turn in range(pivot_rounds):
         # the pivot: the set with most of its shingles in company, another one each turn
-        order = F.struct((F.col("score") if turn % 2 == 0 else F.lit(0.0)).alias("s"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        if turn == 1:  # few sets are left: the mean company of all their shingles finds the middle of a group,
+            # and all of them are compared with it, those of its class too, as its cell is joined in the end
+            open_regions = materialize(open_regions.drop("score").join(_company(open_regions, sets), "doc_id"), "open")
+        order = F.struct((F.col("score") if turn < 2 else F.lit(0.0)).alias("s"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
         pivots = open_regions.groupBy("token").agg(F.max(order).alias("pivot"))
-        near = open_regions.join(pivots, "token").filter((F.col("component") != F.col("pivot.pc")) & _sizes_fit("n", "pivot.pn", percent)).select("doc_id", "n", F.col("pivot.p").alias("p"), F.col("pivot.pn").alias("pn"))
+        near = open_regions.join(pivots, "token").filter(((F.col("component") != F.col("pivot.pc")) | F.lit(turn == 1)) & (F.col("doc_id") != F.col("pivot.p")) & _sizes_fit("n", "pivot.pn", percent)).select("doc_id", "n", F.col("pivot.p").alias("p"), F.col("pivot.pn").alias("pn"))
         pairs = near.groupBy(F.col("doc_id").alias("a"), F.col("p").alias("b"), "n", "pn").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 2 >= share(F.least("n", "pn"))).select("a", "b")
-        found = materialize(_verify(pairs, sets, percent), "links")
+        seen = materialize(_compare(pairs, sets), "compared")
+        compared = seen if compared is None else compared.unionByName(seen)
+        found = seen.filter(_linked(percent)).select("a", "b")
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
@@ -115,8 +129,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, extra
         if open_regions.isEmpty():
             break
     if links is None or not open_regions.isEmpty():
-        rest = _rarest_pairs(open_regions, sets, percent)
-        found = materialize(_verify(rest, sets, percent), "links")
+        left = materialize(_with_cells(open_regions.select("doc_id", "n", "component").distinct(), compared), "left")
+        rest = _cell_pairs(left, percent).unionByName(_rarest_pairs(left, sets, percent)).distinct()
+        found = materialize(_compare(rest, sets).filter(_linked(percent)).select("a", "b"), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
@@ -140,18 +155,57 @@ def _unsettled(regions: DataFrame, least: Column) -> DataFrame:
     return materialize(rows.join(mixed, "token"), "open")
 
 
-def _rarest_pairs(open_regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that may link, from the shingles that fewest of these sets hold."""
-    docs = materialize(open_regions.select("doc_id", "n", "component").distinct(), "left")
-    rows = materialize(docs.join(sets, "doc_id").select("doc_id", "n", "component", F.explode("members").alias("token")), "members")
+def _company(open_regions: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, score): in how many of these sets a shingle of the set stands, on average over the whole set."""
+    rows = materialize(open_regions.select("doc_id").distinct().join(sets, "doc_id").select("doc_id", F.explode("members").alias("token")), "members")
+    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return rows.join(df, "token").groupBy("doc_id").agg(F.avg("df").alias("score"))
+
+
+def _with_cells(docs: DataFrame, compared: DataFrame) -> DataFrame:
+    """Sets with the cell of the nearest pivot they were compared with: p, its size pn and their difference from it."""
+    near = compared.filter("diff is not null").select(F.col("a").alias("doc_id"), F.struct("b", "nb", "diff").alias("cell"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"), F.col("b").alias("tie"))
+    own = compared.filter("diff is not null").select("b", "nb").distinct().select(F.col("b").alias("doc_id"), F.struct("b", "nb", F.array().cast("array<bigint>").alias("diff")).alias("cell"), F.lit(1.0).alias("j"), F.col("b").alias("tie"))
+    best = near.unionByName(own).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("cell", F.struct("j", "tie")).alias("cell"))
+    return docs.join(best, "doc_id", "left").select("doc_id", "n", "component", F.col("cell.b").alias("p"), F.col("cell.nb").alias("pn"), F.col("cell.diff").alias("diff"))
+
+
+def _cell_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes in one pivot's cell that may link, by what they differ in from the pivot.
+
+    For sets x, y with differences X, Y from the pivot, |x ^ y| = |X| + |Y| - 2 |X & Y|, and a link
+    needs |x ^ y| <= r (|x| + |y|), r = (100 - percent) / (100 + percent). If both are linked to the
+    pivot they are of one class already, so one of them, x, has |X| > r (|x| + |p|). With s the
+    number of members of Y that another class has too, |X & Y| <= s gives |Y| - 2 s < r (|y| - |p|):
+    only such y are candidates, and they must share a member of X.
+    """
+    lo, hi = 100 - percent, 100 + percent
+    rows = left.filter("p is not null").select("doc_id", "n", "component", "p", "pn", F.size("diff").alias("d"), F.explode("diff").alias("token"))
+    rows = materialize(rows, "differences")
+    common = rows.groupBy("p", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("p", "token")
+    kept = materialize(rows.join(common, ["p", "token"]), "shared-differences")
+    size = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("s"))
+    kept = kept.join(size, "doc_id")
+    far = kept.filter(F.col("d") * hi > (F.col("n") + F.col("pn")) * lo)
+    other = kept.filter((F.col("d") - 2 * F.col("s")) * hi < (F.col("n") - F.col("pn")) * lo).select("p", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("d").alias("db"), F.col("s").alias("sb"))
+    may = (F.col("d") + F.col("db") - 2 * F.least("s", "sb")) * hi <= (F.col("n") + F.col("nb")) * lo
+    return far.join(other, ["p", "token"]).filter((F.col("component") != F.col("cb")) & _sizes_fit("n", "nb", percent) & may).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def _rarest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes and different cells that may link, from the shingles that fewest of these sets hold."""
+    rows = materialize(left.select("doc_id", "n", "component", "p").join(sets, "doc_id").select("doc_id", "n", "component", "p", F.explode("members").alias("token")), "members")
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token", "df")
     kept = rows.join(df, "token")
     # position in the order (count, hash); shingles that one class alone holds come first
-    per = kept.groupBy("doc_id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    per = kept.groupBy("doc_id", "n", "component", "p").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     room = F.col("n") - _col_needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("order"))
-    heads = materialize(per.filter(room > 0).select("doc_id", "n", "component", F.explode(F.slice("order", F.lit(1), room.cast("int"))).alias("o")).select("doc_id", "n", "component", "o.token"), "heads")
-    other = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "token")
-    pairs = heads.join(other, "token").filter((F.col("component") < F.col("cb")) & _sizes_fit("n", "nb", percent))
+    heads = materialize(per.filter(room > 0).select("doc_id", "n", "component", "p", F.size("order").alias("s"), F.explode(F.slice("order", F.lit(1), room.cast("int"))).alias("o")).select("doc_id", "n", "component", "p", "s", "o.token"), "heads")
+    other = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("p").alias("pb"), F.col("s").alias("sb"), "token")
+    most = F.least("s", "sb")  # they share no more than what other classes hold
+    may = most * 100 >= (F.col("n") + F.col("nb") - most) * percent
+    apart = F.col("p").isNull() | F.col("pb").isNull() | (F.col("p") != F.col("pb"))
+    pairs = heads.join(other, "token").filter((F.col("component") < F.col("cb")) & apart & _sizes_fit("n", "nb", percent) & may)
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
