@@ -1,65 +1,70 @@
-"""Line-level deduplication by content-defined chunks (DataFrame functions only)."""
+"""Line-level deduplication by runs of lines (DataFrame functions only)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import _BLOCK_BITS, bit_filter, filter_bits, has_bit, let, materialize, may_be_in
 
 
-def chunks(text: Column, window: int = 2, mask: int = 3, least: int = 2) -> Column:
-    """Chunks of a text as structs (at, lines, text): runs of lines between content-defined boundaries.
+def runs(text: Column, least: int = 2, words: int = 50) -> Column:
+    """Passages of a text as structs (at, lines, text): every run of ``least`` lines, and every line of ``words`` words or more.
 
-    Lines end at \\n. A rolling hash over the hashes of the last ``window`` lines ends a chunk where
-    its low bits are 0 (one line in mask + 1 on average), so inserted lines shift no later boundary.
-    Chunks of fewer than ``least`` lines are given too; callers leave them alone.
+    Lines end at \\n; words stand between blanks. A run begins at each line, so a longer passage
+    is all the runs in it, whatever stands before or after it.
     """
     body = F.coalesce(text, F.lit(""))
 
     def of_lines(lines: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), window - 1).alias("last"), F.array().cast("array<int>").alias("stops"))
-
-        def step(a: Column, line: Column) -> Column:
-            h = F.xxhash64(line)
-            ends = F.pmod(F.xxhash64(h, a["last"]), F.lit(mask + 1)) == 0
-            stops = F.when(ends, F.array_append(a["stops"], a["i"] + 1)).otherwise(a["stops"])
-            return F.struct((a["i"] + 1).alias("i"), F.slice(F.array_prepend(a["last"], h), F.lit(1), F.lit(window - 1)).alias("last"), stops.alias("stops"))
-
-        cut = F.aggregate(lines, zero, step, lambda a: F.when(F.element_at(F.concat(F.array(F.lit(0)), a["stops"]), -1) == a["i"], a["stops"]).otherwise(F.array_append(a["stops"], a["i"])))
-        return let(cut, lambda stops: F.transform(stops, lambda stop, k: let(F.coalesce(F.get(stops, k - 1), F.lit(0)), lambda at: F.struct(at.alias("at"), (stop - at).alias("lines"), F.array_join(F.slice(lines, at + 1, stop - at), "\n").alias("text")))))
+        last = F.size(lines) - least
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        short = F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(least).alias("lines"), F.array_join(F.slice(lines, at + 1, least), "\n").alias("text")))
+        alone = F.transform(lines, lambda x, at: F.struct(at.alias("at"), F.lit(1).alias("lines"), x.alias("text")))
+        enough = lambda x: (F.length(x) >= 2 * words - 1) & (F.size(F.split(F.trim(x), r"\s+")) >= words)
+        return F.concat(short, F.filter(alone, lambda c: enough(c["text"])))
 
     return let(F.split(body, "\n", -1), of_lines)
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, mask: int = 3, least: int = 2) -> DataFrame:
-    """(doc_id, at, lines): every chunk of at least ``least`` lines that stands earlier too; earliest is the smallest (doc_id, at).
+def repeated_runs(docs: DataFrame, least: int = 2, words: int = 50) -> DataFrame:
+    """(doc_id, at, lines): every run or long line that stands earlier too; earliest is the smallest (doc_id, at).
 
-    Chunk hashes are counted over all documents first; only chunks whose hash may repeat (a bit
-    filter of fixed size) are gathered with their text, grouped by hash and text, which compares
-    bytes.
+    Hashes are counted over all documents first; only runs whose hash may repeat (a bit filter of
+    fixed size) are gathered with their text, grouped by hash and text, which compares bytes. Runs
+    meet their earliest copy again by the SHA-256 of the text.
     """
-    cut = docs.select("doc_id", F.explode(chunks(F.col("text"), window, mask, least)).alias("c")).select("doc_id", "c.at", "c.lines", F.col("c.text").alias("body")).filter((F.col("lines") >= least) & F.col("doc_id").isNotNull())
+    cut = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(runs(F.col("text"), least, words)).alias("c")).select("doc_id", "c.at", "c.lines", F.col("c.text").alias("body"))
     cut = cut.withColumn("h", F.xxhash64("body"))
-    hits = materialize(cut.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "chunk-hits")
+    hits = materialize(cut.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "run-hits")
     bits = filter_bits(hits.count())
-    maybe = materialize(may_be_in(cut, F.col("h"), bit_filter(hits, F.col("h"), bits), bits), "chunks")
+    maybe = materialize(may_be_in(cut, F.col("h"), bit_filter(hits, F.col("h"), bits), bits), "runs")
+    sha = F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha")
     first = maybe.groupBy("h", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = materialize(first.select("h", F.xxhash64("body", F.lit(1)).alias("h2"), F.length("body").alias("size"), "first"), "firsts")
-    same = maybe.select("doc_id", "at", "lines", "h", F.xxhash64("body", F.lit(1)).alias("h2"), F.length("body").alias("size"))
-    return same.join(first, ["h", "h2", "size"]).filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "lines")
+    first = materialize(first.select("h", sha, "first"), "firsts")
+    same = maybe.select("doc_id", "at", "lines", "h", sha)
+    return same.join(first, ["h", "sha"]).filter(F.struct("doc_id", "at") != F.col("first")).select("doc_id", "at", "lines")
+
+
+def _merged(gone: DataFrame) -> DataFrame:
+    """(doc_id, cuts): the runs of each document as sorted (at, lines) that do not overlap."""
+    lines = gone.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("line")).distinct()
+    block = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    spans = lines.withColumn("block", block).groupBy("doc_id", "block").agg(F.min("line").alias("at"), F.count(F.lit(1)).cast("int").alias("lines"))
+    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "lines"))).alias("cuts"))
 
 
-def dedup_lines(docs: DataFrame, window: int = 2, mask: int = 3, least: int = 2) -> DataFrame:
-    """(doc_id, text, n_lines, removed): texts without the chunks that stand earlier in the corpus.
+def dedup_lines(docs: DataFrame, least: int = 2, words: int = 50) -> DataFrame:
+    """(doc_id, text, n_lines, removed): texts without the passages that stand earlier in the corpus.
 
-    The copy in the smallest doc_id stays (of one document, the first). Chunks of one line stay, as
-    do all texts without repeats, a null text as null. Rows that repeat a doc_id are read as one
+    A passage is ``least`` lines or more in a row, or one line of at least ``words`` words. The copy
+    in the smallest doc_id stays (of one document, the first); where passages overlap, the first
+    copy of every line stays. Shorter lines that repeat alone stay, as do all texts without
+    repeats, a null text as null. Rows that repeat a doc_id are read as one
     document: what is removed goes from each of them. An empty table gives no rows. Other columns
     are not read.
     """
-    gone = materialize(repeated_chunks(docs, window, mask, least), "gone")
-    per = materialize(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("cuts")), "cuts")
+    per = materialize(_merged(repeated_runs(docs, least, words)), "cuts")
     bits = filter_bits(per.count())
     slim = docs.select("doc_id", "text")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))

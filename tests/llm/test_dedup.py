@@ -116,6 +116,35 @@ def test_line_dedup_removes_later_copies_of_multi_line_chunks(spark):
         assert [x for x in kept if x not in shared] == [x for x in texts[i].split("\n") if x not in shared]
 
 
+def lines_left(texts, least=2, words=50):
+    seen, out = set(), []
+    for t in texts:
+        ls, gone = (t or "").split("\n"), set()
+        for i in range(len(ls)):
+            for n in [least] * (i + least <= len(ls)) + [1] * (len(ls[i].split()) >= words):
+                run = (n, *ls[i : i + n])
+                gone |= set(range(i, i + n)) if run in seen else set()
+                seen.add(run)
+        out.append((None if t is None else "\n".join(x for i, x in enumerate(ls) if i not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup_removes_short_passages_and_long_lines_whole(spark):
+    rnd = random.Random(6)
+    line = lambda n=6: " ".join(str(rnd.randrange(1000)) for _ in range(n))
+    some = lambda n: [line() for _ in range(n)]
+    texts = []
+    for size in (2, 3, 4, 6, 10):
+        shared = some(size)
+        texts += ["\n".join(some(rnd.randint(1, 4)) + shared + some(rnd.randint(1, 4))) for _ in range(4)]
+    long, short, almost = line(50), line(), line(49)
+    texts += ["\n".join([line(), x, line()]) for x in (long, short, almost) for _ in range(3)] + [long, long, texts[0], "\n".join(["a"] * 4)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows_of(texts))).collect()}
+    want = lines_left(texts)
+    assert [(out[i]["text"], out[i]["removed"]) for i in range(len(texts))] == want
+    assert sum(n for _, n in want) == 3 * (2 + 3 + 4 + 6 + 10) + 2 + 2 + len(texts[0].split("\n")) + 3
+
+
 def test_embedding_links_match_brute_force(spark):
     import numpy as np
 
