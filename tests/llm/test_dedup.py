@@ -168,3 +168,20 @@ def test_embedding_links_match_brute_force(spark):
     whole = embed_dedup.near_duplicates(df, per_cell=10**6)
     assert {r["vec_id"]: r["n_links"] for r in whole.collect() if r["vec_id"] < 1000} == {i: int(sim[i].sum()) for i in range(len(x))}
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_links_are_complete_with_dozens_of_cells_and_a_hot_group(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=24)
+    x = np.concatenate([hot + rng.normal(size=(500, 24)) * rng.choice([0.1, 0.25], (500, 1)), rng.normal(size=(600, 24))])
+    x = np.concatenate([x, x[500:900] + rng.normal(size=(400, 24)) * 0.3])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, [float(z) for z in v], 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    sim = x @ x.T >= 0.93
+    np.fill_diagonal(sim, False)
+    want = components(len(x), [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(sim)), strict=True)])
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df, per_cell=25, block=64).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == sim.sum(1).tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == want
