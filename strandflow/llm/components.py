@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's greater neighbours meet the smallest node of its neighbourhood instead of the node."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours meet the smallest of them; edges come as (greater, smaller)."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return least.withColumnRenamed("m", "b").unionByName(others).distinct()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) edges to (node, component): component is the smallest node reachable.
 
-    Each round takes the smallest label among neighbours and then the label of that label (pointer
-    jumping), so long chains shorten geometrically. Labels are written to the shared folder each
-    round. Self loops and null ends are ignored; nodes without edges do not appear.
+    Large stars and small stars alternate (Kiveris et al.) until every node hangs on its smallest
+    one, so rounds grow with the logarithm of the size and no number of rounds is too many; the
+    edges never become more. They are written to the shared folder each time. Self loops and null
+    ends are ignored; nodes without edges do not appear.
     """
     e = edges.select("a", "b").filter(F.col("a") != F.col("b"))
-    both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = materialize(step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
-        if labels.filter(F.col("was") != F.col("component")).isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while True:
+        e = materialize(_small_star(materialize(_large_star(e), "large-star")), "small-star")
+        roots = e.select(F.col("b").alias("a")).distinct()
+        # done when each node has one edge and no root hangs on another
+        if e.groupBy("a").count().filter("count > 1").isEmpty() and e.join(roots, "a", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select(F.col("a").alias("node"), F.col("a").alias("component")))

@@ -185,3 +185,14 @@ def test_embedding_links_are_complete_with_dozens_of_cells_and_a_hot_group(spark
     got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(df, per_cell=25, block=64).collect()}
     assert [got[i]["n_links"] for i in range(len(x))] == sim.sum(1).tolist()
     assert [got[i]["component_id"] for i in range(len(x))] == want
+
+
+def test_components_of_a_long_path(spark):
+    from strandflow.llm.components import connected_components
+
+    ids = list(range(4000))
+    random.Random(7).shuffle(ids)
+    path, ring = ids[:3000], sorted(ids[3000:])
+    edges = [*zip(path, path[1:], strict=False), *zip(ring, ring[1:] + ring[:1], strict=True), (5, 5), (None, 3), (path[0], path[1])]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: min(path) for i in path} | {i: min(ring) for i in ring}
