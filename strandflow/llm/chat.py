@@ -37,7 +37,7 @@ def _some(text: Column) -> Column:
     return F.coalesce(text, F.lit("")) != ""
 
 
-#: layout -> (field paths, turns of an accessor of paths). Mappings are data: another layout is another entry.
+#: layout -> (required field paths, turns of an accessor of paths). Mappings are data: another layout is another entry.
 LAYOUTS: dict[str, tuple[list[str], str]] = {
     "prompt_response": (["prompt", "response"], "pair:prompt,response"),
     "prompt_completion": (["completion", "prompt"], "pair:prompt,completion"),
@@ -48,8 +48,17 @@ LAYOUTS: dict[str, tuple[list[str], str]] = {
     "messages_role_content": (["messages[].content", "messages[].role"], "list:messages,role,content"),
     "messages_role_text": (["messages[].role", "messages[].text"], "list:messages,role,text"),
     "conversations_from_value": (["conversations[].from", "conversations[].value"], "list:conversations,from,value"),
+    "turn_rows": (["role", "text", "turn"], "rows:turn,role,text"),
 }
 FINGERPRINTS = {fingerprint(paths): (name, rule) for name, (paths, rule) in LAYOUTS.items()}
+#: The layout of most required paths goes first; of equal ones, the first listed.
+BY_SIZE = sorted(LAYOUTS, key=lambda name: -len(LAYOUTS[name][0]))
+
+
+def layout_of(paths: list[str]) -> tuple[str, str] | None:
+    """(layout, rule) by the fingerprint of the paths, or of the most required ones among them; None if unknown."""
+    exact = FINGERPRINTS.get(fingerprint(paths))
+    return exact or next(((name, LAYOUTS[name][1]) for name in BY_SIZE if set(LAYOUTS[name][0]) <= set(paths)), None)
 
 
 def canonical_role(role: Column) -> Column:
@@ -73,9 +82,9 @@ def _apply(rule: str, value: Column, repeated) -> Column:
 
 
 def turns_of_table(df: DataFrame) -> Column:
-    """The ``turns`` column for a table whose columns have one of the known layouts."""
-    name_rule = FINGERPRINTS.get(fingerprint(field_paths(df.schema)))
-    if name_rule is None:
+    """The ``turns`` column for a table whose columns hold one of the known layouts, a row a conversation."""
+    name_rule = layout_of(field_paths(df.schema))
+    if name_rule is None or name_rule[1].startswith("rows:"):
         raise ValueError(f"no mapping for the layout {field_paths(df.schema)}")
     return _apply(name_rule[1], lambda n: F.col(n).cast("string"), lambda n, r, t: F.transform(n, lambda x: _turn(canonical_role(x[r]), x[t])))
 
@@ -83,8 +92,9 @@ def turns_of_table(df: DataFrame) -> Column:
 def turns_of_json(json: Column) -> tuple[Column, Column, Column]:
     """(fingerprint, layout, turns) of rows of JSON text, each with a layout of its own.
 
-    The fingerprint hashes the field paths of the row. An unknown layout has null turns; text that
-    is no JSON object has the fingerprint of no paths.
+    The fingerprint hashes the field paths of the row. A layout needs its required paths only: other
+    fields, nested ones too, change nothing, and an empty list of turns has no turns. An unknown
+    layout has null turns; text that is no JSON object has the fingerprint of no paths.
     """
     v = F.try_parse_json(json)
     shape = F.schema_of_variant(v)
@@ -96,10 +106,22 @@ def turns_of_json(json: Column) -> tuple[Column, Column, Column]:
     found = _digest(F.coalesce(F.concat(plain, lists), F.array().cast("array<string>")))
     value = lambda n: F.try_variant_get(v, f"$.{n}", "string")
     repeated = lambda n, r, t: F.transform(F.try_variant_get(v, f"$.{n}", f"array<struct<`{r}`:string,`{t}`:string>>"), lambda x: _turn(canonical_role(x[r]), x[t]))
+    has = lambda x, n: F.try_variant_get(x, f"$.{n}", "variant").isNotNull()
+
+    def held(paths: list[str]) -> Column:
+        ok = F.lit(True)
+        for p in paths:
+            outer, _, inner = p.partition("[].")
+            items = F.try_variant_get(v, f"$.{outer}", "array<variant>")
+            ok &= (items.isNotNull() & ((F.size(items) == 0) | F.exists(items, lambda x: has(x, inner)))) if inner else has(v, p)
+        return F.coalesce(ok, F.lit(False))
+
     turns, layout = F.lit(None).cast(TURN), F.lit(None).cast("string")
-    for digest, (name, rule) in FINGERPRINTS.items():
-        turns = F.when(found == digest, _apply(rule, value, repeated)).otherwise(turns)
-        layout = F.when(found == digest, F.lit(name)).otherwise(layout)
+    for name in reversed(BY_SIZE):
+        paths, rule = LAYOUTS[name]
+        if not rule.startswith("rows:"):
+            turns = F.when(held(paths), _apply(rule, value, repeated)).otherwise(turns)
+            layout = F.when(held(paths), F.lit(name)).otherwise(layout)
     return found, layout, turns
 
 
@@ -160,5 +182,11 @@ def loss_spans(formatted: Column, role: str = "assistant") -> Column:
 
 
 def format_conversations(rows: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, formatted, loss): each conversation of a turn table as one string and the spans that are learnt."""
-    return turns_of_rows(rows, key).select(key, format_turns(F.col("turns")).alias("formatted")).select(key, "formatted", loss_spans(F.col("formatted")).alias("loss"))
+    """(key, formatted, loss): each conversation as one string and the spans that are learnt.
+
+    The layout of the columns selects the mapping: rows are turns, or a conversation each.
+    """
+    found = layout_of(field_paths(rows.schema))
+    by_row = found is not None and found[1].startswith("rows:")
+    turns = turns_of_rows(rows, key) if by_row else rows.select(key, turns_of_table(rows).alias("turns"))
+    return turns.select(key, format_turns(F.col("turns")).alias("formatted")).select(key, "formatted", loss_spans(F.col("formatted")).alias("loss"))

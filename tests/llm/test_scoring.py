@@ -179,3 +179,22 @@ def test_tree_matching_counts_pairs():
     for t in (a, b):
         html_extract.measure(t, shapes)
     assert html_extract.tree_match(a, b, {}) == 4
+
+
+def test_chat_layouts_take_extra_fields_and_run_the_query(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        ('{"id": 1, "prompt": "a", "response": "b"}', "prompt_response", [("user", "a"), ("assistant", "b")]),
+        ('{"messages": [], "id": 2}', "messages_role_content", []),
+        ('{"messages": [{"role": "human", "text": "x", "at": {"n": 1}}], "meta": {"a": {"b": [1]}}}', "messages_role_text", [("user", "x")]),
+        ('{"instruction": "i", "input": "", "output": "o", "meta": {"a": 1}}', "instruction_input_output", [("user", "i"), ("assistant", "o")]),
+        ('{"id": 3}', None, None),
+    ]
+    _, layout, turns = chat.turns_of_json(F.col("j"))
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, j string").select("i", layout.alias("l"), turns.alias("t")).orderBy("i").collect()
+    assert [(g["l"], g["t"] and [tuple(t) for t in g["t"]]) for g in got] == [(n, t or (None if t is None else [])) for _, n, t in rows]
+    table = spark.createDataFrame([(7, "p", "r", 1)], "conv_id bigint, prompt string, response string, extra int")
+    assert [t["role"] for t in table.select(chat.turns_of_table(table).alias("t")).first()["t"]] == ["user", "assistant"]
+    assert "p" in chat.format_conversations(table).first()["formatted"]
+    assert chat.layout_of(["conv_id", "role", "text", "turn"])[0] == "turn_rows"
