@@ -52,11 +52,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/strandflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def done_with(*tables: DataFrame | None) -> None:
+    """Delete materialised tables that nothing reads any more, and let Spark drop the shuffles that made them."""
+    spark = None
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path:
+            spark = t.sparkSession
+            discard(spark, path)
+            _written.remove((spark, path))
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()  # the context cleaner follows the collector
+
 
+def filter_bits(rows: int, bits_per_row: int = 16, most: int = 1 << 28) -> int:
+    """Size of a bit filter: a power of two that grows with the rows, at most ``most`` bits (32 MB).
 
-def filter_bits(rows: int, bits_per_row: int = 16, most: int = 1 << 25) -> int:
-    """Size of a bit filter: a power of two, at most ``most`` bits (4 MB), whatever the number of rows."""
+    Beyond that it lets more rows pass that a join has to drop, and never loses one.
+    """
     need = max(_BLOCK_BITS, rows * bits_per_row)
     return min(most, 1 << (need - 1).bit_length())
 

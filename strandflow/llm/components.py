@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import done_with, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").filter(F.col("a") != F.col("b"))
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        e = materialize(_small_star(materialize(_large_star(e), "large-star")), "small-star")
+        large = materialize(_large_star(e), "large-star")
+        small = materialize(_small_star(large), "small-star")
+        done_with(e, large)
+        e = small
         roots = e.select(F.col("b").alias("a")).distinct()
         # done when each node has one edge and no root hangs on another
         if e.groupBy("a").count().filter("count > 1").isEmpty() and e.join(roots, "a", "left_semi").isEmpty():

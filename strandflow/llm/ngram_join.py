@@ -1,31 +1,29 @@
-"""Exact Jaccard self-join of word-shingle sets: pivots, Voronoi regions, recursive region joins.
-
-Distances between unrelated texts are all 1, so whole documents as the first pivots would put
-everything near every boundary. The first pivots are therefore single shingles: a set lies in the
-region of each pivot it holds, and the triangle inequality says how many regions must receive a
-copy of a set at the boundary: two sets within the threshold share at least ``l`` of the first
-``n - o + l`` shingles of either (in hash order), where ``o`` is the least overlap a link needs.
-Sets that share fewer with all others are alone and leave. Inside a region the pivot is a document
-and its links are verified exactly; sets linked to it are one class and need no comparison among
-themselves. Regions that hold several classes join again with other pivots, and what is left is
-joined on its rarest shingles with exact counts.
+"""Exact Jaccard self-join of word-shingle sets in their metric space: pivots, Voronoi regions, triangle windows, recursion.
+
+1 - Jaccard is a metric. Documents that can have no partner leave first. Of the others some are
+elected pivots; each document lies in the region of its nearest pivot, if that is near enough, and
+is replicated to the regions of other pivots where the triangle inequality lets it have a partner.
+Documents far from all pivots go on with new pivots among themselves until none is left. Inside a
+region a document is its difference from the pivot: what links to the pivot is one class, and pairs
+of different classes are found by an exact prefix filter over differences, never over all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, filter_bits, materialize, may_be_in
+from .common import bit_filter, done_with, filter_bits, materialize, may_be_in
 from .components import connected_components
 from .tokens import buffers, lists, shingle_sets, slices
 
 
 def _needed(n, percent: int):
-    """Least intersection of a linked pair in which one set has n members."""
+    """Least intersection of a pair at ``percent`` in which one set has n members."""
     return (n * percent + 99) // 100
 
 
@@ -36,19 +34,25 @@ def _sketches(words: int, percent: int, extra: int):
             for lo, hi in slices(off):
                 sets = shingle_sets(data, off[lo : hi + 1], words)
                 prefix = [s[: len(s) - _needed(len(s), percent) + 1 + len(s) // extra] if len(s) else s for s in sets]
-                d1 = [int(s.sum()) if len(s) else 0 for s in sets]
-                d2 = [int(((s ^ (s >> 31)) * 0x5851F42D4C957F2D).sum()) if len(s) else 0 for s in sets]
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists(prefix)], ["doc_id", "n", "d1", "d2", "prefix"])
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), *_digests(sets), lists(prefix)], ["doc_id", "n", "d1", "d2", "prefix"])
 
     return run
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """n, d1, d2: size and two sums by which equal sets meet."""
+    d1 = [int(s.sum()) if len(s) else 0 for s in sets]
+    d2 = [int(((s ^ (s >> 31)) * 0x5851F42D4C957F2D).sum()) if len(s) else 0 for s in sets]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(1))
             for lo, hi in slices(off):
-                yield pa.record_batch([b.column(0).slice(lo, hi - lo), lists(shingle_sets(data, off[lo : hi + 1], words))], ["doc_id", "members"])
+                sets = shingle_sets(data, off[lo : hi + 1], words)
+                yield pa.record_batch([b.column(0).slice(lo, hi - lo), *_digests(sets), lists(sets)], ["rep", "n", "d1", "d2", "members"])
 
     return run
 
@@ -61,162 +65,221 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, i, diff): sizes and intersection of each pair, compared in full.
+def _at_least(percent: int) -> Column:
+    """Jaccard of a row (n, nq, i) against a threshold, in whole numbers."""
+    return F.col("i") * 100 >= (F.col("n") + F.col("nq") - F.col("i")) * percent
+
+
+def _may_link(sketch: DataFrame, reps: DataFrame, percent: int, extra: int) -> DataFrame:
+    """(rep, n, d1, d2): class representatives that share enough of their first shingles, in hash order, with any others.
+
+    Of two linked sets, with o the least overlap of a link, the first n - o + l shingles of either
+    have l in common; the others leave without a comparison.
+    """
+    first = sketch.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", "d1", "d2", F.explode("prefix").alias("token"))
+    held = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    least = 1 + F.floor(_col_needed(F.col("n"), percent) / extra)  # what a link to the smallest fitting partner shares
+    return first.join(held, "token", "left_semi").groupBy("doc_id", "n", "d1", "d2").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least).select(F.col("doc_id").alias("rep"), "n", "d1", "d2")
+
+
+def _covered(active: DataFrame, percent: int, near: int) -> DataFrame:
+    """(doc_id, n, score, heads) of sets whose shingles other active sets hold, enough of them for a link.
+
+    score is the mean company of a set's shingles. heads are its rarest shared shingles: two sets
+    whose similarity is at least ``near`` per cent have one of them in common.
+    """
+    rows = active.select("doc_id", "n", F.explode("members").alias("token"))
+    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    kept = rows.join(df, "token").groupBy("doc_id", "n").agg(F.avg("df").alias("score"), F.collect_list(F.struct("df", "token")).alias("shared"))
+    kept = kept.filter(F.size("shared") >= _col_needed(F.col("n"), percent))
+    heads = F.slice(F.sort_array("shared"), F.lit(1), (F.size("shared") - _col_needed(F.col("n"), near) + 1).cast("int"))
+    return kept.select("doc_id", "n", "score", F.transform(heads, lambda x: x["token"]).alias("heads"))
+
+
+def _elected(heads: DataFrame, level: int) -> DataFrame:
+    """(q, nq): of each shingle's holders one leads; the leader of most of a document's heads is a pivot.
 
-    diff is the symmetric difference, kept where the sets share at least half of the larger one.
+    The first level prefers documents whose shingles have most company: the middle of a group leads
+    all of it. Later levels deal leaders by a hash, as what is left lies far apart.
     """
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    diff = F.when(F.col("i") * 2 >= F.greatest(F.size("sa"), F.size("sb")), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), "i", diff.alias("diff"))
+    order = F.struct((F.col("score") if level == 0 else F.xxhash64("token", "doc_id", F.lit(level))).alias("s"), F.col("doc_id").alias("q"), F.col("n").alias("nq"))
+    leaders = heads.groupBy("token").agg(F.max(order).alias("lead"))
+    votes = heads.join(leaders, "token").groupBy("doc_id", "lead.q", "lead.nq").agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("doc_id").agg(F.max_by(F.struct("q", "nq"), F.struct("c", "q")).alias("p")).select("p.q", "p.nq").distinct()
+
+
+def _near(heads: DataFrame, pivots: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """(doc_id, q, n, nq, i, diff): every pivot of at least ``near`` per cent similarity, with what differs from it."""
+    own = heads.join(pivots.select(F.col("q").alias("doc_id")), "doc_id", "left_semi").select("token", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
+    pairs = heads.join(own, "token").filter(_sizes_fit("n", "nq", near)).select("doc_id", "q").distinct()
+    both = pairs.join(sets.select("doc_id", F.col("members").alias("x")), "doc_id").join(sets.select(F.col("doc_id").alias("q"), F.col("members").alias("p")), "q")
+    out = both.withColumn("only", F.array_except("x", "p")).withColumn("n", F.size("x").cast("long")).withColumn("nq", F.size("p").cast("long")).withColumn("i", F.col("n") - F.size("only"))
+    return out.filter(_at_least(near)).select("doc_id", "q", "n", "nq", "i", F.concat("only", F.array_except("p", "x")).alias("diff"))
+
+
+def _regions(near: DataFrame, percent: int, near_percent: int) -> DataFrame:
+    """(doc_id, q, home, n, nq, diff): each document at home with its nearest pivot and in the window of others.
+
+    Let x be at home with p, at distance d(x, p) within near - r of similarity, and y a partner,
+    d(x, y) <= r. Then d(y, p) <= d(x, p) + r, so y is near p; and if y has a home h,
+    d(x, p) <= d(x, h) gives d(y, p) <= d(y, h) + 2 r. A document without home enters every
+    region that it is near to.
+    """
+    r = (100 - percent) / 100
+    j = F.col("i") / (F.col("n") + F.col("nq") - F.col("i"))
+    at_home = near.filter(_at_least(near_percent + 100 - percent)).groupBy("doc_id").agg(F.max(F.struct(j.alias("j"), F.col("q").alias("q"))).alias("h"))
+    all_ = near.join(at_home, "doc_id", "left")
+    home = F.coalesce(F.col("h.q") == F.col("q"), F.lit(False))
+    return all_.filter(F.col("h").isNull() | home | (j >= F.col("h.j") - 2 * r - 1e-9)).select("doc_id", "q", home.alias("home"), "n", "nq", "diff")
+
+
+def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """(q, doc_id, n, d, s, home, component, heads) of documents that may link to another class of their region.
+
+    For x, y with differences X, Y from the pivot, |x ^ y| = |X| + |Y| - 2 |X & Y|, and a link needs
+    |x ^ y| <= r (|x| + |y|), r = (100 - percent) / (100 + percent). As |x ^ y| >= |X| - |Y|, a
+    partner shares at least |X| - n (100 - percent) / percent members of X, and at least one: if both
+    linked to the pivot they would be of one class. heads are the rarest shared members of X, one
+    of which is a partner's head too.
+    """
+    if labels is None:
+        named = regions.withColumn("component", F.col("doc_id"))
+    else:
+        named = regions.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = lambda df, *k: df.groupBy(*k).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("at"), F.count(F.lit(1)).alias("df")).filter("lo != hi and at").select(*k, "df")
+    named = named.join(several(named, "q").select("q"), "q", "left_semi")
+    rows = named.select("q", "doc_id", "n", F.size("diff").alias("d"), "home", "component", F.explode("diff").alias("token"))
+    kept = rows.join(several(rows, "q", "token"), ["q", "token"])
+    per = kept.groupBy("q", "doc_id", "n", "d", "home", "component").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    least = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
+    room = (F.size("shared") - least + 1).cast("int")
+    return per.filter(room > 0).select("q", "doc_id", "n", "d", F.size("shared").alias("s"), "home", "component", F.transform(F.slice(F.sort_array("shared"), F.lit(1), room), lambda x: x["token"]).alias("heads"))
+
+
+def _verified(pairs: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs (q, a, b) that link, worked out from their differences from q."""
+    side = lambda k: regions.select("q", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    both = pairs.join(side("a"), ["q", "a"]).join(side("b"), ["q", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+
+
+def _led_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """(q, a, b): each open document with one of another class, the leader of most of its heads."""
+    rows = open_.select("q", "doc_id", "n", "component", F.explode("heads").alias("token"))
+    order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("s"), F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    leaders = rows.groupBy("q", "token").agg(F.array(F.max(order), F.min(order)).alias("leads"))
+    asked = rows.join(leaders, ["q", "token"]).select("q", "doc_id", "component", F.explode("leads").alias("lead")).filter(F.col("lead.cb") != F.col("component"))
+    votes = asked.groupBy("q", "doc_id", "lead.b").agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("q", "doc_id").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select("q", F.col("doc_id").alias("a"), "b")
+
+
+def _other_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(q, a, b): every pair of different classes of a region that may link, one of them at home there."""
+    lo, hi = 100 - percent, 100 + percent
+    rows = open_.select("q", "doc_id", "n", "d", "s", "home", "component", F.explode("heads").alias("token"))
+    other = rows.select("q", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("s").alias("sb"), F.col("home").alias("hb"), F.col("component").alias("cb"))
+    may = (F.col("d") + F.col("db") - 2 * F.least("s", "sb")) * hi <= (F.col("n") + F.col("nb")) * lo
+    return rows.join(other, ["q", "token"]).filter((F.col("component") < F.col("cb")) & (F.col("home") | F.col("hb")) & _sizes_fit("n", "nb", percent) & may).select("q", F.col("doc_id").alias("a"), "b").distinct()
 
 
-def _linked(percent: int) -> Column:
-    return F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent
+def _links(sets: DataFrame, percent: int, near: int) -> DataFrame | None:
+    """(node, component) of sets (doc_id, n, members) that link to another; None without links."""
+    active, found, regions, level = sets, None, None, 0
+    while True:
+        ranked = materialize(_covered(active, percent, near), "ranked")
+        if ranked.isEmpty():
+            break
+        heads = materialize(ranked.select("doc_id", "n", "score", F.explode("heads").alias("token")), "heads")
+        pivots = materialize(_elected(heads, level), "pivots")
+        close = materialize(_near(heads, pivots, sets, near), "near")
+        here = materialize(_regions(close, percent, near), "regions")
+        star = materialize(close.filter(_at_least(percent) & (F.col("doc_id") != F.col("q"))).select(F.col("doc_id").alias("a"), F.col("q").alias("b")), "stars")
+        found = star if found is None else found.unionByName(star)
+        regions = here if regions is None else regions.unionByName(here)
+        settled = here.filter("home").select("doc_id")
+        left = materialize(active.join(ranked.select("doc_id"), "doc_id", "left_semi").join(settled, "doc_id", "left_anti"), "left")
+        done_with(ranked, heads, pivots, close, active if level else None)
+        active, level = left, level + 1
+    if found is None or found.isEmpty() and regions.filter("not home").isEmpty():
+        return None
+
+    labels = None if found.isEmpty() else connected_components(found)
+    turn = 0
+    while True:
+        open_ = materialize(_open_differences(regions, labels, percent), "open")
+        asked = materialize(_led_pairs(open_, turn), "asked")
+        n = asked.count()
+        new = materialize(_verified(asked, regions, percent), "led")
+        done_with(asked)
+        if new.isEmpty():
+            break
+        # classes are joined by their names from now on, so each round's edges are few
+        found = found.unionByName(new)
+        labels = connected_components(found)
+        if new.count() * 20 < n:
+            done_with(open_)
+            open_ = materialize(_open_differences(regions, labels, percent), "open")
+            break
+        done_with(open_)
+        turn += 1
+    last = materialize(_verified(_other_pairs(open_, percent), regions, percent), "links")
+    done_with(open_)
+    if not last.isEmpty():
+        labels = connected_components(found.unionByName(last))
+    return labels
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, extra: int = 10, pivot_rounds: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, near: int = 50, extra: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked when 100 * |A & B| >= percent * |A | B|.
 
     Words are what lies between ASCII white space, A-Z lower-cased; a set holds the distinct
     ``words``-word shingles of the whole text (a shorter text is one shingle; an empty or null one
     has none and links with nothing). component_id is the smallest doc_id reachable by links. Equal
-    sets are one class and are joined once. Rows that repeat a doc_id count as one document with
-    several texts; a null doc_id gets a null component. Other columns are not read.
+    sets are one class and are joined once. ``near``: similarity in per cent down to which pivots
+    have windows; it bears on cost alone. Shingles are compared as 64-bit hashes. Rows that repeat a
+    doc_id are each placed by their own text; a null doc_id gets a null component. An empty
+    table gives no rows. Other columns are not read.
     """
     slim = docs.select("doc_id", "text")
     key = dict(docs.dtypes)["doc_id"]
     sketch = materialize(slim.mapInArrow(_sketches(words, percent, extra), f"doc_id {key}, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"), "sketch")
     has = sketch.filter("n > 0 and doc_id is not null")
-    reps = materialize(has.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-
-    # regions of single-shingle pivots; a set alone in nearly all of its regions has no link
-    first = has.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", F.explode("prefix").alias("token"))
-    held = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    share = lambda n: 1 + F.floor(n / extra)
-    least = share(_col_needed(F.col("n"), percent))  # what a link to the smallest fitting partner shares
-    shared = materialize(first.join(held, "token"), "shared")
-    live = materialize(shared.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least).select("doc_id", "n", "hits"), "live")
-    regions = materialize(shared.join(live.select("doc_id", "hits"), "doc_id").select("token", "doc_id", "n", (F.col("hits") / F.col("n")).alias("score")), "regions")
+    reps = has.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    live = materialize(reps.join(_may_link(has, reps, percent, extra), ["rep", "n", "d1", "d2"]), "live")
+    names = materialize(sketch.select("doc_id", "n", "d1", "d2"), "names")
+    done_with(sketch)
 
     bits = filter_bits(live.count())
-    sets = materialize(may_be_in(slim, F.col("doc_id"), bit_filter(live, F.col("doc_id"), bits), bits).mapInArrow(_sets(words), f"doc_id {key}, members array<bigint>").filter("size(members) > 0"), "sets")
-
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-    compared: DataFrame | None = None
-    open_regions = regions.withColumn("component", F.col("doc_id"))
-    for turn in range(pivot_rounds):
-        # the pivot: the set with most of its shingles in company, another one each turn
-        if turn == 1:  # few sets are left: the mean company of all their shingles finds the middle of a group,
-            # and all of them are compared with it, those of its class too, as its cell is joined in the end
-            open_regions = materialize(open_regions.drop("score").join(_company(open_regions, sets), "doc_id"), "open")
-        order = F.struct((F.col("score") if turn < 2 else F.lit(0.0)).alias("s"), F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pivots = open_regions.groupBy("token").agg(F.max(order).alias("pivot"))
-        near = open_regions.join(pivots, "token").filter(((F.col("component") != F.col("pivot.pc")) | F.lit(turn == 1)) & (F.col("doc_id") != F.col("pivot.p")) & _sizes_fit("n", "pivot.pn", percent)).select("doc_id", "n", F.col("pivot.p").alias("p"), F.col("pivot.pn").alias("pn"))
-        pairs = near.groupBy(F.col("doc_id").alias("a"), F.col("p").alias("b"), "n", "pn").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 2 >= share(F.least("n", "pn"))).select("a", "b")
-        seen = materialize(_compare(pairs, sets), "compared")
-        compared = seen if compared is None else compared.unionByName(seen)
-        found = seen.filter(_linked(percent)).select("a", "b")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        now = regions.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_regions = _unsettled(now, least)
-        if open_regions.isEmpty():
-            break
-    if links is None or not open_regions.isEmpty():
-        left = materialize(_with_cells(open_regions.select("doc_id", "n", "component").distinct(), compared), "left")
-        rest = _cell_pairs(left, percent).unionByName(_rarest_pairs(left, sets, percent)).distinct()
-        found = materialize(_compare(rest, sets).filter(_linked(percent)).select("a", "b"), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-
-    named = reps.select("n", "d1", "d2", "rep")
+    texts = may_be_in(slim, F.col("doc_id"), bit_filter(live, F.col("rep"), bits), bits).join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(words), f"rep {key}, n bigint, d1 bigint, d2 bigint, members array<bigint>")
+    sets = sets.join(live, ["rep", "n", "d1", "d2"]).select("node", "n", "members").dropDuplicates(["node"])
+    sets = materialize(sets.withColumnRenamed("node", "doc_id"), "sets")
+    labels = _links(sets, percent, near)
+
+    named = reps.select("n", "d1", "d2", "rep", "node")
     if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+        joined = labels.join(reps.select("node", "rep"), "node")
+        least = joined.groupBy("component").agg(F.min("rep").alias("first"))
+        named = named.join(joined.join(least, "component").select("node", "first"), "node", "left")
     else:
-        named = named.withColumnRenamed("rep", "component")
-    out = sketch.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+        named = named.withColumn("first", F.col("rep"))
+    named = materialize(named.select("n", "d1", "d2", F.coalesce("first", "rep").alias("component")), "named")
+    done_with(sets, live, reps)
+    out = names.join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _unsettled(regions: DataFrame, least: Column) -> DataFrame:
-    """Regions that hold several classes, and in them the sets that still share enough with other classes."""
-    mixed = regions.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
-    rows = materialize(regions.join(mixed, "token"), "mixed")
-    live = rows.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least).select("doc_id")
-    rows = rows.join(live, "doc_id", "left_semi")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token")
-    return materialize(rows.join(mixed, "token"), "open")
-
-
-def _company(open_regions: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc_id, score): in how many of these sets a shingle of the set stands, on average over the whole set."""
-    rows = materialize(open_regions.select("doc_id").distinct().join(sets, "doc_id").select("doc_id", F.explode("members").alias("token")), "members")
-    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return rows.join(df, "token").groupBy("doc_id").agg(F.avg("df").alias("score"))
-
-
-def _with_cells(docs: DataFrame, compared: DataFrame) -> DataFrame:
-    """Sets with the cell of the nearest pivot they were compared with: p, its size pn and their difference from it."""
-    near = compared.filter("diff is not null").select(F.col("a").alias("doc_id"), F.struct("b", "nb", "diff").alias("cell"), (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("j"), F.col("b").alias("tie"))
-    own = compared.filter("diff is not null").select("b", "nb").distinct().select(F.col("b").alias("doc_id"), F.struct("b", "nb", F.array().cast("array<bigint>").alias("diff")).alias("cell"), F.lit(1.0).alias("j"), F.col("b").alias("tie"))
-    best = near.unionByName(own).join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("cell", F.struct("j", "tie")).alias("cell"))
-    return docs.join(best, "doc_id", "left").select("doc_id", "n", "component", F.col("cell.b").alias("p"), F.col("cell.nb").alias("pn"), F.col("cell.diff").alias("diff"))
-
-
-def _cell_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes in one pivot's cell that may link, by what they differ in from the pivot.
-
-    For sets x, y with differences X, Y from the pivot, |x ^ y| = |X| + |Y| - 2 |X & Y|, and a link
-    needs |x ^ y| <= r (|x| + |y|), r = (100 - percent) / (100 + percent). If both are linked to the
-    pivot they are of one class already, so one of them, x, has |X| > r (|x| + |p|). With s the
-    number of members of Y that another class has too, |X & Y| <= s gives |Y| - 2 s < r (|y| - |p|):
-    only such y are candidates, and they must share a member of X.
-    """
-    lo, hi = 100 - percent, 100 + percent
-    rows = left.filter("p is not null").select("doc_id", "n", "component", "p", "pn", F.size("diff").alias("d"), F.explode("diff").alias("token"))
-    rows = materialize(rows, "differences")
-    common = rows.groupBy("p", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("p", "token")
-    kept = materialize(rows.join(common, ["p", "token"]), "shared-differences")
-    size = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("s"))
-    kept = kept.join(size, "doc_id")
-    far = kept.filter(F.col("d") * hi > (F.col("n") + F.col("pn")) * lo)
-    other = kept.filter((F.col("d") - 2 * F.col("s")) * hi < (F.col("n") - F.col("pn")) * lo).select("p", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("d").alias("db"), F.col("s").alias("sb"))
-    may = (F.col("d") + F.col("db") - 2 * F.least("s", "sb")) * hi <= (F.col("n") + F.col("nb")) * lo
-    return far.join(other, ["p", "token"]).filter((F.col("component") != F.col("cb")) & _sizes_fit("n", "nb", percent) & may).select(F.col("doc_id").alias("a"), "b").distinct()
-
-
-def _rarest_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes and different cells that may link, from the shingles that fewest of these sets hold."""
-    rows = materialize(left.select("doc_id", "n", "component", "p").join(sets, "doc_id").select("doc_id", "n", "component", "p", F.explode("members").alias("token")), "members")
-    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token", "df")
-    kept = rows.join(df, "token")
-    # position in the order (count, hash); shingles that one class alone holds come first
-    per = kept.groupBy("doc_id", "n", "component", "p").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    room = F.col("n") - _col_needed(F.col("n"), percent) + 1 - (F.col("n") - F.size("order"))
-    heads = materialize(per.filter(room > 0).select("doc_id", "n", "component", "p", F.size("order").alias("s"), F.explode(F.slice("order", F.lit(1), room.cast("int"))).alias("o")).select("doc_id", "n", "component", "p", "s", "o.token"), "heads")
-    other = heads.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("p").alias("pb"), F.col("s").alias("sb"), "token")
-    most = F.least("s", "sb")  # they share no more than what other classes hold
-    may = most * 100 >= (F.col("n") + F.col("nb") - most) * percent
-    apart = F.col("p").isNull() | F.col("pb").isNull() | (F.col("p") != F.col("pb"))
-    pairs = heads.join(other, "token").filter((F.col("component") < F.col("cb")) & apart & _sizes_fit("n", "nb", percent) & may)
-    return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-
-
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Documents of which one stays for each component (the smallest doc_id), all their columns.
 
-    Texts without words, and rows without doc_id, stay. Only dropped identifiers are matched, behind
+    Texts without words, and rows without doc_id, stay; of rows that repeat a doc_id all stay where
+    one of them has to. Only dropped identifiers are matched, behind
     a bit filter, so kept texts are not shuffled.
     """
     found = jaccard_components(docs, words, percent)
-    gone = materialize(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    gone = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id"), "gone")
     bits = filter_bits(gone.count())
     rows = docs.select("doc_id", F.struct("*").alias("row"))
     seen = may_be_in(rows, F.col("doc_id"), bit_filter(gone, F.col("doc_id"), bits), bits).join(gone, "doc_id", "left_anti")
