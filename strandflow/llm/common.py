@@ -90,6 +90,12 @@ def has_bit(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
+def place(df: DataFrame, key: Column, bits: int) -> DataFrame:
+    """``df`` with the block and bit of its key in a filter of ``bits`` bits."""
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
+    return df.withColumn("f_block", (bit / _BLOCK_BITS).cast("int")).withColumn("f_bit", F.pmod(bit, F.lit(_BLOCK_BITS)))
+
+
 def may_be_in(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFrame:
     """Rows whose key may be in the filter: none that is in it gets lost, a few others pass.
 

@@ -139,12 +139,98 @@ def test_line_dedup_removes_short_passages_and_long_lines_whole(spark):
         texts += ["\n".join(some(rnd.randint(1, 4)) + shared + some(rnd.randint(1, 4))) for _ in range(4)]
     long, short, almost = line(50), line(), line(49)
     texts += ["\n".join([line(), x, line()]) for x in (long, short, almost) for _ in range(3)] + [long, long, texts[0], "\n".join(["a"] * 4)]
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows_of(texts))).collect()}
+    # without a mask every line is a boundary, so every run of two lines is a chunk
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows_of(texts)), mask=0).collect()}
     want = lines_left(texts)
     assert [(out[i]["text"], out[i]["removed"]) for i in range(len(texts))] == want
     assert sum(n for _, n in want) == 3 * (2 + 3 + 4 + 6 + 10) + 2 + 2 + len(texts[0].split("\n")) + 3
 
 
+def chunks_of(text, least=2, words=50, mask=1, most=8):
+    """(at, lines) of each content-defined chunk, from the rule as stated."""
+    import struct
+
+    import xxhash
+
+    lines = (text or "").split("\n")
+    hs = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in lines]
+    size = [x.count(" ") + 1 for x in lines]
+
+    def edge(at):
+        if at < 0 or at + least > len(lines):
+            return False
+        h = 42
+        for x in hs[at : at + least]:
+            h = xxhash.xxh64(struct.pack("<Q", x), seed=h).intdigest()
+        return h & mask == 0
+
+    out = set()
+    for i in range(len(lines)):
+        for way in (1, -1):
+            w, j = 0, i
+            for k in range(1, most + 1):
+                if not 0 <= j < len(lines):
+                    break
+                w += size[j]
+                if w >= words or k == most or (k >= least and edge(j - least + 1 if way == 1 else j)):
+                    out.add((min(i, j), k))
+                    break
+                j += way
+    return out
+
+
+def chunks_left(rows, **options):
+    import xxhash
+
+    order = {}
+    for key, t in rows:
+        h = xxhash.xxh64((t or "").encode(), seed=42).intdigest()
+        order[(key is None, key or 0, h - (1 << 64) if h >> 63 else h)] = t
+    seen, out = set(), {}
+    for place in sorted(order):
+        lines, gone = (order[place] or "").split("\n"), set()
+        for at, k in sorted(chunks_of(order[place], **options)):
+            run = tuple(lines[at : at + k])
+            gone |= set(range(at, at + k)) if run in seen else set()
+            seen.add(run)
+        out[(None if place[0] else place[1], order[place] or "")] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
+    return sorted(((a, None if t is None else out[a, t or ""][0], *out[a, t or ""][1:]) for a, t in rows), key=str)
+
+
+def test_line_dedup_equals_brute_force_with_repeated_and_null_ids(spark):
+    rnd = random.Random(9)
+    pool = [" ".join(f"w{rnd.randrange(40)}" for _ in range(rnd.choice([0, 1, 4, 9, 20, 60]))) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        lines = [rnd.choice(pool) if rnd.random() < 0.3 else f"own {rnd.random()}" for _ in range(rnd.randint(0, 12))]
+        if i % 3 == 0:  # a passage of the pool in its order
+            at = rnd.randrange(15)
+            lines[len(lines) // 2 : 0] = pool[at : at + rnd.randint(2, 10)]
+        rows.append((rnd.choice([None, 5, 6, 7, 100 + i, 100 + i, 100 + i]), "\n".join(lines)))
+    twelve = "\n".join(f"line number {i} of a text that stands twice" for i in range(12))
+    rows += [(900, twelve), (901, twelve), (901, "\n".join(f"alone {i}" for i in range(12))), (902, None), (902, None), (None, None), (903, ""), rows[0], rows[0], (904, "\n" * 30), (905, "\n" * 30)]
+    df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "doc_id bigint, text string, th int, body string")
+    for options in ({}, {"mask": 3, "least": 3}):
+        got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["removed"]) for r in line_dedup.dedup_lines(df, **options).collect()), key=str)
+        assert got == chunks_left(rows, **options)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_line_dedup_removes_every_later_copy_of_passages_of_fifty_words(spark):
+    rnd = random.Random(10)
+    line = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    texts, passages = [], []
+    for size in (1, 2, 3, 5, 8, 20):
+        for _ in range(6):
+            p = [line(max(1, -(-52 // size))) for _ in range(size)]
+            passages += [p] * 3
+            texts += ["\n".join([line(rnd.randint(1, 12)) for _ in range(rnd.randint(0, 5))] + p + [line(rnd.randint(1, 12)) for _ in range(rnd.randint(0, 5))]) for _ in range(3)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark, rows_of(texts))).collect()}
+    for i, (t, p) in enumerate(zip(texts, passages)):
+        want = t if i % 3 == 0 else "\n".join(x for x in t.split("\n") if x not in p)
+        assert out[i]["text"] == want
+
+
 def test_embedding_links_match_brute_force(spark):
     import numpy as np
 
