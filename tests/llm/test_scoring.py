@@ -175,10 +175,8 @@ def test_main_text_of_pages(spark):
 
 def test_tree_matching_counts_pairs():
     a, b = html_extract.parse("<ul><li>1<li>2<p>x</p></ul>"), html_extract.parse("<ul><li>9<p>y</p><li>3</ul>")
-    shapes = {}
-    for t in (a, b):
-        html_extract.measure(t, shapes)
-    assert html_extract.tree_match(a, b, {}) == 4
+    forest = html_extract.Forest()
+    assert forest.match(forest.add(a).shape, forest.add(b).shape) == 4
 
 
 def test_chat_layouts_take_extra_fields_and_run_the_query(spark):
@@ -198,3 +196,50 @@ def test_chat_layouts_take_extra_fields_and_run_the_query(spark):
     assert [t["role"] for t in table.select(chat.turns_of_table(table).alias("t")).first()["t"]] == ["user", "assistant"]
     assert "p" in chat.format_conversations(table).first()["formatted"]
     assert chat.layout_of(["conv_id", "role", "text", "turn"])[0] == "turn_rows"
+
+
+def stripped_pages(n=12, body=None):
+    """Pages without article tags or telling names: menus, adverts and footers that vary, a notice that does not."""
+    rnd = random.Random(11)
+    some = lambda k: " ".join(rnd.choice(["river", "stone", "cloud", "field", "light"]) + str(rnd.randrange(1000)) for _ in range(k))
+    out = []
+    for i in range(n):
+        paras = [some(rnd.randint(8, 60)) for _ in range(rnd.randint(2, 9))]
+        extra = f'<div id="related-work"><p>Own {i} words</p></div>' if i == 3 else ""
+        html = f"""<html><body><div class=a1><ul>{"".join(f"<li><a href=x>{some(1)}</a></li>" for _ in range(5))}</ul></div><div class=b7>{some(6)}</div>
+        <div class=c3><h1>Title {i}</h1><div class=z><p>We keep what you read for ninety days</p></div>{"".join(f"<p>{p}</p>" for p in paras)}{extra}<div class="related-posts"><p>{some(4)}</p></div></div><div class=d9>made by {some(3)}</div></body></html>"""
+        out.append((html, "\n".join([f"Title {i}", *paras, *([f"Own {i} words"] if extra else [])])))
+    return out
+
+
+def test_the_wrapper_finds_articles_without_telling_tags_or_names():
+    pages = stripped_pages()
+    assert html_extract.extract([h for h, _ in pages]) == [t for _, t in pages]
+    plain = html_extract.extract([h for h, _ in pages], wrapper=False)
+    assert sum(p != t for p, (_, t) in zip(plain, pages)) == len(pages), "without the wrapper no page comes out right"
+    same = [pages[0][0].replace("Title 0", f"Title {i}") for i in range(9)]  # copies of one article are no template
+    assert [x.split("\n", 1)[0] for x in html_extract.extract(same)] == [f"Title {i}" for i in range(9)]
+    assert all(len(x) > 60 for x in html_extract.extract(same))
+
+
+def test_hostile_pages_do_not_crash_or_hang():
+    import time
+
+    began = time.time()
+    deep = ["<div>" * 10000 + f"<{t}>end {t}" for t in ("i", "b", "p", "u")]
+    assert html_extract.extract(deep) == [f"end {t}" for t in ("i", "b", "p", "u")]
+    assert html_extract.extract(["<div>" * 20000 + "</span>" * 20000 + "x"] * 2) == ["x", "x"]
+    wide = ["<article>" + "".join(f"<{t}>{i}</{t}>" for i, t in enumerate(rows)) + "</article>" for rows in (["p", "h2", "ul"] * 1000, ["p", "ul", "p"] * 1100, ["h2", "p"] * 1500)]
+    assert [len(x.split("\n")) for x in html_extract.extract(wide)] == [3000, 3300, 3000]
+    assert html_extract.extract(["<p " + "b" * 5000, "<p " + "b='" * 500, "a <b" + " c" * 3000 + ">d"])[2] == "a d"
+    assert time.time() - began < 60
+
+
+def test_matching_by_divide_and_conquer_is_as_good_as_the_table():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        w, ix, iy = rng.integers(0, 9, (4, 3)), rng.integers(0, 4, rng.integers(1, 40)), rng.integers(0, 3, rng.integers(1, 40))
+        value = lambda pairs: sum(int(w[ix[u], iy[v]]) for u, v in pairs)  # noqa: E731, B023
+        table, parts = html_extract._trace(w, ix, iy), html_extract._trace(w, ix, iy, cells=6)
+        assert value(table) == value(parts) == html_extract._last_row(w, ix, iy)[-1]
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(parts, parts[1:]))
