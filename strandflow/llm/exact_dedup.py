@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BLOCK_BITS, bit_filter, filter_bits, has_bit, materialize, may_be_in
+from .common import bit_filter, done_with, filter_bits, has_bit, materialize, may_be_in, place
 
 
 def normalise(text: Column) -> Column:
@@ -27,24 +27,26 @@ def classes(docs: DataFrame, digest: Callable[[Column], Column] = sha256, memtab
     share the digest (then the lookup needs the text as well).
 
     Rows go to ``memtables`` level-0 memtables by a hash of doc_id. A memtable flushes a run: its
-    digests, sorted, each with the smallest identifier and the number of rows, and a bit filter of
-    fixed size. Compaction takes only digests that repeat in a run or that another run's filter may
-    hold, and keeps the smallest identifier. Hits are then grouped by digest and whole text, which
+    digests, sorted, each with the smallest identifier and the number of rows, and a bit filter of so
+    many bits for each digest. Compaction takes only digests that repeat in a run or that another
+    run's filter may hold, and keeps the smallest identifier. Hits are then grouped by digest and whole text, which
     compares bytes; equal texts collapse before the shuffle, so a huge group costs a row a task.
+    Texts that no other equals stay where they are, behind a filter of at most 32 MB; with more than
+    some 16 million repeated digests it lets some of them into that shuffle, and loses none.
     """
     keyed = docs.select("doc_id", normalise(F.col("text")).alias("t")).select("doc_id", digest(F.col("t")).alias("d"), F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).cast("int").alias("run"))
     entries = materialize(keyed, "entries")
     runs = materialize(entries.groupBy("run", "d").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).sortWithinPartitions("run", "d"), "runs")
 
-    bits = filter_bits(runs.count() // memtables)
-    bit = F.pmod(F.xxhash64("d"), F.lit(bits))
-    placed = runs.withColumn("f_block", (bit / _BLOCK_BITS).cast("int")).withColumn("f_bit", F.pmod(bit, F.lit(_BLOCK_BITS)))
+    # the filters grow with the runs; they meet the entries block by block, broadcast only where Spark finds them small
+    bits = filter_bits(runs.count() // memtables, most=1 << 46)
+    placed = place(runs, F.col("d"), bits)
     filters = placed.groupBy("run", "f_block").agg(F.bitmap_construct_agg("f_bit").alias("f_map"))
-    # memtables x bits / 8 bytes at most: bounded by the parameters, so it may be broadcast
     filters = filters.groupBy("f_block").agg(F.collect_list(F.struct("run", "f_map")).alias("maps"))
     other = F.exists("maps", lambda m: (m["run"] != F.col("run")) & has_bit(m["f_map"], F.col("f_bit")))
-    compacted = placed.join(F.broadcast(filters), "f_block").filter((F.col("n") > 1) | other).groupBy("d").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n > 1")
+    compacted = placed.join(filters, "f_block").filter((F.col("n") > 1) | other).groupBy("d").agg(F.min("least").alias("least"), F.sum("n").alias("n")).filter("n > 1")
     compacted = materialize(compacted, "compacted")
+    done_with(runs)
 
     bits = filter_bits(compacted.count())
     texts = docs.select("doc_id", normalise(F.col("text")).alias("t")).withColumn("d", digest(F.col("t")))
@@ -78,26 +80,35 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     return by_digest.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), F.col("d").alias("digest"))
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Documents that stay, all their columns, one row for each text.
 
-    Only dropped doc_ids leave the index, so texts are not shuffled against kept ones: the few
-    dropped identifiers are matched behind a bit filter. Rows that repeat a doc_id and text in full
-    are folded to one.
+    Of equal texts the row with the smallest doc_id stays, a null one only where there is no other.
+    Rows with the same doc_id (null too) and equal texts are copies: the text that one of them holds
+    stays once, in the row that is least by its columns' hash. Rows that share a doc_id but not a
+    text are decided each by its own text. Only rows whose doc_id has something to drop are matched,
+    behind a bit filter, so texts that stay are not shuffled. Digests that collide are told apart by
+    the text.
     """
-    found = exact_duplicates(docs)
-    drop = materialize(found.filter("group_size > 1").groupBy("doc_id").agg(F.max("kept").alias("k_kept"), F.count(F.lit(1)).alias("k_rows")), "decided")
-    bits = filter_bits(drop.count())
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    rows = docs.select("doc_id", "text", F.struct("*").alias("row"), (bit / _BLOCK_BITS).cast("int").alias("f_block"), F.pmod(bit, F.lit(_BLOCK_BITS)).alias("f_bit"))
-    probe = rows.join(F.broadcast(bit_filter(drop, F.col("doc_id"), bits)), "f_block", "left").withColumn("f_hit", has_bit(F.col("f_map"), F.col("f_bit"))).drop("f_map")
-    seen = probe.filter("f_hit")
-    named = seen.join(drop.withColumnRenamed("doc_id", "k_id"), F.col("doc_id").eqNullSafe(F.col("k_id")), "left")
-    out = probe.filter(~F.col("f_hit")).select("row.*").unionByName(named.filter(F.col("k_kept").isNull() | (F.col("k_kept") & (F.col("k_rows") == 1))).select("row.*"))
-    # an identifier with several rows: each text it keeps stays once
-    many = drop.filter("k_rows > 1").select("doc_id")
-    if not many.isEmpty():
-        again = seen.join(many, "doc_id", "left_semi").withColumn("k_text", sha256(normalise(F.col("text")))).dropDuplicates(["doc_id", "k_text"])
-        stay = found.filter("kept").select("doc_id", F.col("digest").alias("k_text")).distinct()
-        out = out.unionByName(again.join(stay, ["doc_id", "k_text"], "left_semi").select("row.*"))
-    return out
+    entries, hits = classes(docs, digest)
+    many = hits.select("d", F.coalesce("text", F.lit("")).alias("k_text"), F.col("text").isNotNull().alias("mixed"), "keep_id")
+    by_digest = many.groupBy("d").agg(F.max("mixed").alias("mixed"), F.min("keep_id").alias("keep_id"))
+    lost = F.coalesce(~F.col("mixed") & ~F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False))
+    flags = entries.join(by_digest, "d", "left").groupBy("doc_id").agg(F.every(lost).alias("gone"), F.some(F.col("mixed").isNotNull()).alias("has")).filter("has")
+    touched = materialize(flags.select("doc_id", "gone"), "touched")
+    bits = filter_bits(touched.count())
+    rows = place(docs.select("doc_id", "text", F.struct("*").alias("row")), F.col("doc_id"), bits)
+    probe = rows.join(F.broadcast(bit_filter(touched, F.col("doc_id"), bits)), "f_block", "left").withColumn("f_hit", has_bit(F.col("f_map"), F.col("f_bit"))).drop("f_map")
+    clear = probe.filter(~F.col("f_hit")).select("row")
+    # most copies go by their doc_id alone; the few rows left are matched by their text's digest
+    left = probe.filter("f_hit").join(touched.filter("gone").select("doc_id"), "doc_id", "left_anti")
+    seen = left.withColumn("t", normalise(F.col("text"))).withColumn("d", digest(F.col("t"))).select("doc_id", "row", "d", "t")
+    mixed = many.filter("mixed").select("d").distinct()
+    # the text takes part only where texts share a digest by accident
+    key = F.when(F.col("m_d").isNotNull(), F.col("t")).otherwise("")
+    seen = seen.join(mixed.select(F.col("d").alias("m_d")), F.col("d") == F.col("m_d"), "left").withColumn("k_text", key).drop("t", "m_d")
+    named = seen.join(many.withColumn("found", F.lit(True)), ["d", "k_text"], "left")
+    single = named.filter("found is null").select("row")
+    stays = named.filter(F.col("found") & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stays = stays.groupBy("d", "k_text").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return clear.unionByName(single).unionByName(stays.select("row")).select("row.*")

@@ -53,6 +53,21 @@ def test_exact_dedup_keeps_columns_and_folds_repeated_rows(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: __import__("pyspark.sql.functions", fromlist=["x"]).length(t).cast("string")])
+def test_exact_dedup_loses_no_text_with_null_and_repeated_ids(spark, digest):
+    rows = [(None, "p"), (None, "p"), (1, "r"), (None, None), (None, ""), (None, " "), (2, "q"), (2, "r"), (2, "s s"), (3, "s  s"), (4, "q"), (None, "q"), (5, "alone"), (5, "alone"), (5, "other"), (6, "o"), (None, "nobody")]
+    df = spark.createDataFrame([(a, b, "x", i) for i, (a, b) in enumerate(rows)], "doc_id bigint, text string, d string, k_text int")
+    out = exact_dedup.drop_exact_duplicates(df, digest)
+    assert out.columns == df.columns
+    key = lambda i: (i is None, i or 0)
+    want = {}
+    for a, b in rows:
+        t = WS.sub(" ", b or "")
+        want[t] = min(want.get(t, (True, 10**9)), key(a)) if t in want else key(a)
+    got = [(WS.sub(" ", r["text"] or ""), key(r["doc_id"])) for r in out.collect()]
+    assert sorted(got) == sorted(want.items())
+
+
 def shingles(t, k):
     w = [x for x in WS.split((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if x]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
