@@ -72,7 +72,8 @@ def repeated_chunks(docs: DataFrame, **options) -> DataFrame:
 
     Earliest is the smallest (doc_id, hash of the text, at), null ids last. Chunk hashes are counted
     over all documents first; only chunks whose hash may repeat (behind a bit filter) are gathered
-    with their text, and grouped and joined by it, which compares bytes.
+    with their text and grouped by it, which compares bytes; each meets the first of its group again
+    by the SHA-256 of that text.
     """
     keyed = _keyed(docs)
     hits = keyed.select(F.explode(chunks(F.col("text"), **options)).alias("c")).groupBy("c.h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
@@ -81,10 +82,12 @@ def repeated_chunks(docs: DataFrame, **options) -> DataFrame:
     cut = keyed.select("doc_id", "th", F.explode(chunks(F.col("text"), bodies=True, **options)).alias("c")).select("doc_id", "th", "c.at", "c.lines", "c.h", "c.body")
     maybe = materialize(may_be_in(cut, F.col("h"), bit_filter(hits, F.col("h"), bits), bits), "chunks")
     place_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "at")
-    first = maybe.groupBy("h", "body").agg(F.min(place_).alias("first"), F.max(place_).alias("last")).filter("first != last").drop("last")
-    gone = maybe.join(first, ["h", "body"]).filter(place_ != F.col("first")).select("doc_id", "th", "at", "lines")
-    gone = materialize(gone, "repeated")
-    done_with(hits, maybe)
+    sha = F.unhex(F.sha2(F.col("body").cast("binary"), 256)).alias("sha")
+    first = maybe.groupBy("h", "body").agg(F.min(place_).alias("first"), F.max(place_).alias("last")).filter("first != last")
+    first = materialize(first.select("h", sha, "first"), "firsts")
+    same = maybe.select("doc_id", "th", "at", "lines", "h", sha)
+    gone = materialize(same.join(first, ["h", "sha"]).filter(place_ != F.col("first")).select("doc_id", "th", "at", "lines"), "repeated")
+    done_with(hits, maybe, first)
     return gone
 
 
