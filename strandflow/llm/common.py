@@ -107,6 +107,15 @@ def may_be_in(df: DataFrame, key: Column, filt: DataFrame, bits: int) -> DataFra
     return probe.join(F.broadcast(filt), "f_block").filter(has_bit(F.col("f_map"), F.col("f_bit"))).select(*[F.col(f"`{c}`") for c in out])
 
 
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is not among the distinct, non-null ones of ``gone``; only rows that a bit filter finds are shuffled."""
+    bits = filter_bits(gone.count())
+    out = df.columns
+    placed = place(df, F.col("doc_id"), bits).join(F.broadcast(bit_filter(gone, F.col("doc_id"), bits)), "f_block", "left")
+    placed = placed.withColumn("f_hit", has_bit(F.col("f_map"), F.col("f_bit"))).select(*out, "f_hit")
+    return placed.filter(~F.col("f_hit")).select(*out).unionByName(placed.filter("f_hit").join(gone, "doc_id", "left_anti").select(*out))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value worked out once: inside lambdas a plain expression would be repeated for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, done_with, filter_bits, materialize, may_be_in
+from .common import bit_filter, done_with, filter_bits, materialize, may_be_in, without
 from .components import connected_components
 from .tokens import buffers, lists, shingle_sets, slices
 
@@ -71,66 +71,85 @@ def _at_least(percent: int) -> Column:
 
 
 def _may_link(sketch: DataFrame, reps: DataFrame, percent: int, extra: int) -> DataFrame:
-    """(rep, n, d1, d2): class representatives that share enough of their first shingles, in hash order, with any others.
+    """Class representatives (rows of ``reps``) that share enough of their first shingles, in hash order, with any others.
 
     Of two linked sets, with o the least overlap of a link, the first n - o + l shingles of either
-    have l in common; the others leave without a comparison.
+    have l in common; the others leave without a comparison. Copies of a representative take no
+    part; where a doc_id has several texts, all its classes stay.
     """
-    first = sketch.join(reps.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").select("doc_id", "n", "d1", "d2", F.explode("prefix").alias("token"))
+    copies = materialize(sketch.select("doc_id").distinct().join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti"), "copies")
+    first = without(sketch.select("doc_id", "prefix"), copies).select("doc_id", F.explode("prefix").alias("token"))
     held = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    hits = first.join(held, "token", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.count(F.lit(1)).alias("hits"))
     least = 1 + F.floor(_col_needed(F.col("n"), percent) / extra)  # what a link to the smallest fitting partner shares
-    return first.join(held, "token", "left_semi").groupBy("doc_id", "n", "d1", "d2").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= least).select(F.col("doc_id").alias("rep"), "n", "d1", "d2")
+    live = materialize(reps.join(hits, "rep").filter(F.col("hits") >= least).drop("hits"), "live")
+    done_with(copies)
+    return live
 
 
-def _covered(active: DataFrame, percent: int, near: int) -> DataFrame:
-    """(doc_id, n, score, heads) of sets whose shingles other active sets hold, enough of them for a link.
+def _core(active: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, score, members): sets of which other active sets hold enough shingles for a link.
 
-    score is the mean company of a set's shingles. heads are its rarest shared shingles: two sets
-    whose similarity is at least ``near`` per cent have one of them in common.
+    members are the shingles that others hold, rarest first; score is their company on average. A
+    shingle that one set alone holds is in no intersection, so sizes say all there is to know of it.
     """
     rows = active.select("doc_id", "n", F.explode("members").alias("token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    kept = rows.join(df, "token").groupBy("doc_id", "n").agg(F.avg("df").alias("score"), F.collect_list(F.struct("df", "token")).alias("shared"))
+    kept = rows.join(df, "token").groupBy("doc_id", "n").agg(F.sum("df").alias("all"), F.collect_list(F.struct("df", "token")).alias("shared"))
     kept = kept.filter(F.size("shared") >= _col_needed(F.col("n"), percent))
-    heads = F.slice(F.sort_array("shared"), F.lit(1), (F.size("shared") - _col_needed(F.col("n"), near) + 1).cast("int"))
-    return kept.select("doc_id", "n", "score", F.transform(heads, lambda x: x["token"]).alias("heads"))
+    return kept.select("doc_id", "n", (F.col("all") / F.col("n")).alias("score"), F.transform(F.sort_array("shared"), lambda x: x["token"]).alias("members"))
 
 
-def _elected(heads: DataFrame, level: int) -> DataFrame:
-    """(q, nq): of each shingle's holders one leads; the leader of most of a document's heads is a pivot.
+def _heads(core: DataFrame, near: int) -> DataFrame:
+    """(doc_id, n, token): the rarest shared shingles; sets of at least ``near`` per cent similarity have one in common."""
+    room = (F.size("members") - _col_needed(F.col("n"), near) + 1).cast("int")
+    return core.select("doc_id", "n", F.explode(F.slice("members", F.lit(1), F.greatest(room, F.lit(0)))).alias("token"))
 
-    The first level prefers documents whose shingles have most company: the middle of a group leads
-    all of it. Later levels deal leaders by a hash, as what is left lies far apart.
+
+def _elected(core: DataFrame) -> DataFrame:
+    """(doc_id): the pivots. Every document votes for the one that has most company among the holders of its shingles.
+
+    A shingle is led by its holder of the highest score, so the middle of a group leads the group; a
+    document votes for the leader of most of its shingles, of which an eighth, by their hash, and the
+    least are asked.
     """
-    order = F.struct((F.col("score") if level == 0 else F.xxhash64("token", "doc_id", F.lit(level))).alias("s"), F.col("doc_id").alias("q"), F.col("n").alias("nq"))
-    leaders = heads.groupBy("token").agg(F.max(order).alias("lead"))
-    votes = heads.join(leaders, "token").groupBy("doc_id", "lead.q", "lead.nq").agg(F.count(F.lit(1)).alias("c"))
-    return votes.groupBy("doc_id").agg(F.max_by(F.struct("q", "nq"), F.struct("c", "q")).alias("p")).select("p.q", "p.nq").distinct()
-
-
-def _near(heads: DataFrame, pivots: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """(doc_id, q, n, nq, i, diff): every pivot of at least ``near`` per cent similarity, with what differs from it."""
-    own = heads.join(pivots.select(F.col("q").alias("doc_id")), "doc_id", "left_semi").select("token", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
-    pairs = heads.join(own, "token").filter(_sizes_fit("n", "nq", near)).select("doc_id", "q").distinct()
-    both = pairs.join(sets.select("doc_id", F.col("members").alias("x")), "doc_id").join(sets.select(F.col("doc_id").alias("q"), F.col("members").alias("p")), "q")
-    out = both.withColumn("only", F.array_except("x", "p")).withColumn("n", F.size("x").cast("long")).withColumn("nq", F.size("p").cast("long")).withColumn("i", F.col("n") - F.size("only"))
+    asked = F.array_distinct(F.concat(F.filter("members", lambda x: F.pmod(x, F.lit(8)) == 0), F.array(F.array_min("members"))))
+    rows = core.select("doc_id", "score", F.explode(asked).alias("token"))
+    leaders = rows.groupBy("token").agg(F.max(F.struct("score", F.col("doc_id").alias("q")))["q"].alias("q"))
+    votes = rows.join(leaders, "token").groupBy("doc_id", "q").agg(F.count(F.lit(1)).alias("c"))
+    return votes.groupBy("doc_id").agg(F.max_by("q", F.struct("c", "q")).alias("q")).select(F.col("q").alias("doc_id")).distinct()
+
+
+def _chosen(core: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids``; others are not shuffled."""
+    bits = filter_bits(ids.count())
+    return may_be_in(core, F.col("doc_id"), bit_filter(ids, F.col("doc_id"), bits), bits).join(ids, "doc_id", "left_semi")
+
+
+def _near(core: DataFrame, pivots: DataFrame, near: int) -> DataFrame:
+    """(doc_id, q, n, nq, i, diff): every pivot of at least ``near`` per cent similarity, with the shared shingles that differ."""
+    own = _heads(pivots, near).select("token", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
+    pairs = _heads(core, near).join(own, "token").filter(_sizes_fit("n", "nq", near)).select("doc_id", "q").distinct()
+    both = pairs.join(pivots.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("members").alias("p")), "q").join(core.select("doc_id", "n", F.col("members").alias("x")), "doc_id")
+    out = both.withColumn("only", F.array_except("x", "p")).withColumn("i", (F.size("x") - F.size("only")).cast("long"))
     return out.filter(_at_least(near)).select("doc_id", "q", "n", "nq", "i", F.concat("only", F.array_except("p", "x")).alias("diff"))
 
 
-def _regions(near: DataFrame, percent: int, near_percent: int) -> DataFrame:
-    """(doc_id, q, home, n, nq, diff): each document at home with its nearest pivot and in the window of others.
+def _regions(near: DataFrame, percent: int, home: int) -> DataFrame:
+    """(doc_id, q, home, n, d, diff): each document at home with its nearest pivot and in the window of others; d: by how many shingles it differs.
 
-    Let x be at home with p, at distance d(x, p) within near - r of similarity, and y a partner,
-    d(x, y) <= r. Then d(y, p) <= d(x, p) + r, so y is near p; and if y has a home h,
-    d(x, p) <= d(x, h) gives d(y, p) <= d(y, h) + 2 r. A document without home enters every
-    region that it is near to.
+    With r = 100 - percent, pivots are known down to a similarity of home - r. Let x be at home with
+    p, at ``home`` per cent or more, and y a partner, d(x, y) <= r. Then d(y, p) <= d(x, p) + r, so y
+    knows p; and if y has a home h, d(x, p) <= d(x, h) gives d(y, p) <= d(y, h) + 2 r. A document
+    without home enters every region it knows.
     """
     r = (100 - percent) / 100
     j = F.col("i") / (F.col("n") + F.col("nq") - F.col("i"))
-    at_home = near.filter(_at_least(near_percent + 100 - percent)).groupBy("doc_id").agg(F.max(F.struct(j.alias("j"), F.col("q").alias("q"))).alias("h"))
+    at_home = near.filter(_at_least(home)).groupBy("doc_id").agg(F.max(F.struct(j.alias("j"), F.col("q").alias("q"))).alias("h"))
     all_ = near.join(at_home, "doc_id", "left")
-    home = F.coalesce(F.col("h.q") == F.col("q"), F.lit(False))
-    return all_.filter(F.col("h").isNull() | home | (j >= F.col("h.j") - 2 * r - 1e-9)).select("doc_id", "q", home.alias("home"), "n", "nq", "diff")
+    own = F.coalesce(F.col("h.q") == F.col("q"), F.lit(False))
+    seen = F.col("h").isNull() | own | (j >= F.col("h.j") - 2 * r - 1e-9)
+    return all_.filter(seen).select("doc_id", "q", own.alias("home"), "n", (F.col("n") + F.col("nq") - 2 * F.col("i")).alias("d"), "diff")
 
 
 def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -148,7 +167,7 @@ def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int
         named = regions.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = lambda df, *k: df.groupBy(*k).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("at"), F.count(F.lit(1)).alias("df")).filter("lo != hi and at").select(*k, "df")
     named = named.join(several(named, "q").select("q"), "q", "left_semi")
-    rows = named.select("q", "doc_id", "n", F.size("diff").alias("d"), "home", "component", F.explode("diff").alias("token"))
+    rows = named.select("q", "doc_id", "n", "d", "home", "component", F.explode("diff").alias("token"))
     kept = rows.join(several(rows, "q", "token"), ["q", "token"])
     per = kept.groupBy("q", "doc_id", "n", "d", "home", "component").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     least = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
@@ -158,9 +177,9 @@ def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int
 
 def _verified(pairs: DataFrame, regions: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs (q, a, b) that link, worked out from their differences from q."""
-    side = lambda k: regions.select("q", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("diff").alias(f"d{k}"))
+    side = lambda k: regions.select("q", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("d").alias(f"d{k}"), F.col("diff").alias(f"x{k}"))
     both = pairs.join(side("a"), ["q", "a"]).join(side("b"), ["q", "b"])
-    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    apart = F.col("da") + F.col("db") - 2 * F.size(F.array_intersect("xa", "xb"))
     return both.filter(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
 
 
@@ -183,23 +202,24 @@ def _other_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return rows.join(other, ["q", "token"]).filter((F.col("component") < F.col("cb")) & (F.col("home") | F.col("hb")) & _sizes_fit("n", "nb", percent) & may).select("q", F.col("doc_id").alias("a"), "b").distinct()
 
 
-def _links(sets: DataFrame, percent: int, near: int) -> DataFrame | None:
+def _links(sets: DataFrame, percent: int, home: int) -> DataFrame | None:
     """(node, component) of sets (doc_id, n, members) that link to another; None without links."""
     active, found, regions, level = sets, None, None, 0
     while True:
-        ranked = materialize(_covered(active, percent, near), "ranked")
-        if ranked.isEmpty():
+        core = materialize(_core(active, percent), "core")
+        if core.isEmpty():
             break
-        heads = materialize(ranked.select("doc_id", "n", "score", F.explode("heads").alias("token")), "heads")
-        pivots = materialize(_elected(heads, level), "pivots")
-        close = materialize(_near(heads, pivots, sets, near), "near")
-        here = materialize(_regions(close, percent, near), "regions")
+        # what is far from all pivots is thin: its regions are wider
+        wide = max(home - 15 * level, 100 - percent + 5)
+        pivots = materialize(_chosen(core, materialize(_elected(core), "elected")), "pivots")
+        close = materialize(_near(core, pivots, wide - (100 - percent)), "near")
+        here = materialize(_regions(close, percent, wide), "regions")
         star = materialize(close.filter(_at_least(percent) & (F.col("doc_id") != F.col("q"))).select(F.col("doc_id").alias("a"), F.col("q").alias("b")), "stars")
         found = star if found is None else found.unionByName(star)
         regions = here if regions is None else regions.unionByName(here)
-        settled = here.filter("home").select("doc_id")
-        left = materialize(active.join(ranked.select("doc_id"), "doc_id", "left_semi").join(settled, "doc_id", "left_anti"), "left")
-        done_with(ranked, heads, pivots, close, active if level else None)
+        far = materialize(core.select("doc_id").join(here.filter("home").select("doc_id"), "doc_id", "left_anti"), "far")
+        left = materialize(_chosen(core, far), "left")
+        done_with(core, pivots, close, far, active if level else None)
         active, level = left, level + 1
     if found is None or found.isEmpty() and regions.filter("not home").isEmpty():
         return None
@@ -230,14 +250,14 @@ def _links(sets: DataFrame, percent: int, near: int) -> DataFrame | None:
     return labels
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, near: int = 50, extra: int = 10) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, home: int = 50, extra: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked when 100 * |A & B| >= percent * |A | B|.
 
     Words are what lies between ASCII white space, A-Z lower-cased; a set holds the distinct
     ``words``-word shingles of the whole text (a shorter text is one shingle; an empty or null one
     has none and links with nothing). component_id is the smallest doc_id reachable by links. Equal
-    sets are one class and are joined once. ``near``: similarity in per cent down to which pivots
-    have windows; it bears on cost alone. Shingles are compared as 64-bit hashes. Rows that repeat a
+    sets are one class and are joined once. ``home``: similarity in per cent that a document has to
+    its region's pivot at least; it bears on cost alone. Shingles are compared as 64-bit hashes. Rows that repeat a
     doc_id are each placed by their own text; a null doc_id gets a null component. An empty
     table gives no rows. Other columns are not read.
     """
@@ -247,7 +267,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, near:
     has = sketch.filter("n > 0 and doc_id is not null")
     reps = has.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
-    live = materialize(reps.join(_may_link(has, reps, percent, extra), ["rep", "n", "d1", "d2"]), "live")
+    live = _may_link(has, reps, percent, extra)
     names = materialize(sketch.select("doc_id", "n", "d1", "d2"), "names")
     done_with(sketch)
 
@@ -256,7 +276,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, near:
     sets = texts.mapInArrow(_sets(words), f"rep {key}, n bigint, d1 bigint, d2 bigint, members array<bigint>")
     sets = sets.join(live, ["rep", "n", "d1", "d2"]).select("node", "n", "members").dropDuplicates(["node"])
     sets = materialize(sets.withColumnRenamed("node", "doc_id"), "sets")
-    labels = _links(sets, percent, near)
+    labels = _links(sets, percent, home)
 
     named = reps.select("n", "d1", "d2", "rep", "node")
     if labels is not None:
@@ -280,15 +300,4 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """
     found = jaccard_components(docs, words, percent)
     gone = materialize(found.filter("doc_id is not null").groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select("doc_id"), "gone")
-    bits = filter_bits(gone.count())
-    rows = docs.select("doc_id", F.struct("*").alias("row"))
-    seen = may_be_in(rows, F.col("doc_id"), bit_filter(gone, F.col("doc_id"), bits), bits).join(gone, "doc_id", "left_anti")
-    return _clear(rows, gone, bits).select("row.*").unionByName(seen.select("row.*"))
-
-
-def _clear(rows: DataFrame, gone: DataFrame, bits: int) -> DataFrame:
-    from .common import _BLOCK_BITS, has_bit
-
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    placed = rows.withColumn("f_block", (bit / _BLOCK_BITS).cast("int")).withColumn("f_bit", F.pmod(bit, F.lit(_BLOCK_BITS)))
-    return placed.join(F.broadcast(bit_filter(gone, F.col("doc_id"), bits)), "f_block", "left").filter(~has_bit(F.col("f_map"), F.col("f_bit")))
+    return without(docs.select("doc_id", F.struct("*").alias("row")), gone).select("row.*")
