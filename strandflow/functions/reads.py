@@ -109,5 +109,5 @@ def aligned_read_length(elements: Column) -> Column:
 def indel_quality(open_q: int, ext_q: int, tandem_q: int, length: Column, run: Column) -> Column:
     """Phred score that an indel of this length is no sequencing error, given the homopolymer run."""
     size = F.abs(length)
-    tandem = F.when(run >= 3, (F.lit(tandem_q) * size / run).cast("int")).otherwise(F.lit(1000))
+    tandem = F.when(run >= 3, (F.lit(float(tandem_q)) * size / run + 0.499).cast("int")).otherwise(F.lit(1000))
     return F.least(F.lit(open_q) + F.lit(ext_q) * (size - 1), tandem)

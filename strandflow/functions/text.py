@@ -16,13 +16,40 @@ def round_nearest(value: Column, digits: int) -> Column:
     return F.round(value, digits)
 
 
+def _product(a: Column, b: float) -> tuple[Column, Column]:
+    """a * b as the nearest double and the exact rest (both factors split in halves of 26 bits)."""
+    half = lambda x: x * 134217729.0 - (x * 134217729.0 - x)
+    b_hi = b * 134217729.0 - (b * 134217729.0 - b)
+    b_lo = b - b_hi
+    a_hi = half(a)
+    a_lo = a - a_hi
+    p = a * b
+    return p, ((a_hi * b_hi - p) + a_hi * b_lo + a_lo * b_hi) + a_lo * b_lo
+
+
 def round_nearest_text(value: Column, digits: int = 6) -> Column:
-    """The shortest decimal that rounds like the value at ``digits`` decimals (half to even, as printf); 0 if that small."""
+    """The shortest decimal that rounds like the value at ``digits`` decimals; 0 if that small.
+
+    Rounds what the double holds exactly, half to even, as printf does: 0.0375 lies below the tie
+    and gives 0.037. A place that looks like a tie is decided by the rest of an exact product.
+    """
     eps = 5.0 * 10.0 ** -(digits + 1)
-    tie = value * 2.0 ** (digits + 1)  # halves that are exact in binary go to even, as printf has it
-    exact = F.when(tie == F.floor(tie), F.bround(value, digits)).otherwise(value)
-    cut = F.regexp_replace(F.format_string(f"%.{digits}f", exact), r"\.?0+$", "") if digits else F.format_string("%.0f", F.rint(value))
-    return F.when(F.abs(value) < eps, F.lit("0")).otherwise(cut)
+    size = F.abs(value)
+    p, rest = _product(size, 10.0**digits)
+    low = F.floor(p)
+    part = p - low
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
+    units = low.cast("bigint") + F.when(up, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    if digits:
+        ten = F.lit(10**digits).cast("bigint")
+        whole = F.floor((units - units % ten) / ten).cast("bigint")
+        own = F.concat(sign, whole.cast("string"), F.lit("."), F.lpad((units % ten).cast("string"), digits, "0"))
+        own = F.when(p < 2.0**52, own).otherwise(F.format_string(f"%.{digits}f", value))
+        cut = F.regexp_replace(own, r"\.?0+$", "")
+    else:
+        cut = F.when(p < 2.0**52, F.concat(sign, units.cast("string"))).otherwise(F.format_string("%.0f", value))
+    return F.when(size < eps, F.lit("0")).otherwise(cut)
 
 
 def thousands(value: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
@@ -54,8 +54,6 @@ def depth_by_boundaries(spans: DataFrame, tid: str = "tid", start: str = "start"
     lo, hi = F.greatest(F.col("a"), F.col("seg") * segment), F.least(F.col("b"), (F.col("seg") + 1) * segment - 1)
     ends = inside.select("tid", "seg", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct((hi + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select("tid", "seg", "e.at", "e.d")
     steps = ends.groupBy("tid", "seg", "at").agg(F.sum("d").alias("d"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("tid", "seg").orderBy("at")
     runs = steps.select("tid", "at", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(w).alias("next")).filter("depth > 0 and next is not null")
     return runs.select("tid", F.explode(F.sequence(F.col("at").cast("int"), (F.col("next") - 1).cast("int"))).alias("p"), "depth")
@@ -87,10 +85,16 @@ def passes(min_base: int = 0, min_map: int = 0, deletions: bool = False, strand:
     return out
 
 
-def mate_counts(reads: DataFrame, name: str = "qid", keys: Sequence[str] = ("tid",)) -> DataFrame:
-    """Reads with ``mates``: how many reads of the contig carry the name."""
-    many = reads.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("mates")).filter("mates > 1")
-    return reads.join(many, [*keys, name], "left").withColumn("mates", F.coalesce("mates", F.lit(1)))
+def mate_counts(reads: DataFrame, start: str = "pos", stop: str = "stop", name: str = "qid", keys: Sequence[str] = ("tid",)) -> DataFrame:
+    """Reads with ``mates``: 2 where another read of the contig has the name and overlaps the span, else 1.
+
+    Sorted by start, a read overlaps an earlier one if that reaches its start, and a later one if
+    the next begins before its stop; so whole reads are told apart before they are unnested.
+    """
+    w = Window.partitionBy(*keys, name).orderBy(start)
+    reaches = F.max(stop).over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col(start)
+    meets = F.lead(start).over(w) <= F.col(stop)
+    return reads.withColumn("mates", F.when(F.coalesce(reaches, F.lit(False)) | F.coalesce(meets, F.lit(False)), 2).otherwise(1))
 
 
 def overlap_filter(pile: DataFrame, order: Sequence[str], name: str = "qid", retain: bool | Column = False, keys: Sequence[str] = LOCUS, mates: str = "mates") -> DataFrame:
@@ -98,7 +102,8 @@ def overlap_filter(pile: DataFrame, order: Sequence[str], name: str = "qid", ret
 
     Equal bases keep the higher quality (the earlier on a tie). Unequal bases drop both and forget
     the name, or with ``retain`` keep the later one if it differs from the reference. Rows whose
-    name occurs once in the contig pass untouched; only the others are folded, a few rows a group.
+    span no other read of that name overlaps pass untouched; only the others are folded, a few rows
+    a group.
     """
     retain = F.lit(retain) if isinstance(retain, bool) else retain
     cols = pile.columns

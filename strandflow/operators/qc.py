@@ -56,9 +56,11 @@ def nearest_ticks(rows: DataFrame, keys: Sequence[str], gc: str, ticks: Sequence
     return rows.groupBy(*keys).agg(*[F.min_by(F.col(carry), F.struct(F.abs(F.col(gc) - t), F.col(gc))).alias(f"at{t}") for t in ticks])
 
 
-def normalised(value: str, keys: Sequence[str] = ()) -> Column:
-    """A value over the largest of its group."""
-    return F.try_divide(F.col(value), F.max(value).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))))
+def normalised(rows: DataFrame, value: str, keys: Sequence[str] = (), name: str = "share") -> DataFrame:
+    """Rows with a value over the largest of its group, of all rows without keys."""
+    top = rows.groupBy(*keys).agg(F.max(value).alias("top")) if keys else rows.agg(F.max(value).alias("top"))
+    joined = rows.join(top, list(keys)) if keys else rows.crossJoin(F.broadcast(top))  # one row
+    return joined.withColumn(name, F.try_divide(F.col(value), F.col("top"))).drop("top")
 
 
 def gc_of_lines(lines: DataFrame, text: str = "line") -> DataFrame:

@@ -20,11 +20,23 @@ from ..operators.power import with_power
 REASONS = ("fstar_tumor_lod", "nearby_gap_events", "possible_contamination", "germline_risk", "normal_lod", "alt_allele_in_normal", "clustered_read_position", "strand_artifact", "poor_mapping_region_mapq0", "poor_mapping_region_alternate_allele_mapq", "seen_in_panel_of_normals", "triallelic_site")
 
 
-def array_median(x: Column) -> Column:
-    """Of a sorted array; the mean of the middle two of an even number; null of none."""
-    n = F.size(x)
-    lo, hi = F.floor((n - 1) / 2).cast("int") + 1, F.floor(n / 2).cast("int") + 1
-    return F.when(n > 0, (F.try_element_at(x, F.greatest(lo, F.lit(1))) + F.try_element_at(x, hi)) / 2.0)
+def weighted_median(h: Column) -> Column:
+    """Median of a sorted histogram array<struct<v, n>>; the mean of the middle two of an even number; null of none."""
+    total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, x: Column) -> Column:
+        """Adds x once for each of the two middle ranks that it holds."""
+        holds = lambda rank: ((a["seen"] <= rank) & (rank < a["seen"] + x["n"])).cast("int")
+        both = holds(F.floor((total - 1) / 2)) + holds(F.floor(total / 2))
+        return F.struct((a["seen"] + x["n"]).alias("seen"), (a["sum"] + both * x["v"]).alias("sum"))
+
+    return F.when(total > 0, F.aggregate(h, start, step, lambda a: a["sum"] / 2))
+
+
+def deviations(h: Column, middle: Column) -> Column:
+    """The histogram of distances from ``middle``, sorted."""
+    return F.sort_array(F.transform(h, lambda x: F.struct(F.abs(x["v"] - middle).alias("v"), x["n"].alias("n"))))
 
 
 def loci(pile: DataFrame, cfg: SomaticConfig) -> DataFrame:
@@ -32,26 +44,31 @@ def loci(pile: DataFrame, cfg: SomaticConfig) -> DataFrame:
 
     Pile columns: tid, p, ref, base, quality, mapq, rev, sample (TUMOR / NORMAL), fwd_offset,
     rev_offset, gap (I / D / null), clean (passes the read filter). Rows are counted by
-    (base, quality, strand, ...) first, a partial aggregate, and gathered per locus after that.
+    (base, quality, strand, ...) first, a partial aggregate, and gathered per locus after that;
+    offsets are counted per base, so no state grows with depth beyond the length of a read.
     """
     tumor = F.col("sample") == "TUMOR"
 
     per = pile.groupBy("tid", "p", "ref", "sample", "base", "quality", "rev", (F.col("mapq") > 0).alias("placed"), "clean", "is_del").agg(
         F.count(F.lit(1)).alias("n"), F.max("mapq").alias("mapq"), F.count_if(F.col("gap") == "I").alias("ins"), F.count_if((F.col("gap") == "D") | F.col("is_del")).alias("dels"),
-        F.collect_list("fwd_offset").alias("fwd"), F.collect_list("rev_offset").alias("rvs"),
     )
     hist = lambda cond: F.collect_list(F.when(cond, F.struct("base", F.col("quality").alias("q"), "n")))
     use = (~F.col("is_del")) & (F.col("quality") >= cfg.min_qscore)
     top = use & F.col("placed")
     pick = tumor & top & F.col("clean")
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    return per.groupBy("tid", "p", "ref").agg(
+    site = per.groupBy("tid", "p", "ref").agg(
         hist(tumor & top).alias("t_final"), hist(pick).alias("t_clean"), hist(pick & ~F.col("rev")).alias("t_fwd"), hist(pick & F.col("rev")).alias("t_rev"),
         hist(tumor & top & (F.col("quality") > cfg.min_qsum_qscore)).alias("t_sums"), hist(~tumor & use).alias("n_used"), hist(~tumor & top).alias("n_final"),
         total(tumor & top).alias("t_depth"), total(~tumor & top).alias("n_depth"), total(tumor & top & (F.col("quality") >= 20)).alias("t_q20"), total(~tumor & top & (F.col("quality") >= 20)).alias("n_q20"),
         total(use & ~F.col("placed")).alias("mq0"), total(use).alias("reads"), F.coalesce(F.sum(F.when(tumor, F.col("ins"))), F.lit(0)).alias("t_ins"), F.coalesce(F.sum(F.when(tumor, F.col("dels"))), F.lit(0)).alias("t_del"),
-        F.collect_list(F.when(pick, F.struct("base", "mapq", "fwd", "rvs"))).alias("t_reads"),
+        F.collect_list(F.when(pick, F.struct("base", "mapq"))).alias("t_reads"),
     )
+    picked = pile.withColumn("placed", F.col("mapq") > 0).filter(pick)
+    ends = F.array(*[F.struct(F.lit(k).alias("end"), F.col(f"{k}_offset").cast("double").alias("v")) for k in ("fwd", "rev")])
+    places = picked.select("tid", "p", "ref", "base", F.explode(ends).alias("e")).groupBy("tid", "p", "ref", "base", "e.end", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    places = places.groupBy("tid", "p", "ref").agg(F.collect_list(F.struct("base", "end", "v", "n")).alias("t_places"))
+    return site.join(places, ["tid", "p", "ref"], "left")
 
 
 def _quality_sum(hist: Column, base: Column) -> Column:
@@ -78,19 +95,19 @@ def candidates(sites: DataFrame, cfg: SomaticConfig, dbsnp: DataFrame | None = N
     gl = lambda hist: L.genotype_likelihoods(hist, ref, F.lit(0.5))
     c = c.withColumns({"n_gl": gl(F.col("n_used")), "t_gl": gl(t), "t_lod": L.lod(t, ref, alt, F.col("tumor_f")), "t_lod_fwd": L.lod(F.col("t_fwd"), ref, alt, F.col("f_fwd")), "t_lod_rev": L.lod(F.col("t_rev"), ref, alt, F.col("f_rev"))})
     mine = F.filter("t_reads", lambda r: r["base"] == F.col("alt"))
-    offsets = lambda field: F.array_sort(F.flatten(F.transform(mine, lambda r: r[field].cast("array<double>"))))
+    own = lambda end: F.filter("t_places", lambda x: (x["base"] == F.col("alt")) & (x["end"] == end))
+    offsets = lambda end: F.sort_array(F.transform(F.coalesce(own(end), F.array().cast("array<struct<base:string,end:string,v:double,n:bigint>>")), lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"))))
     count = lambda col, b: L.count_of(F.col(col), b)
     c = c.withColumns({
         "init_t_lod": L.alt_versus_ref(F.col("t_gl"), ref, alt), "init_n_lod": L.ref_versus_alt(F.col("n_gl"), ref, alt), "normal_gt": L.best_genotype(F.col("n_gl")),
         "normal_f": F.greatest(L.allele_fraction(F.col("n_used"), ref, alt), F.lit(cfg.minimum_normal_allele_fraction)), "n_alt": count("n_used", alt), "n_ref": count("n_used", ref), "n_alt_sum": _quality_sum(F.col("n_used"), alt), "n_ref_sum": _quality_sum(F.col("n_used"), ref),
         "t_alt": count("t_clean", alt), "t_ref": count("t_clean", ref), "t_alt_sum": _quality_sum(t, alt), "t_ref_sum": _quality_sum(t, ref), "ref_fwd": count("t_fwd", ref), "ref_rev": count("t_rev", ref), "alt_fwd": count("t_fwd", alt), "alt_rev": count("t_rev", alt),
         "alt_mapq": F.coalesce(F.array_max(F.transform(mine, lambda r: r["mapq"])), F.lit(0)), "ref_mapq": F.coalesce(F.array_max(F.transform(F.filter("t_reads", lambda r: r["base"] == F.col("ref")), lambda r: r["mapq"])), F.lit(0)),
-        "fwd_sorted": offsets("fwd"), "rvs_sorted": offsets("rvs"),
+        "fwd_sorted": offsets("fwd"), "rvs_sorted": offsets("rev"),
         "fwd_depth": F.aggregate("t_fwd", F.lit(0).cast("long"), lambda a, x: a + x["n"]), "rev_depth": F.aggregate("t_rev", F.lit(0).cast("long"), lambda a, x: a + x["n"]),
     })
-    mad = lambda col, m: array_median(F.array_sort(F.transform(col, lambda v: F.abs(v - F.col(m)))))
-    c = c.withColumns({"fwd_median": array_median(F.col("fwd_sorted")), "rev_median": array_median(F.col("rvs_sorted"))})
-    c = c.withColumns({"fwd_mad": mad("fwd_sorted", "fwd_median"), "rev_mad": mad("rvs_sorted", "rev_median")})
+    c = c.withColumns({"fwd_median": weighted_median(F.col("fwd_sorted")), "rev_median": weighted_median(F.col("rvs_sorted"))})
+    c = c.withColumns({"fwd_mad": weighted_median(deviations(F.col("fwd_sorted"), F.col("fwd_median"))), "rev_mad": weighted_median(deviations(F.col("rvs_sorted"), F.col("rev_median")))})
     c = with_power(c, "tumor", "rev_depth", "power_pos", cfg.eps, cfg.strand_artifact_lod, "tumor_f")
     c = with_power(c, "tumor", "fwd_depth", "power_neg", cfg.eps, cfg.strand_artifact_lod, "tumor_f")
     return c.withColumn("reasons", reasons(cfg))

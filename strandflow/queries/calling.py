@@ -94,7 +94,7 @@ def sample_likelihood_sums(spark, sf):
 
 @query()
 def germline_calls(spark, sf):
-    c = germline.call(pile(spark, sf).filter((F.col("mapq") > 0) & (F.col("tid") < 2)), GermlineConfig())
+    c = germline.call(pile(spark, sf).filter(F.col("mapq") > 0), GermlineConfig())
     return c.select("tid", "p", "ref", F.array_join("alt", ",").alias("alt"), F.round("qual", 3).alias("qual"), "depth", "an", F.array_join(F.transform("ac", lambda x: x.cast("string")), ",").alias("ac"), F.array_join(F.transform("samples", lambda s: F.concat(s["sample"], F.lit(":"), s["gt"])), ",").alias("genotypes"))
 
 

@@ -93,9 +93,9 @@ def soft_clip_fraction(spark, sf):
     return V.reads(spark, sf).groupBy("tid").agg(F.sum(s).alias("clipped"), F.count_if(heavy).alias("n_heavy"))
 
 
-@query(WP + """ SELECT qid, partkey, suppkey, price, CAST(sum(CASE WHEN base <> ref THEN quality ELSE 0 END) AS BIGINT) AS mismatch_quality FROM pile WHERE abs(p - (pos + 3)) <= 20 GROUP BY qid, partkey, suppkey, price""")
+@query(WP + """ SELECT qid, partkey, suppkey, price, CAST(sum(CASE WHEN base <> ref THEN quality ELSE 0 END) AS BIGINT) AS mismatch_quality FROM pile WHERE abs(p - (pos + 3)) <= 150 GROUP BY qid, partkey, suppkey, price""")
 def mismatch_quality_window(spark, sf):
-    return P.window_mismatch_quality(pile(spark, sf).filter(F.abs(F.col("p") - F.col("pos") - 3) <= 20), ["qid", "partkey", "suppkey", "price"], F.col("pos") + 3, 20)
+    return P.window_mismatch_quality(pile(spark, sf), ["qid", "partkey", "suppkey", "price"], F.col("pos") + 3)
 
 
 @query(WP + " SELECT tid, p, count(*) AS depth FROM pile GROUP BY tid, p")
@@ -104,13 +104,13 @@ def pileup_depth(spark, sf):
     return P.depth_by_boundaries(spans)
 
 
-IV = "iv AS (SELECT tid, min(pos) - 5 AS a, min(pos) + 400 AS b FROM reads GROUP BY tid)"
+IV = "iv AS (SELECT tid, min(pos) - 5 AS a, max(pos) + 55 AS b FROM reads GROUP BY tid)"
 
 
 @query(WP + f", {IV}, d AS (SELECT tid, p, count(*) AS depth FROM pile GROUP BY tid, p), g AS (SELECT tid, CAST(unnest(generate_series(a, b)) AS INT) AS p FROM iv) SELECT g.tid, g.p, coalesce(d.depth, 0) AS depth FROM g LEFT JOIN d USING (tid, p)")
 def pileup_zero_filled(spark, sf):
     r = V.reads(spark, sf)
-    iv = r.groupBy("tid").agg((F.min("pos") - 5).alias("start"), (F.min("pos") + 400).alias("stop"))
+    iv = r.groupBy("tid").agg((F.min("pos") - 5).alias("start"), (F.max("pos") + 55).alias("stop"))
     return P.zero_filled(pileup_depth(spark, sf), iv)
 
 
@@ -139,8 +139,8 @@ FOLD = """, g AS (SELECT tid, p, qid, list({'o0': pos, 'o1': qid, 'o2': partkey,
 
 
 def folded(spark, sf, retain):
-    rows = P.mate_counts(placed(spark, sf))
-    return P.overlap_filter(V.pile(rows, "mates"), V.ORDER, retain=retain)
+    rows = placed(spark, sf).select("tid", "qid", "pos", "len", "partkey", "suppkey", "price", "mapq", "quality", "rev", "sample").withColumn("stop", F.col("pos") + F.col("len") - 1)
+    return P.overlap_filter(V.pile(P.mate_counts(rows), "mates"), V.ORDER, retain=retain)
 
 
 @query(WP + FOLD.replace("{retain}", "true") + " SELECT tid, p, count(*) AS depth, count(*) FILTER (WHERE r.base <> r.ref) AS n_alt, CAST(sum(r.quality) AS BIGINT) AS q_sum FROM f WHERE r IS NOT NULL GROUP BY tid, p")
@@ -208,11 +208,11 @@ GENO = """, g(g, i) AS (VALUES ('AA', 0), ('AC', 1), ('CC', 2), ('AG', 3), ('CG'
   lk AS (SELECT tid, p, pile.ref, i, g, sum(log10(
      (CASE WHEN g[1] <> g[2] AND pile.ref = g[1] THEN 0.8 WHEN g[1] <> g[2] AND pile.ref = g[2] THEN 0.2 ELSE 0.5 END) * (CASE WHEN base = g[1] THEN 1 - e ELSE e / 3 END) +
      (CASE WHEN g[1] <> g[2] AND pile.ref = g[1] THEN 0.2 WHEN g[1] <> g[2] AND pile.ref = g[2] THEN 0.8 ELSE 0.5 END) * (CASE WHEN base = g[2] THEN 1 - e ELSE e / 3 END))) AS l
-   FROM (SELECT *, pow(10, -quality / 10.0) AS e FROM pile WHERE tid = 0 AND quality >= 5) pile, g GROUP BY ALL)"""
+   FROM (SELECT *, pow(10, -quality / 10.0) AS e FROM pile WHERE quality >= 5) pile, g GROUP BY ALL)"""
 
 
 def likelihoods(spark, sf):
-    h = P.quality_histogram(V.pile(placed(spark, sf).filter((F.col("mapq") > 0) & (F.col("tid") == 0) & (F.col("quality") >= 5))), also=["ref"])
+    h = P.quality_histogram(V.pile(placed(spark, sf).filter((F.col("mapq") > 0) & (F.col("quality") >= 5))), also=["ref"])
     return h.withColumn("lk", L.genotype_likelihoods(F.col("hist"), F.col("ref"), F.lit(0.2)))
 
 
@@ -306,9 +306,9 @@ def normal_power(spark, sf):
 @query(WT + """, o AS (SELECT tid, p, abs(p - pos) AS x FROM pile WHERE base <> ref), m AS (SELECT tid, p, median(x) AS m FROM o GROUP BY tid, p)
   SELECT tid, p, max(m) AS median, median(abs(x - m)) AS mad FROM o JOIN m USING (tid, p) GROUP BY tid, p""")
 def offset_median_mad(spark, sf):
-    o = tumor_pile(spark, sf).filter(F.col("base") != F.col("ref")).groupBy("tid", "p").agg(F.array_sort(F.collect_list(F.abs(F.col("p") - F.col("pos")).cast("double"))).alias("x"))
-    o = o.withColumn("median", S.array_median(F.col("x")))
-    return o.select("tid", "p", "median", S.array_median(F.array_sort(F.transform("x", lambda v: F.abs(v - F.col("median"))))).alias("mad"))
+    o = tumor_pile(spark, sf).filter(F.col("base") != F.col("ref")).groupBy("tid", "p", F.abs(F.col("p") - F.col("pos")).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    o = o.groupBy("tid", "p").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x")).withColumn("median", S.weighted_median(F.col("x")))
+    return o.select("tid", "p", "median", S.weighted_median(S.deviations(F.col("x"), F.col("median"))).alias("mad"))
 
 
 @query(W + " SELECT tid, CAST(floor(pos / 100) AS INT) AS chunk, count(*) AS n FROM reads GROUP BY tid, floor(pos / 100)")

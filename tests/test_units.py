@@ -105,8 +105,30 @@ def test_downsampling_levels_groups():
     assert downsample.file_depth(250, 8000, 4) == 2000 and downsample.file_depth(250, 8000, 40) == 250
 
 
+def test_numbers_as_text_round_what_the_double_holds(spark):
+    rng = random.Random(4)
+    values = [0.0375, 0.0875, -0.0375, 0.125, 0.375, 2.5, 0.5, 1.5, 0.0005, 0.00049, 1e9 + 0.5, 123456.0005] + [rng.randint(0, 4000) / 8000 for _ in range(300)] + [rng.uniform(-1e4, 1e4) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 3, 6):
+        got = [r[0] for r in df.select(X.round_nearest_text(F.col("v"), digits)).collect()]
+        for v, g in zip(values, got):
+            want = f"{v:.{digits}f}"
+            want = (want.rstrip("0").rstrip(".") if digits else want) if abs(v) >= 5.0 * 10.0 ** -(digits + 1) else "0"
+            assert g == want, (v, digits)
+
+
+def test_query_positions_and_repeats(spark):
+    at = lambda cigar, target: one(spark, x=indel.query_position(R.cigar_elements(F.lit(cigar)), F.lit(10), F.lit(target)))["x"]
+    assert [at("2S3M2D4M", t) for t in (9, 10, 12, 13, 14, 15, 18, 40)] == [2, 2, 4, 5, 5, 5, 8, 9]
+    assert at("5M3S", 99) == 5 and at("5M3I", 99) == 5 and at("2M3N2M", 13) == 2
+    reach = lambda ref, pos, n, ins=None: one(spark, x=indel.repeat_extent(F.lit(ref), F.lit(pos), F.lit(n), F.lit(ins) if ins else None))["x"]
+    assert reach("TACACACGG", 0, -2) == 6 and reach("TAAAAG", 0, 1, "A") == 4 and reach("TGGG", 0, 1, "A") == 0
+    assert reach("T" + "A" * 20 + "C" + "A" * 30, 0, 1, "a") == 51
+
+
 def test_indel_and_allele_helpers():
-    assert indel.homopolymer_run("ACGGGT", 1) == 3 and indel.query_position([("S", 2), ("M", 3), ("D", 2), ("M", 4)], 10, 15) == 5
+    assert indel.homopolymer_run("ACGGGT", 1) == 3
+    assert indel.glocal_score("A" * 30 + "ACGTACGTAC", "GTACG", np.full(5, 30)) < 20
     assert indel.glocal_score("ACGTACGTAC", "GTACG", np.full(5, 30)) < indel.glocal_score("ACGTACGTAC", "GTTTG", np.full(5, 30))
     assert indel.top_types({0: 1, 1: 9, -2: 4, 3: 4, 5: 2}) == [0, 1, -2, 3]
     assert alleles.find_allele(["C", "CT"], ["CTA", "CTTA"], 1) == 1 and alleles.find_allele(["C", "G"], ["A", "T"], 1) == -1
