@@ -73,22 +73,39 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate:
     return kept[0], float(kept[1])
 
 
-def cut_off(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
-    """Where to call a text toxic: the least non-negative risk of the zero-one loss, the highest place on a tie."""
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of scores of confirmed and of unlabelled rows, with the logistic loss."""
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def cut_off(zp: np.ndarray, zu: np.ndarray, prior: float, floor: float = -np.inf) -> float | None:
+    """Where above ``floor`` to call a text toxic: the least non-negative risk of the zero-one loss, the highest place on a tie; None without a place."""
     z = np.unique(np.r_[zp, zu])
-    if len(z) < 2:
-        return 0.0
     at = (z[1:] + z[:-1]) / 2
+    at = at[at > floor]
+    if not len(at):
+        return None
     missed = np.searchsorted(np.sort(zp), at) / len(zp)
     called = 1 - np.searchsorted(np.sort(zu), at) / len(zu)
-    risk = prior * missed + np.maximum(0, called - prior * (1 - missed))
-    return float(at[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
+    value = prior * missed + np.maximum(0, called - prior * (1 - missed))
+    return float(at[np.flatnonzero(value <= value.min() + 1e-12)[-1]])
+
+
+#: the model that calls nothing
+SILENT = (np.zeros(0, np.int64), np.zeros(0), -4.0)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most_words: int = 256, least: int = 3, z_least: float = 5.0) -> Model:
-    """Words that confirmed examples hold far more often than unlabelled text, weighed by nnPU."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 3, z_least: float = 4.0) -> Model:
+    """Words that confirmed examples hold far more often than unlabelled text, all of them, weighed by nnPU.
+
+    A word takes part if at least ``least`` confirmed texts hold it, their share exceeds that of the
+    unlabelled ones by ``z_least`` standard errors, and unlabelled text holds it no more than twice
+    as often as the prior lets toxic text do. The prior is lowered to what the unlabelled texts with
+    such words allow. A text without any of them is never called toxic; without words, or where no
+    cut-off above that leaves confirmed texts apart, the model abstains: it calls nothing.
+    """
     if not positive or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
+        return Model(*SILENT)
     wp, cp = np.unique(np.concatenate(positive), return_counts=True)
     wu, cu = np.unique(np.concatenate(unlabelled), return_counts=True)
     wp, cp = wp[cp >= least], cp[cp >= least]
@@ -98,24 +115,27 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     pool = (cp + base) / (len(positive) + len(unlabelled))
     z = (fp - fu) / np.sqrt(pool * (1 - pool) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
     # a word of toxic text alone stands in unlabelled text as often as the prior says, give or take
-    keep = np.flatnonzero((z >= z_least) & (fu <= 2 * prior * fp + 2 / len(unlabelled)))
-    keep = keep[np.argsort(-z[keep], kind="stable")][:most_words]
-    words = np.sort(wp[keep])
+    words = np.sort(wp[(z >= z_least) & (fu <= 2 * prior * fp + 2 / len(unlabelled))])
+    if not len(words):
+        return Model(*SILENT)
 
     def rows(docs: list[np.ndarray]) -> np.ndarray:
-        return np.stack([np.isin(words, d, assume_unique=True) for d in docs]).astype(float) if len(words) else np.zeros((len(docs), 0))
+        return np.stack([np.isin(words, d, assume_unique=True) for d in docs]).astype(float)
 
     xp, xu = rows(positive), rows(unlabelled)
     seen = (xp.sum(1) > 0).mean()
-    if seen:  # what share of unlabelled text can be toxic at all, if toxic text holds these words as often as confirmed text
-        prior = min(prior, max(0.005, (xu.sum(1) > 0).mean() / seen))
+    prior = min(prior, max(0.005, (xu.sum(1) > 0).mean() / seen))
     w, b = nnpu(xp, xu, prior)
-    return Model(words, w, b - cut_off(xp @ w + b, xu @ w + b, prior))
+    cut = cut_off(xp @ w + b, xu @ w + b, prior, b + 1e-9)
+    return Model(*SILENT) if cut is None else Model(words, w, b - cut)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, folds: int = 5, held_fold: int = 0) -> Model:
     """Fit on at most ``most`` confirmed toxic and 3 * ``most`` unlabelled texts outside the held-out fold, picked by a hash of doc_id.
 
+    The driver gets the distinct word hashes of these texts alone. Of rows that share a doc_id the
+    least text counts.
+
     The class prior is the share of toxic rows among the labels outside the held-out fold, or what
     the unlabelled texts' words allow, whichever is less.
     """
@@ -129,9 +149,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, f
     # confirmed rows stay in: unlabelled text stands for the whole population, of which the prior speaks
     unlabelled = [(r[0], 0) for r in order(pool).limit(3 * most).collect()]
     if not picked or not unlabelled:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -4.0)
+        return Model(*SILENT)
     ids = spark.createDataFrame(picked + unlabelled, f"doc_id {kind}, y int")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y")
+    # of rows that share a doc_id one text counts, so the sample is bounded whatever the ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids.groupBy("doc_id", "y").count()), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
     got = texts.mapInArrow(_words, f"doc_id {kind}, y int, words array<bigint>").toArrow()
     y = got["y"].to_numpy()
     words = [x.values.to_numpy() for x in got["words"].combine_chunks()] if len(got) else []
@@ -155,8 +176,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fol
     """(doc_id, held_out, score, predicted): how likely a whole text is toxic.
 
     Labels are learnt only from rows whose crc32 of doc_id is not ``held_fold`` modulo ``folds``. A
-    null or empty text has no words and gets the score of the bias. Without confirmed examples all
-    scores are low and alike. Equal texts score alike; rows that repeat are scored each; other
+    null or empty text has no words and gets the score of the bias, which is under one half. The
+    model weighs all words that confirmed texts hold far more often (:func:`fit`); without confirmed
+    examples, or without such words, it abstains: all scores are low and alike. Equal texts score alike; rows that repeat are scored each; other
     columns are not read.
     """
     model = learn(docs, labels, folds=folds, held_fold=held_fold, **options)
@@ -176,6 +198,6 @@ def _keep(model: Model, schema: pa.Schema, text: int, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """Documents whose score stays under ``threshold``, all their columns."""
+    """Documents whose score stays under ``threshold``, all their columns; all of them where the model abstains."""
     model = learn(docs, labels, **options)
     return docs.mapInArrow(_keep(model, None, docs.columns.index("text"), threshold), docs.schema)

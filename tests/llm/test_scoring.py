@@ -132,6 +132,36 @@ def test_drop_toxic_keeps_clean_documents(spark):
     assert len([i for i in range(900) if i % 4 and i in ids]) > 660 and len([i for i in range(0, 900, 4) if i in ids]) < 12 and 5000 in ids
 
 
+def test_nnpu_minimises_the_risk_it_states():
+    rng = np.random.default_rng(7)
+    xp, xu = (rng.random((80, 4)) < [0.8, 0.1, 0.5, 0.3]).astype(float), (rng.random((400, 4)) < [0.1, 0.1, 0.5, 0.3]).astype(float)
+    prior, decay = 0.1, 1e-3
+    w, b = toxicity.nnpu(xp, xu, prior, decay=decay)
+
+    def direct(w, b):  # the estimator written out row by row
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        p = [float(x @ w + b) for x in xp]
+        u = [float(x @ w + b) for x in xu]
+        negative = sum(loss(-z) for z in u) / len(u) - prior * sum(loss(-z) for z in p) / len(p)
+        return prior * sum(loss(z) for z in p) / len(p) + max(0.0, negative)
+
+    assert abs(direct(w, b) - toxicity.risk(xp @ w + b, xu @ w + b, prior)) < 1e-9
+    own = direct(w, b) + decay * w @ w / 2
+    near = [(w + rng.normal(size=4) * s, b + rng.normal() * s) for s in (0.02, 0.2, 1.0) for _ in range(60)]
+    assert all(direct(v, c) + decay * v @ v / 2 > own - 2e-3 for v, c in near) and w[0] > 1
+
+
+def test_a_toxicity_model_without_evidence_calls_nothing(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("aeiourstn") for _ in range(3))
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(300)] + [(7, "another row of seven"), (None, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(60)], "doc_id bigint, toxic int")
+    assert toxicity.drop_toxic(df, labels).count() == len(rows)
+    out = toxicity.toxicity_scores(df, labels).toPandas()
+    assert len(out) == len(rows) and out.predicted.sum() == 0 and not out.held_out[out.doc_id.isna()].any()
+
+
 def test_chat_round_trip_and_layouts(spark):
     from pyspark.sql import functions as F
 
