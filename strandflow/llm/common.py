@@ -71,7 +71,7 @@ def done_with(*tables: DataFrame | None) -> None:
 
 
 def filter_bits(rows: int, bits_per_row: int = 16, most: int = 1 << 28) -> int:
-    """Size of a bit filter: a power of two that grows with the rows, at most ``most`` bits (32 MB).
+    """Size of a bit filter: a power of two that grows with the rows, at most ``most`` bits (as a rule 32 MB).
 
     Beyond that it lets more rows pass that a join has to drop, and never loses one.
     """

@@ -11,6 +11,7 @@ of different classes are found by an exact prefix filter over differences, never
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +96,10 @@ def _core(active: DataFrame, percent: int) -> DataFrame:
     """
     rows = active.select("doc_id", "n", F.explode("members").alias("token"))
     df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    kept = rows.join(df, "token").groupBy("doc_id", "n").agg(F.sum("df").alias("all"), F.collect_list(F.struct("df", "token")).alias("shared"))
-    kept = kept.filter(F.size("shared") >= _col_needed(F.col("n"), percent))
-    return kept.select("doc_id", "n", (F.col("all") / F.col("n")).alias("score"), F.transform(F.sort_array("shared"), lambda x: x["token"]).alias("members"))
+    kept = rows.join(df, "token").groupBy("doc_id", "n").agg(F.avg("df").alias("score"), F.collect_list(F.struct("df", "token")).alias("shared"))
+    # rows that repeat a set count once
+    kept = kept.select("doc_id", "n", (F.col("score") * F.size("shared") / F.col("n")).alias("score"), F.array_distinct(F.transform(F.sort_array("shared"), lambda x: x["token"])).alias("members"))
+    return kept.filter(F.size("members") >= _col_needed(F.col("n"), percent))
 
 
 def _heads(core: DataFrame, near: int) -> DataFrame:
@@ -266,16 +268,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, home:
     sketch = materialize(slim.mapInArrow(_sketches(words, percent, extra), f"doc_id {key}, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"), "sketch")
     has = sketch.filter("n > 0 and doc_id is not null")
     reps = has.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # a node for each class; the seed is one under which no two classes share their name
+    for seed in count():
+        node = F.xxhash64("n", "d1", "d2", F.lit(seed))
+        classes = materialize(reps.withColumn("node", node), "classes")
+        if classes.groupBy("node").count().filter("count > 1").isEmpty():
+            break
+    reps = classes
     live = _may_link(has, reps, percent, extra)
     names = materialize(sketch.select("doc_id", "n", "d1", "d2"), "names")
     done_with(sketch)
 
-    bits = filter_bits(live.count())
-    texts = may_be_in(slim, F.col("doc_id"), bit_filter(live, F.col("rep"), bits), bits).join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(words), f"rep {key}, n bigint, d1 bigint, d2 bigint, members array<bigint>")
-    sets = sets.join(live, ["rep", "n", "d1", "d2"]).select("node", "n", "members").dropDuplicates(["node"])
-    sets = materialize(sets.withColumnRenamed("node", "doc_id"), "sets")
+    # a few texts more than those of live classes may pass: they link with nothing that they shouldn't
+    bits = filter_bits(live.count(), 64, 1 << 30)
+    texts = may_be_in(slim.filter(F.col("doc_id").isNotNull()), F.col("doc_id"), bit_filter(live, F.col("rep"), bits), bits)
+    sets = texts.mapInArrow(_sets(words), f"rep {key}, n bigint, d1 bigint, d2 bigint, members array<bigint>").filter("n > 0")
+    sets = materialize(sets.select(node.alias("doc_id"), "n", "members"), "sets")
     labels = _links(sets, percent, home)
 
     named = reps.select("n", "d1", "d2", "rep", "node")
