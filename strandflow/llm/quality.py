@@ -30,7 +30,7 @@ class Model:
         import zstandard as z
 
         if self._tools is None:
-            self._tools = [z.ZstdCompressor(level=self.level, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in (self.good, self.bad)]
+            self._tools = [z.ZstdCompressor(level=self.level, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in (self.good, self.bad)]
         g, b = self._tools
         sg = sb = 0
         for at in range(0, len(text), BLOCK):
@@ -40,6 +40,11 @@ class Model:
         return len(text), sg, sb
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        """The size difference over both sizes and over the text's, and the smaller size over the text's.
+
+        The last says how far either dictionary fits at all; without it the difference of a text that
+        neither fits reads like that of a text both fit (README: figures with and without).
+        """
         n, g, b = np.array([self.sizes(t) for t in texts], float).reshape(-1, 3).T
         n = np.maximum(n, 1)
         return np.stack([(g - b) / np.maximum(g + b, 1), (g - b) / n, np.minimum(g, b) / n], 1)
@@ -66,12 +71,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight, -30, 30)))
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, label: str, held: Column, most: int, seed: int) -> list:
-    """Up to ``most`` labelled texts of each class, by a hash of doc_id: a bounded sample, the only text the driver gets."""
+def sample_texts(docs: DataFrame, labels: DataFrame, label: str, held: Column, most: int, longest: int, seed: int) -> list:
+    """Up to ``most`` labelled texts of each class, by a hash of doc_id: a bounded sample, the only text the driver gets.
+
+    Texts of more than ``longest`` characters are not learnt from; of rows that share a doc_id the
+    least text counts.
+    """
     usable = labels.filter(~held & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("y2")).filter("y = y2").select("doc_id", "y")
     picked = [usable.filter(F.col("y") == v).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most) for v in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for p in picked for r in p.collect()], usable.schema)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id").collect()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= longest)
+    rows = found.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     return sorted(((r["doc_id"], r["text"], r["y"]) for r in rows), key=lambda r: (zlib_key(r[0]), r[1]))
 
 
@@ -81,18 +91,22 @@ def zlib_key(doc_id) -> int:
     return zlib.crc32(f"order{doc_id}".encode())
 
 
-def fit(rows: list, dictionary: int = 65536) -> Model:
-    """Every second text of a class fills its dictionary (equal bytes from each text), the others calibrate."""
-    by = {v: [r[1].encode() for r in rows if r[2] == v] for v in (0, 1)}
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """A zstandard dictionary of ``size`` bytes trained on all of the texts; of few texts, equal shares of each as raw content."""
+    import zstandard as z
+
+    texts = [t for t in texts if t]
+    try:
+        return z.train_dictionary(size, texts).as_bytes()
+    except (z.ZstdError, ValueError):  # too little text to train on
+        share = max(16, size // max(len(texts), 1))
+        return b"\n".join(t[:share] for t in texts)[:size].ljust(8, b"\n")
 
-    def content(texts: list[bytes]) -> bytes:
-        if not texts:
-            return b"\n" * 8
-        share = max(256, dictionary // len(texts))
-        picked = [t[(len(t) // 3) : (len(t) // 3) + share] for t in texts]
-        return b"\n".join(picked)[-dictionary:].rjust(8, b"\n")
 
-    model = Model(content(by[1][::2]), content(by[0][::2]))
+def fit(rows: list, size: int = 65536) -> Model:
+    """Every second text of a class trains its dictionary, the others calibrate."""
+    by = {v: [r[1].encode() for r in rows if r[2] == v] for v in (0, 1)}
+    model = Model(dictionary(by[1][::2], size), dictionary(by[0][::2], size))
     rest = [(t, v) for v in (0, 1) for t in by[v][1::2]]
     y = np.array([v for _, v in rest], float)
     if len(set(y.tolist())) == 2:
@@ -112,7 +126,7 @@ def _score(model: Model, keep: list[str]):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, seed: int = 3, folds: int = 3, held_fold: int = 1) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, longest: int = 65536, seed: int = 3, folds: int = 3, held_fold: int = 1) -> DataFrame:
     """(doc_id, held_out, score, predicted): how likely a whole text is of label 1.
 
     Labels are learnt only from rows whose crc32 of doc_id is not ``held_fold`` modulo ``folds``, at
@@ -121,6 +135,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 2000, seed: i
     0 and gets that score. Without labels every score is 0.5. Rows labelled both ways are not learnt
     from. Equal texts score alike; other columns are not read.
     """
-    model = fit(sample_texts(docs, labels, "quality", crc_mod(F.col("doc_id"), folds) == held_fold, most, seed))
+    model = fit(sample_texts(docs, labels, "quality", crc_mod(F.col("doc_id"), folds) == held_fold, most, longest, seed))
     scored = docs.select("doc_id", "text").mapInArrow(_score(model, ["doc_id", "score"]), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

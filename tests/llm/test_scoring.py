@@ -132,6 +132,25 @@ def test_drop_toxic_keeps_clean_documents(spark):
     assert len([i for i in range(900) if i % 4 and i in ids]) > 660 and len([i for i in range(0, 900, 4) if i in ids]) < 12 and 5000 in ids
 
 
+def test_quality_sizes_and_calibration_equal_a_direct_computation(spark):
+    import zstandard as z
+
+    df, labels = labelled(spark, "quality")
+    rows = quality.sample_texts(df, labels, "quality", quality.crc_mod(quality.F.col("doc_id"), 3) == 1, 60, 5000, 3)
+    assert len(rows) <= 120 and {v for *_, v in rows} == {0, 1} and all(zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows)
+    model = quality.fit(rows, 4096)
+    text = (rows[0][1] * 20).encode()
+    for way, d in ((1, model.good), (2, model.bad)):
+        own = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+        assert model.sizes(text)[way] == sum(len(own.compress(text[i : i + 2048])) for i in range(0, len(text), 2048))
+    rest = [(t.encode(), v) for v in (0, 1) for t in [r[1] for r in rows if r[2] == v][1::2]]
+    p, y = model.score([t for t, _ in rest]), np.array([v for _, v in rest])
+    x = np.c_[(model.features([t for t, _ in rest]) - model.mean) / model.scale, np.ones(len(rest))]
+    assert np.abs(x.T @ (y - p) / len(y) - 1e-3 * model.weight).max() < 1e-6, "the gradient of the ridge loss is zero"
+    again = df.unionByName(df)
+    assert len(quality.sample_texts(again, labels, "quality", quality.F.lit(False), 10, 5000, 3)) == 20
+
+
 def test_nnpu_minimises_the_risk_it_states():
     rng = np.random.default_rng(7)
     xp, xu = (rng.random((80, 4)) < [0.8, 0.1, 0.5, 0.3]).astype(float), (rng.random((400, 4)) < [0.1, 0.1, 0.5, 0.3]).astype(float)
