@@ -76,13 +76,15 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0
     so at most two documents of a shard are cut. ``spans`` are the word ranges of that run in the
     document: taken = passes * size + words in spans, never over ``most`` * size.
 
-    The driver holds one number for each (source, shard): at most ``max_shards`` plus the number of
-    sources. Shards follow from hashes, so reruns agree. Null texts and empty tables take nothing;
-    equal rows are taken like any others. Other columns are not read.
+    Rows that agree in source, doc_id and size are copies: they are counted, and dealt evenly over
+    the source's shards, so no shard is hot. The driver holds one number for each (source, shard): at
+    most ``max_shards`` plus the number of sources; shards widen so that it stays so. Shards follow
+    from hashes, so reruns agree. Null texts and empty tables take nothing. Other columns are not
+    read.
     """
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("s")).collect()  # a row a source
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies")), "sized")
+    per_source = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("s")).collect()  # a row a source
     order = sorted(per_source, key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["s"] or 0) for r in order]
     goal = targets(sizes, [float(cycle[i % len(cycle)]) for i in range(len(order))], most)
@@ -90,8 +92,12 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0
     n_shards = [max(1, -(-s // width)) for s in sizes]
     schema = "source string, source_size bigint, target double, n_shards bigint, k int"
     info = spark.createDataFrame([(r["source"], s, t, n, k) for k, (r, s, t, n) in enumerate(zip(order, sizes, goal, n_shards, strict=True))], schema)
-    named = sized.join(F.broadcast(info), sized["source"].eqNullSafe(info["source"])).select("doc_id", "size", "source_size", "target", "k", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards")).alias("shard"))
-    shards = sorted(named.groupBy("k", "shard").agg(F.sum("size").alias("s")).collect(), key=lambda r: (r["k"], r["shard"]))
+    named = sized.join(info, sized["source"].eqNullSafe(info["source"])).drop(sized["source"]).drop(info["source"])
+    over = F.least("copies", "n_shards")  # the shards that copies of a row are dealt over
+    share = lambda j: F.floor(F.col("copies") / over).cast("long") + (j < F.col("copies") % over).cast("long")
+    deal = F.transform(F.sequence(F.lit(0).cast("long"), over - 1), lambda j: F.struct(F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)) + j, F.col("n_shards")).alias("shard"), share(j).alias("copies")))
+    named = named.withColumn("deal", F.explode(deal)).select("doc_id", "size", "source_size", "target", "k", "deal.shard", "deal.copies")
+    shards = sorted(named.groupBy("k", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("s")).collect(), key=lambda r: (r["k"], r["shard"]))
 
     seats = sainte_lague(np.array(goal), int(round(sum(goal) / block)))
     plan = []
@@ -116,7 +122,9 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), most: float = 3.0
             plan.append((k, int(r["shard"]), int(passes), a, min(b, s), wrap))
     plan_df = spark.createDataFrame(plan, "k int, shard bigint, passes bigint, run_from bigint, run_to bigint, wrap_to bigint")
     w = Window.partitionBy("k", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = named.withColumn("until", F.sum("size").over(w)).withColumn("since", F.col("until") - F.col("size")).join(F.broadcast(plan_df), ["k", "shard"])
+    words = F.col("size") * F.col("copies")
+    laid = named.withColumn("first", F.sum(words).over(w) - words).join(plan_df, ["k", "shard"])
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("since", F.col("first") + F.col("copy") * F.col("size"))
     cut = lambda a, b: F.struct(F.greatest(F.lit(0), a - F.col("since")).cast("long").alias("from"), F.least(F.col("size"), b - F.col("since")).cast("long").alias("to"))
     spans = F.filter(F.array(cut(F.lit(0), F.col("wrap_to")), cut(F.col("run_from"), F.col("run_to"))), lambda x: x["from"] < x["to"])
     laid = laid.withColumn("spans", spans)

@@ -99,21 +99,24 @@ def _pieces(path: str, length: int, end: int) -> Callable:
 
 
 def lower_bound(sizes: np.ndarray, room: int) -> int:
-    """Fewest bins any packing of ``sizes`` needs, by dual feasible functions.
+    """Fewest bins any packing of ``sizes`` needs."""
+    return lower_bound_of(np.bincount(np.asarray(sizes, np.int64), minlength=room + 1), room)
+
+
+def lower_bound_of(count: np.ndarray, room: int) -> int:
+    """Fewest bins for so many items of each size from 0 to ``room``, by dual feasible functions.
 
     f_t sends sizes over room - t to room, those under t to 0 and keeps the rest; u_k rounds size
     to multiples of room / k. A dual feasible function keeps every feasible bin feasible, so the sum
     of its values over room bounds the bins from below.
     """
-    if not len(sizes):
+    values = np.arange(room + 1)
+    if not count.any():
         return 0
-    x = np.asarray(sizes, np.int64)
-    count = np.bincount(x, minlength=room + 1)
-    n, mass = np.cumsum(count), np.cumsum(count * np.arange(room + 1))
+    n, mass = np.cumsum(count), np.cumsum(count * values)
     t = np.arange(room // 2 + 1)
     below = np.where(t > 0, mass[np.maximum(t - 1, 0)], 0)
     best = int(((n[-1] - n[room - t]) * room + mass[room - t] - below + room - 1).max() // room)
-    values = np.arange(room + 1)
     for k in range(1, 21):
         up = (k + 1) * values
         u = np.where(up % room == 0, values * k, (up // room) * room)  # k * u_k(x)
@@ -148,11 +151,12 @@ def best_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.nd
 
 def _pack(room: int) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         sizes = pdf["length"].to_numpy()
         bins, offsets, left = best_fit_decreasing(sizes, room)
         gap = len(left) - lower_bound(sizes, room)
-        return pdf.assign(bin=bins, offset=offsets, left=left[bins], gap=gap)
+        # what a certified partition still exchanges: its emptiest bin
+        return pdf.assign(bin=bins, offset=offsets, open=(left[bins] > 0) & ((gap > 0) | (bins == left.argmax())))
 
     return run
 
@@ -168,35 +172,44 @@ def pack(docs: DataFrame, length: int = 1024, end: int = 2, path: str | None = N
 
     A document is its token ids and then ``end``; longer ones are cut into pieces of ``length``
     tokens, of which the first may be shorter. Partitions of about ``group`` pieces are packed
-    best-fit decreasing; a partition whose bins equal its lower bound is certified and stays. In the
-    others, pieces of bins with room are exchanged between partitions and packed again, until no gap
-    is left, one partition holds them all or ``rounds`` are over; each round has fewer pieces.
-
-    A null or empty text is the one token ``end``; an empty table gives no rows; equal rows are
-    packed like any others, and ties go by doc_id and piece. Other columns are not read.
+    best-fit decreasing; a partition whose bins equal its lower bound is certified and stays but for
+    its emptiest bin. In the others, all bins with room are open. Pieces of open bins are exchanged
+    between partitions and packed again, until none is left, one partition holds them all or
+    ``rounds`` are over; each round has fewer pieces.
+
+    Partitions are dealt by a row number, so no doc_id is hot, however often it stands. A null or
+    empty text is the one token ``end``; an empty table gives no rows; equal rows are packed like any
+    others. Other columns are not read.
     """
-    whole = materialize(token_pieces(docs, length, end, path), "pieces")
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = whole.filter(F.col("length") == length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    parts = [full.select(*keys, "sequence_id", "offset")]
-    rest = whole.filter(F.col("length") < length)
-    before = None
+    whole = materialize(token_pieces(docs, length, end, path).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full = whole.filter(F.col("length") == length).select(*keys, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = whole.filter(F.col("length") < length).select("row", "length")
+    placed: DataFrame | None = None
     for turn in range(rounds):
         n = rest.count()
         if not n:
             break
         groups = -(-n // group)
-        schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start bigint, length bigint, ids_crc32 bigint, g bigint, bin bigint, offset bigint, left bigint, gap bigint"
-        dealt = rest.select(*keys, F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(groups)).alias("g"))
+        schema = "row bigint, length bigint, g bigint, bin bigint, offset bigint, open boolean"
+        dealt = rest.select("row", "length", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)).alias("g"))
         packed = materialize(dealt.groupBy("g").applyInPandas(_pack(length), schema), "packed")
-        last = groups == 1 or n == before or turn == rounds - 1
-        again = (F.col("gap") > 0) & (F.col("left") > 0) & F.lit(not last)
+        last = groups == 1 or turn == rounds - 1
+        again = F.col("open") & F.lit(not last)
         seq = F.lit(turn).cast("long") * (1 << 57) + F.col("g") * (1 << 24) + F.col("bin")
-        parts.append(packed.filter(~again).select(*keys, seq.alias("sequence_id"), "offset"))
+        settled = packed.filter(~again).select("row", seq.alias("sequence_id"), "offset")
+        placed = settled if placed is None else placed.unionByName(settled)
         if last:
             break
-        before, rest = n, packed.filter(again)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        rest = packed.filter(again).select("row", "length")
+    if placed is None:
+        return full
+    return full.unionByName(whole.filter(F.col("length") < length).join(placed, "row").select(*keys, "sequence_id", "offset"))
+
+
+def certificate(packed: DataFrame, length: int = 1024) -> DataFrame:
+    """(sequences, least): how many sequences a packing has and a lower bound for any, from the numbers of pieces of each length."""
+    count = np.zeros(length + 1, np.int64)
+    for size, n in packed.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most ``length`` rows
+        count[size] = n
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).withColumn("least", F.lit(lower_bound_of(count, length)).cast("long"))

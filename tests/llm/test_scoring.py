@@ -52,6 +52,21 @@ def test_pack_covers_every_token_once(spark):
     assert packing.pack(df.limit(0), 128).count() == 0
 
 
+def test_packing_spreads_rows_that_share_an_id_and_states_its_gap(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 2**60 + 1, 5]), " ".join(rnd.choice(["alpha", "beta"]) for _ in range(rnd.randint(0, 90)))) for _ in range(120)] + [(None, "same text"), (None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = packing.pack(df, 64, group=16).toPandas()
+    e = packing.Encoder(packing.tokenizer_path())
+    want = sorted((str(i), zlib.crc32(x[a * 4 : b * 4])) for i, t in rows for x in [e(t or "") + (2).to_bytes(4, "little")] for n in [len(x) // 4] for a, b in [(0, n % 64 or 64)] + [(k, k + 64) for k in range(n % 64 or 64, n, 64)])
+    got = [(str(r["doc_id"]), r["ids_crc32"]) for r in packing.pack(df, 64, group=16).select("doc_id", "ids_crc32").collect()]
+    assert sorted(got) == want
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == np.cumsum([0, *g.length])[:-1].tolist() and g.length.sum() <= 64
+    sure = packing.certificate(packing.pack(df, 64, group=256), 64).first()
+    assert sure["least"] == packing.lower_bound(out.length.to_numpy(), 64) <= sure["sequences"] <= sure["least"] + 2
+
+
 def test_sainte_lague_takes_the_highest_quotients():
     rng = np.random.default_rng(4)
     for _ in range(60):
@@ -93,6 +108,19 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert {k: v for k, v in words.items() if v} == {i: t for i, t in zip(out.doc_id, out.taken) if t}
 
 
+def test_mixing_deals_copies_of_a_row_over_shards(spark):
+    rows = [(7, "w " * 50, "a")] * 400 + [(None, "v " * 20, "a")] * 300 + [(i, "u " * 30, "b") for i in range(100)] + [(1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(df, shard_words=500).toPandas()
+    again = mixing.mix(df.repartition(5), shard_words=500).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+    assert len(out) == 801 and (out.taken <= 3 * out["size"]).all()
+    assert sorted(out["size"]) == sorted(len((t or "").split()) for _, t, _ in rows)
+    for target, g in out.groupby("target"):
+        assert abs(g.taken.sum() - target) <= 32
+
+
 def labelled(spark, kind):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("aeiourstn") for _ in range(rnd.randint(2, 7)))
