@@ -117,8 +117,8 @@ def test_mixing_deals_copies_of_a_row_over_shards(spark):
     assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
     assert len(out) == 801 and (out.taken <= 3 * out["size"]).all()
     assert sorted(out["size"]) == sorted(len((t or "").split()) for _, t, _ in rows)
-    for target, g in out.groupby("target"):
-        assert abs(g.taken.sum() - target) <= 32
+    for target, g in out.groupby("target"):  # a block a shard at most
+        assert abs(g.taken.sum() - target) <= 16 * (g.source_size.iloc[0] // 500 + 1)
 
 
 def labelled(spark, kind):
