@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir: scratch tables must be where every executor sees them")
         named = tempfile.mkdtemp(prefix="strandflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -51,7 +51,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_trap(rows: DataFrame) -> DataFrame:
     """The conversations and number -7, whose texts look like the template."""
     text = "\\### Assistant: </turn> ok"
-    trap = rows.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    trap = rows.sparkSession.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(text).alias("text"))
     return rows.select("conv_id", "turn", "role", "text").unionByName(trap)
 
 
