@@ -137,21 +137,31 @@ def _near(core: DataFrame, pivots: DataFrame, near: int) -> DataFrame:
     return out.filter(_at_least(near)).select("doc_id", "q", "n", "nq", "i", F.concat("only", F.array_except("p", "x")).alias("diff"))
 
 
-def _regions(near: DataFrame, percent: int, home: int) -> DataFrame:
-    """(doc_id, q, home, n, d, diff): each document at home with its nearest pivot and in the window of others; d: by how many shingles it differs.
+def _homes(near: DataFrame, home: int) -> DataFrame:
+    """(doc_id, h, j): the nearest pivot of each document that has one of at least ``home`` per cent similarity j."""
+    best = near.filter(_at_least(home)).groupBy("doc_id").agg(F.max(F.struct(_similarity().alias("j"), F.col("q").alias("q"))).alias("best"))
+    return best.select("doc_id", F.col("best.q").alias("h"), F.col("best.j").alias("j"))
 
-    With r = 100 - percent, pivots are known down to a similarity of home - r. Let x be at home with
-    p, at ``home`` per cent or more, and y a partner, d(x, y) <= r. Then d(y, p) <= d(x, p) + r, so y
-    knows p; and if y has a home h, d(x, p) <= d(x, h) gives d(y, p) <= d(y, h) + 2 r. A document
-    without home enters every region it knows.
+
+def _similarity() -> Column:
+    return F.col("i") / (F.col("n") + F.col("nq") - F.col("i"))
+
+
+def _regions(near: DataFrame, homes: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, q, home, n, d, diff): each document at home with its nearest pivot and in the windows of others; d: by how many shingles it differs.
+
+    With r = 100 - percent, pivots are known down to the similarity of a home less r. Let x be at
+    home with p and y a partner, d(x, y) <= r. Then d(y, p) <= d(x, p) + r: y knows p, and lies within
+    r of the radius of p's region, which is the largest d(x, p) in it. If y has a home h,
+    d(x, p) <= d(x, h) gives d(y, p) <= d(y, h) + 2 r. What is linked to p itself is linked by that;
+    a region in which nothing else is at home needs no more.
     """
     r = (100 - percent) / 100
-    j = F.col("i") / (F.col("n") + F.col("nq") - F.col("i"))
-    at_home = near.filter(_at_least(home)).groupBy("doc_id").agg(F.max(F.struct(j.alias("j"), F.col("q").alias("q"))).alias("h"))
-    all_ = near.join(at_home, "doc_id", "left")
-    own = F.coalesce(F.col("h.q") == F.col("q"), F.lit(False))
-    seen = F.col("h").isNull() | own | (j >= F.col("h.j") - 2 * r - 1e-9)
-    return all_.filter(seen).select("doc_id", "q", own.alias("home"), "n", (F.col("n") + F.col("nq") - 2 * F.col("i")).alias("d"), "diff")
+    radius = homes.filter("doc_id != h").groupBy(F.col("h").alias("q")).agg(F.min("j").alias("edge"))
+    seen = near.join(homes.withColumnRenamed("j", "hj"), "doc_id", "left").join(radius, "q")
+    own = F.coalesce(F.col("h") == F.col("q"), F.lit(False))
+    window = (_similarity() >= F.col("edge") - r - 1e-9) & (F.col("h").isNull() | (_similarity() >= F.col("hj") - 2 * r - 1e-9))
+    return seen.filter(own | window).select("doc_id", "q", own.alias("home"), "n", (F.col("n") + F.col("nq") - 2 * F.col("i")).alias("d"), "diff")
 
 
 def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -168,11 +178,12 @@ def _open_differences(regions: DataFrame, labels: DataFrame | None, percent: int
     else:
         named = regions.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = lambda df, *k: df.groupBy(*k).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("home").alias("at"), F.count(F.lit(1)).alias("df")).filter("lo != hi and at").select(*k, "df")
+    least = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
+    named = named.filter(F.size("diff") >= least)  # the others differ too much in shingles of their own
     named = named.join(several(named, "q").select("q"), "q", "left_semi")
     rows = named.select("q", "doc_id", "n", "d", "home", "component", F.explode("diff").alias("token"))
     kept = rows.join(several(rows, "q", "token"), ["q", "token"])
     per = kept.groupBy("q", "doc_id", "n", "d", "home", "component").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    least = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / percent))
     room = (F.size("shared") - least + 1).cast("int")
     return per.filter(room > 0).select("q", "doc_id", "n", "d", F.size("shared").alias("s"), "home", "component", F.transform(F.slice(F.sort_array("shared"), F.lit(1), room), lambda x: x["token"]).alias("heads"))
 
@@ -215,43 +226,49 @@ def _links(sets: DataFrame, percent: int, home: int) -> DataFrame | None:
         wide = max(home - 15 * level, 100 - percent + 5)
         pivots = materialize(_chosen(core, materialize(_elected(core), "elected")), "pivots")
         close = materialize(_near(core, pivots, wide - (100 - percent)), "near")
-        here = materialize(_regions(close, percent, wide), "regions")
+        homes = materialize(_homes(close, wide), "homes")
+        here = materialize(_regions(close, homes, percent), "regions")
         star = materialize(close.filter(_at_least(percent) & (F.col("doc_id") != F.col("q"))).select(F.col("doc_id").alias("a"), F.col("q").alias("b")), "stars")
         found = star if found is None else found.unionByName(star)
         regions = here if regions is None else regions.unionByName(here)
-        far = materialize(core.select("doc_id").join(here.filter("home").select("doc_id"), "doc_id", "left_anti"), "far")
+        far = materialize(core.select("doc_id").join(homes.select("doc_id"), "doc_id", "left_anti"), "far")
         left = materialize(_chosen(core, far), "left")
-        done_with(core, pivots, close, far, active if level else None)
+        done_with(core, pivots, close, homes, far, active if level else None)
         active, level = left, level + 1
-    if found is None or found.isEmpty() and regions.filter("not home").isEmpty():
+    if found is None or found.isEmpty() and regions.isEmpty():
         return None
 
     labels = None if found.isEmpty() else connected_components(found)
+    open_ = materialize(_open_differences(regions, labels, percent), "open")
     turn = 0
     while True:
-        open_ = materialize(_open_differences(regions, labels, percent), "open")
-        asked = materialize(_led_pairs(open_, turn), "asked")
-        n = asked.count()
+        now = open_ if labels is None else _renamed(open_, labels)
+        asked = materialize(_led_pairs(now, turn), "asked")
         new = materialize(_verified(asked, regions, percent), "led")
+        n, hits = asked.count(), new.count()
         done_with(asked)
-        if new.isEmpty():
-            break
-        # classes are joined by their names from now on, so each round's edges are few
-        found = found.unionByName(new)
-        labels = connected_components(found)
-        if new.count() * 20 < n:
-            done_with(open_)
-            open_ = materialize(_open_differences(regions, labels, percent), "open")
+        if hits:
+            found = found.unionByName(new)
+            labels = connected_components(found)
+        # classes that many links join are one by now; the few links left are looked for one by one
+        if hits * 20 <= n:
             break
-        done_with(open_)
         turn += 1
-    last = materialize(_verified(_other_pairs(open_, percent), regions, percent), "links")
+    now = open_ if labels is None else _renamed(open_, labels)
+    last = materialize(_verified(_other_pairs(now, percent), regions, percent), "links")
     done_with(open_)
     if not last.isEmpty():
         labels = connected_components(found.unionByName(last))
     return labels
 
 
+def _renamed(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Open documents under the classes found since, where several of these are left in a region."""
+    now = open_.drop("component").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = now.groupBy("q").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("q")
+    return now.join(mixed, "q", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, home: int = 50, extra: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked when 100 * |A & B| >= percent * |A | B|.
 
