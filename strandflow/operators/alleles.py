@@ -39,11 +39,11 @@ def trim_likelihoods(pl: Column, kept: Column) -> Column:
     """PL values of the genotypes among the kept allele indices, in order."""
     n = F.size(kept)
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), i), lambda j: F.struct(kept[j].alias("a"), kept[i].alias("b")))))
-    return F.transform(pairs, lambda g: F.element_at(pl, (g["b"] * (g["b"] + 1) / 2).cast("int") + g["a"] + 1))
+    return F.transform(pairs, lambda g: F.get(pl, (g["b"] * (g["b"] + 1) / 2 + g["a"]).cast("int")))
 
 
 def trim_values(values: Column, kept: Column) -> Column:
-    return F.transform(kept, lambda i: F.element_at(values, i + 1))
+    return F.transform(kept, lambda i: F.get(values, i.cast("int")))
 
 
 def allele_mask(kept: Column) -> Column:

@@ -34,7 +34,7 @@ def unnest(reads: DataFrame, keep: Sequence[str], cigar: str = "cigar", pos: str
     if seq:
         cols.append(F.when(gone, DELETION).otherwise(F.substring(F.col(seq), offset + 1, F.lit(1))).alias("base"))
     if qual:
-        cols.append(F.try_element_at(F.col(qual), offset + 1).alias("quality"))
+        cols.append(F.get(F.col(qual), offset).alias("quality"))
     return rows.select(*cols)
 
 

@@ -194,10 +194,12 @@ def hist_percentile(spark, sf):
     return Q.histogram_percentile(h, ["source"], "x", "w", [25, 50])
 
 
-@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT max(length(line)) AS longest FROM l),
+@query("""WITH t AS (SELECT replace(text, chr(10), ' ') AS text FROM documents), l AS (SELECT substr(text, CAST(k * 60 + 1 AS INT), 60) AS line FROM (SELECT text, unnest(generate_series(0, (length(text) - 1) // 60)) AS k FROM t WHERE length(text) > 0)), m AS (SELECT max(length(line)) AS longest FROM l),
   g AS (SELECT CAST(floor((length(line) - length(regexp_replace(line, '[GCgc]', '', 'g'))) * 100 / longest) AS INT) AS gc, count(*) AS n FROM l, m GROUP BY 1) SELECT gc, round(n / max(n) OVER (), 6) AS freq FROM g WHERE gc > 0""")
 def gc_content(spark, sf):
-    lines = V.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    whole = V.table(spark, sf, "documents").select(text.alias("text")).filter("length(text) > 0")
+    lines = whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int")), lambda k: F.substring(F.col("text"), k * 60 + 1, F.lit(60)))).alias("line"))
     return Q.gc_of_lines(lines).select("gc", F.round("freq", 6).alias("freq"))
 
 

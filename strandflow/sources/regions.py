@@ -13,21 +13,28 @@ from ..operators.intervals import valid
 
 def interval_list(spark: SparkSession, path: str, dictionary: DataFrame | None = None, padding: int = 0) -> DataFrame:
     """(contig, start, stop, strand, name) 0-based closed, padded; malformed lines and those outside the dictionary are skipped."""
-    lines = spark.read.text(path)
+    return intervals_of(spark.read.text(path), dictionary, padding)
+
+
+def intervals_of(lines: DataFrame, dictionary: DataFrame | None = None, padding: int = 0) -> DataFrame:
     if dictionary is None:
         head = lines.filter(F.col("value").startswith("@SQ"))
         dictionary = head.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).cast("long").alias("length"))
     f = F.split("value", "\t")
     rows = lines.filter(~F.col("value").startswith("@")).filter((F.size(f) == 5) & F.get(f, F.lit(1)).rlike("^[0-9]+$") & F.get(f, F.lit(2)).rlike("^[0-9]+$") & F.get(f, F.lit(3)).isin("+", "-"))
     rows = rows.select(F.get(f, F.lit(0)).alias("contig"), F.get(f, F.lit(1)).cast("long").alias("start"), F.get(f, F.lit(2)).cast("long").alias("stop"), F.get(f, F.lit(3)).alias("strand"), F.get(f, F.lit(4)).alias("name"))
-    ok = rows.join(F.broadcast(dictionary.select("contig", "length")), "contig").filter(valid(F.col("length"), F.col("start"), F.col("stop")))
+    ok = rows.join(dictionary.select("contig", "length"), "contig").filter(valid(F.col("length"), F.col("start"), F.col("stop")))
     return ok.select("contig", (F.col("start") - 1 - padding).alias("start"), (F.col("stop") - 1 + padding).alias("stop"), "strand", "name")
 
 
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """(contig, beg, end) half-open. Two numbers are BED, one is a 1-based position; blank, #, browser and track lines are skipped."""
+    return bed_of(spark.read.text(path))
+
+
+def bed_of(lines: DataFrame) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").rlike(r"^(#|browser\b|track\b)"))
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").rlike(r"^(#|browser\b|track\b)"))
     two = (F.size(f) >= 3) & F.try_element_at(f, F.lit(3)).rlike("^[0-9]+$")
     beg = F.when(two, F.get(f, F.lit(1)).cast("long")).otherwise(F.get(f, F.lit(1)).cast("long") - 1)
     end = F.when(two, F.try_element_at(f, F.lit(3)).try_cast("long")).otherwise(F.get(f, F.lit(1)).cast("long"))
@@ -38,8 +45,12 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 def tab_regions(spark: SparkSession, path: str) -> DataFrame:
     """(contig, beg, end) 0-based closed from 1-based TAB lines with an optional end."""
+    return tab_regions_of(spark.read.text(path))
+
+
+def tab_regions_of(lines: DataFrame) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
     return rows.select(F.get(f, F.lit(0)).alias("contig"), (F.get(f, F.lit(1)).cast("long") - 1).alias("beg"), (F.coalesce(F.try_element_at(f, F.lit(3)).try_cast("long"), F.get(f, F.lit(1)).cast("long")) - 1).alias("end"))
 
 
@@ -66,13 +77,17 @@ def fasta(spark: SparkSession, path: str, chunk: int = 4096) -> DataFrame:
     Each line finds its contig and offset by prefix sums over lines; chunks are put together by key,
     so no contig passes through one row.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v"))
+    return fasta_of(spark.read.text(path), chunk)
+
+
+def fasta_of(lines: DataFrame, chunk: int = 4096) -> DataFrame:
+    lines = lines.select(F.monotonically_increasing_id().alias("i"), F.trim("value").alias("v"))
     order = Window.partitionBy(F.lit(0)).orderBy("i")
     named = lines.withColumn("n", F.sum(F.col("v").startswith(">").cast("int")).over(order))
     heads = named.filter(F.col("v").startswith(">")).select("n", F.regexp_extract("v", r"^>(\S+)", 1).alias("contig"))
     w = Window.partitionBy("n").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     body = named.filter(~F.col("v").startswith(">") & (F.col("v") != "")).withColumn("at", F.coalesce(F.sum(F.length("v")).over(w), F.lit(0)))
-    parts = body.join(F.broadcast(heads), "n").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.length("v") - 1) / chunk))))
+    parts = body.join(heads, "n").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.length("v") - 1) / chunk))))
     lo = F.greatest(F.col("chunk") * chunk - F.col("at"), F.lit(0)).cast("int")
     piece = F.substring("v", lo + 1, (F.least(F.length("v"), (F.col("chunk") + 1) * chunk - F.col("at")) - lo).cast("int"))
     cut = parts.select("contig", F.col("chunk").cast("int").alias("chunk"), "at", piece.alias("piece"))
@@ -118,10 +133,15 @@ def statistics(spark: SparkSession, paths: Sequence[str], producer: str | None =
             first = lines.limit(1).collect()
             if not first or producer not in first[0]["value"]:
                 raise ValueError(f"not written by {producer}: {path}")
-        f = F.split("value", "\t")
-        rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) > 1))
-        sn = F.get(f, F.lit(0)) == "SN"
-        nums = lambda a: F.transform(a, lambda x: F.regexp_extract(x, r"^-?[0-9.]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double"))
-        part = rows.select(F.lit(no).alias("file_no"), F.get(f, F.lit(0)).alias("section"), F.when(sn, F.regexp_replace(F.get(f, F.lit(1)), ":$", "")).otherwise(F.get(f, F.lit(1))).alias("key"), F.when(sn, nums(F.slice(f, 3, 1))).otherwise(nums(F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0))))).alias("values"))
+        part = sections_of(lines).select(F.lit(no).alias("file_no"), "*")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def sections_of(lines: DataFrame) -> DataFrame:
+    """(section, key, values) of statistics text."""
+    f = F.split("value", "\t")
+    rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) > 1))
+    sn = F.get(f, F.lit(0)) == "SN"
+    nums = lambda a: F.transform(a, lambda x: F.regexp_extract(x, r"^-?[0-9.]+(?:[eE][-+]?[0-9]+)?", 0).try_cast("double"))
+    return rows.select(F.get(f, F.lit(0)).alias("section"), F.when(sn, F.regexp_replace(F.get(f, F.lit(1)), ":$", "")).otherwise(F.get(f, F.lit(1))).alias("key"), F.when(sn, nums(F.slice(f, 3, 1))).otherwise(nums(F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0))))).alias("values"))

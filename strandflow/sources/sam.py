@@ -14,7 +14,11 @@ from ..functions.text import header_tags
 
 def header(spark: SparkSession, path: str) -> DataFrame:
     """(type, tags): the @ lines."""
-    lines = spark.read.text(path).filter(F.col("value").startswith("@"))
+    return header_of(spark.read.text(path))
+
+
+def header_of(lines: DataFrame) -> DataFrame:
+    lines = lines.filter(F.col("value").startswith("@"))
     kind = F.substring("value", 2, 2)
     return lines.select(kind.alias("type"), F.when(kind != "CO", header_tags(F.col("value"))).alias("tags"), F.col("value").alias("line"))
 
@@ -29,7 +33,11 @@ def contigs(head: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str | Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
     """Every record, unmapped ones too: positions 0-based, qualities as numbers, tags by name."""
-    lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    return records(spark.read.text(path), dictionary)
+
+
+def records(lines: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    lines = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     f = F.split("value", "\t")
     tags = F.filter(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.instr(t, ":") > 0)
     rows = lines.select(
@@ -39,7 +47,7 @@ def scan(spark: SparkSession, path: str | Sequence[str], dictionary: DataFrame |
     )
     rows = rows.withColumn("stop", R.alignment_end(F.col("pos"), R.cigar_elements(F.col("cigar"))))
     if dictionary is not None:
-        rows = rows.join(F.broadcast(dictionary.select("contig", "tid")), "contig", "left")
+        rows = rows.join(dictionary.select("contig", "tid"), "contig", "left")
     return rows
 
 
@@ -86,7 +94,7 @@ def with_sample(reads: DataFrame, groups: DataFrame) -> DataFrame:
     """Reads with their sample: by (file, read group), else by the file alone; neither is an error."""
     named = groups.filter("rg is not null").select("file", "rg", F.col("sample").alias("s_rg"))
     whole = groups.filter("rg is null").select("file", F.col("sample").alias("s_file"))
-    out = reads.join(F.broadcast(named), ["file", "rg"], "left").join(F.broadcast(whole), "file", "left")
+    out = reads.join(named, ["file", "rg"], "left").join(whole, "file", "left")
     fail = F.raise_error(F.concat(F.lit("no sample for read group "), F.coalesce("rg", F.lit("?"))))
     return out.withColumn("sample", F.coalesce("s_rg", "s_file", fail.cast("string"))).drop("s_rg", "s_file")
 

@@ -20,6 +20,7 @@ def duck(sf):
 def test_query_equals_sql(spark, sf, duck, name):
     got, want = Q.QUERIES[name](spark, sf).toPandas(), duck.execute(Q.SQL[name]).df()
     cols = sorted(got.columns)
+    assert len(want), "a query that gives no rows shows nothing"
     assert sorted(want.columns) == cols
     text = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
     assert text(got).equals(text(want))
