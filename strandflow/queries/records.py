@@ -14,6 +14,7 @@ from ..operators import intervals as I
 from ..operators import pileup as P
 from ..operators import qc as Q
 from ..plans import alignment_view as V
+from ..plans import records as plan
 from ..sinks import calls as sinks
 from ..sources import regions, sam
 from .pileup import W, placed
@@ -287,3 +288,22 @@ def fisher_tables(spark, sf):
     r = placed(spark, sf).filter(F.col("partkey") % 20 == 0).groupBy("tid", F.floor(F.col("pos") / 50).alias("p"))
     t = r.agg(F.count_if(same & ~rev).alias("a"), F.count_if(same & rev).alias("b"), F.count_if(~same & ~rev).alias("c"), F.count_if(~same & rev).alias("d")).select("a", "b", "c", "d").distinct()
     return t.withColumn("sp", bias.fisher_column(*[F.col(x) for x in "abcd"]))
+
+
+@query(ALN + """, y AS (SELECT *, row_number() OVER () AS rid, pos + len + gap - 1 AS stop, CAST(s AS FLOAT) / CAST(s + len + gap + ins AS FLOAT) >= CAST(0.3 AS FLOAT) AS heavy FROM z WHERE mapq > 0 AND flag & 1796 = 0),
+  d AS (SELECT *, CASE WHEN isize <> 0 AND flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0 AND (flag & 16 <> 0) <> (flag & 32 <> 0) AND (CASE WHEN flag & 16 <> 0 THEN stop > mate_pos ELSE pos <= mate_pos + isize END) THEN CASE WHEN flag & 16 <> 0 THEN mate_pos - 1 ELSE pos + abs(isize) + 1 END END AS beside FROM y),
+  b AS (SELECT *, pos + k AS p, s + k AS off, false AS del FROM (SELECT *, unnest(generate_series(0, half - 1)) AS k FROM d)
+    UNION ALL SELECT *, pos + half + k AS p, s + half - 1 AS off, true AS del FROM (SELECT *, unnest(generate_series(0, gap - 1)) AS k FROM d)
+    UNION ALL SELECT *, pos + half + gap + k AS p, s + half + ins + k AS off, false AS del FROM (SELECT *, unnest(generate_series(0, len - half - 1)) AS k FROM d)),
+  c AS (SELECT *, CASE WHEN del THEN 'D' ELSE substr(seq, CAST(off + 1 AS INT), 1) END AS base, substr('ACGTTGCAAC', CAST((tid + p) % 10 + 1 AS INT), 1) AS ref FROM b),
+  e AS (SELECT * FROM c WHERE base <> 'N' AND NOT coalesce(isize <= 100 AND (CASE WHEN flag & 16 <> 0 THEN p <= beside ELSE p >= beside END), false)),
+  f AS (SELECT *, NOT heavy AND sum(CASE WHEN NOT del AND base <> ref THEN quality ELSE 0 END) OVER (PARTITION BY rid) <= 100 AS clean FROM e)
+  SELECT 'c' || tid AS contig, CAST(p AS INT) AS p, ref, count(*) AS n, count(*) FILTER (WHERE del) AS n_del, count(*) FILTER (WHERE NOT del AND base <> ref) AS n_alt, count(*) FILTER (WHERE clean) AS n_clean, CAST(sum(off) AS BIGINT) AS offsets FROM f GROUP BY 1, 2, 3""")
+def records_pile(spark, sf):
+    whole = F.expr("substring(repeat('ACGTTGCAAC', 272), int(tid) + 1, 2700)")
+    text = spark.range(7).withColumnRenamed("id", "tid").select("tid", F.posexplode(F.concat(F.array(F.concat(F.lit(">c"), "tid")), F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.substring(whole, i * 60 + 1, F.lit(60))))).alias("i", "value"))
+    ref = regions.fasta_of(text.coalesce(1).sortWithinPartitions("tid", "i").select("value"), 512)
+    r = sam.records(alignments(spark, sf)).withColumns({"tid": F.substring("contig", 2, 9).cast("int"), "sample": F.lit("TUMOR")})
+    rows = plan.pile(r, ref, chunk=512, fold=False)
+    odd = ~F.col("is_del") & (F.col("base") != F.col("ref"))
+    return rows.groupBy("contig", "p", "ref").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_del").alias("n_del"), F.count_if(odd).alias("n_alt"), F.count_if("clean").alias("n_clean"), F.sum("offset").cast("long").alias("offsets"))
