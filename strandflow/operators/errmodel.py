@@ -35,24 +35,34 @@ def _weights() -> np.ndarray:
     return DEPENDENCY ** np.arange(MOST + 1) * (1 - FLOOR) + FLOOR
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """How often each value stands before its place."""
+    order = np.argsort(x, kind="stable")
+    start = np.r_[True, x[order][1:] != x[order][:-1]]
+    at = np.arange(len(x))
+    out = np.empty(len(x), int)
+    out[order] = at - np.maximum.accumulate(np.where(start, at, 0))
+    return out
+
+
 def likelihoods(base: np.ndarray, quality: np.ndarray, reverse: np.ndarray, alleles: int = 5) -> np.ndarray:
-    """(alleles, alleles) Phred-scaled -log P(bases | genotype); at most the 255 best bases count."""
+    """(alleles, alleles) Phred-scaled -log P(bases | genotype).
+
+    The model is defined for at most 255 bases: of more, the 255 of highest quality count (ties: forward
+    strand, then earlier base). Bases of one kind and strand depend on each other, so the weight of
+    the k-th falls with k; its cost is that of the k-th error of its kind among all.
+    """
     out = np.zeros((alleles, alleles))
     if not len(base):
         return out
     order = np.lexsort((base, reverse, -np.asarray(quality)))[:MOST]
     n = len(order)
-    seen, count = np.zeros((alleles, 2), int), np.zeros(alleles, int)
-    errors, weight = np.zeros(alleles), np.zeros(alleles)
-    fk = _weights()
-    for i in order:
-        b, r = int(base[i]), int(reverse[i])
-        q = min(63, max(4, int(quality[i])))
-        f = fk[seen[b, r]]
-        weight[b] += f
-        errors[b] += f * _beta(q, n)[count[b]]
-        seen[b, r] += 1
-        count[b] += 1
+    b, r, q = np.asarray(base)[order].astype(int), np.asarray(reverse)[order].astype(int), np.clip(np.asarray(quality)[order].astype(int), 4, 63)
+    f = _weights()[_before(2 * b + r)]
+    rank, cost = _before(b), np.empty(n)
+    for v in np.unique(q):
+        cost[q == v] = _beta(int(v), n)[rank[q == v]]
+    count, errors = np.bincount(b, minlength=alleles)[:alleles], np.bincount(b, f * cost, alleles)[:alleles]
     lc = _log_choose()
     for j in range(alleles):
         rest = [k for k in range(alleles) if k != j and count[k]]

@@ -117,6 +117,22 @@ def test_numbers_as_text_round_what_the_double_holds(spark):
             assert g == want, (v, digits)
 
 
+def test_error_model_equals_a_walk_over_bases():
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 60, 400):
+        base, quality, reverse = rng.integers(0, 4, n), rng.integers(2, 70, n), rng.integers(0, 2, n)
+        order = sorted(range(n), key=lambda i: (-quality[i], reverse[i], base[i]))[:255]
+        seen, count, errors = {}, [0] * 5, [0.0] * 5
+        for i in order:
+            b, k = int(base[i]), (int(base[i]), int(reverse[i]))
+            q = min(63, max(4, int(quality[i])))
+            errors[b] += errmodel._weights()[seen.get(k, 0)] * errmodel._beta(q, len(order))[count[b]]
+            seen[k] = seen.get(k, 0) + 1
+            count[b] += 1
+        got = errmodel.likelihoods(base, quality, reverse)
+        assert np.allclose([got[j, j] for j in range(5)], [sum(e for k, e in enumerate(errors) if k != j and count[k]) for j in range(5)])
+
+
 def test_query_positions_and_repeats(spark):
     at = lambda cigar, target: one(spark, x=indel.query_position(R.cigar_elements(F.lit(cigar)), F.lit(10), F.lit(target)))["x"]
     assert [at("2S3M2D4M", t) for t in (9, 10, 12, 13, 14, 15, 18, 40)] == [2, 2, 4, 5, 5, 5, 8, 9]
