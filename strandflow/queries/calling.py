@@ -55,14 +55,75 @@ def somatic_site_counts(spark, sf):
     return s.select("tid", "p", "ref", "t_depth", "n_depth", "mq0", "reads", "t_ins", count_of(F.col("n_used"), alt).alias("n_alt"), somatic._quality_sum(F.col("n_used"), alt).alias("n_alt_sum"))
 
 
-@query()
+def _tail_sql(name: str, pairs: str, p: str, lod: str, threshold: float, flip: bool = False) -> str:
+    """CTEs of the power of each (depth, f) of ``pairs``: what is reached from the first count on, the one before it in part."""
+    k = "depth - i" if flip else "i"
+    pmf = f"exp(lgamma(depth + 1) - lgamma(k + 1) - lgamma(depth - k + 1) + k * ln({p}) + (depth - k) * ln(1 - {p}))"
+    return f"""{name}_d AS ({pairs}), {name}_x AS (SELECT depth, f, i, {k} AS k FROM (SELECT depth, f, unnest(generate_series(0, depth)) AS i FROM {name}_d WHERE depth > 0)),
+      {name}_y AS (SELECT *, {pmf} AS pr, {lod} AS lod FROM {name}_x), {name}_m AS (SELECT depth, f, min(i) AS t FROM {name}_y WHERE lod >= {threshold!r} GROUP BY ALL),
+      {name}_z AS (SELECT depth, f, sum(CASE WHEN i >= t THEN pr ELSE 0 END) AS s, max(CASE WHEN i = t - 1 THEN lod END) AS lb, max(CASE WHEN i = t THEN lod END) AS la, max(CASE WHEN i = t - 1 THEN pr END) AS pb FROM {name}_y JOIN {name}_m USING (depth, f) GROUP BY depth, f),
+      {name} AS (SELECT depth, f, s + coalesce((1 - ({threshold!r} - lb) / (la - lb)) * pb, 0) AS power FROM {name}_z)"""
+
+
+def _somatic_sql(final: str) -> str:
+    """The caller in SQL over the alignment view, in which a locus has one other letter."""
+    c = SomaticConfig()
+    e = c.eps
+    right, wrong = "(CASE WHEN base = ref THEN 1 - e ELSE e / 3 END)", "(CASE WHEN base = alt THEN 1 - e ELSE e / 3 END)"
+    ll = lambda f: f"log10((1 - {f}) * {right} + {f} * {wrong})"
+    mixed = lambda f: f"log10((1 - {f}) * (CASE WHEN b = ref THEN 1 - e ELSE e / 3 END) + {f} * (CASE WHEN b = alt THEN 1 - e ELSE e / 3 END))"
+    share = lambda a, r: f"CASE WHEN {a} + {r} = 0 THEN 0 ELSE {a} / ({a} + {r}) END"
+    lod_t = f"((depth - k) * log10((k / depth) * {e!r} + (1 - k / depth) * {1 - e!r}) + (CASE WHEN k = 0 THEN 0 ELSE k * log10((k / depth) * {1 - e!r} + (1 - k / depth) * {e!r}) END)) - ((depth - k) * log10({1 - e!r}) + k * log10({e!r}))"
+    lod_n = f"((depth - k) * log10({1 - e!r}) + k * log10({e!r})) - (depth * log10(0.5))"
+    own, flat = f"(f * {1 - e!r} + (1 - f) * {e!r})", repr(c.power_af * (1 - e) + (1 - c.power_af) * e)
+    reasons = [
+        ("fstar_tumor_lod", f"t_lod < {c.tumor_lod!r}"),
+        ("nearby_gap_events", f"t_ins >= {c.gap_events_threshold}"),
+        ("possible_contamination", f"t_lod <= {c.tumor_lod!r} + greatest(0, contaminant_lod)"),
+        ("germline_risk", f"at_risk AND init_n_lod < {c.normal_dbsnp_lod!r}"),
+        ("normal_lod", f"init_n_lod < {c.normal_lod!r}"),
+        ("alt_allele_in_normal", f"(n_alt >= {c.max_alt_in_normal_count} OR normal_f >= {c.max_alt_in_normal_fraction!r}) AND n_alt_sum > {c.max_alt_in_normal_qsum}"),
+        ("clustered_read_position", f"(coalesce(fm, 99) <= {c.pir_median_threshold!r} AND fd <= {c.pir_mad_threshold!r}) OR (coalesce(rm, 99) <= {c.pir_median_threshold!r} AND rd <= {c.pir_mad_threshold!r})"),
+        ("strand_artifact", f"(coalesce(power_neg, 0) >= {c.strand_artifact_power!r} AND t_lod_fwd < {c.strand_artifact_lod!r}) OR (coalesce(power_pos, 0) >= {c.strand_artifact_power!r} AND t_lod_rev < {c.strand_artifact_lod!r})"),
+        ("poor_mapping_region_mapq0", f"reads > 0 AND CAST(CAST(mq0 AS FLOAT) / CAST(reads AS FLOAT) AS DOUBLE) >= {c.fraction_mapq0_threshold!r}"),
+        ("poor_mapping_region_alternate_allele_mapq", f"coalesce(alt_mapq, 0) < {c.required_max_alt_mapq}"),
+    ]
+    said = "list_filter([" + ", ".join(f"CASE WHEN {t} THEN '{n}' END" for n, t in reasons) + "], lambda x: x IS NOT NULL)"
+    fraction = repr(max(c.minimum_mutation_cell_fraction, c.fraction_contamination))
+    return WP + f""", g AS (SELECT tid, p, qid, list({{'o0': pos, 'o1': qid, 'o2': partkey, 'o3': suppkey, 'o4': price, 'base': base, 'ref': ref, 'quality': quality, 'mapq': mapq, 'rev': rev, 'sample': sample, 'len': len}} ORDER BY pos, qid, partkey, suppkey, price) AS l FROM pile GROUP BY tid, p, qid),
+      f0 AS (SELECT tid, p, unnest(CASE WHEN len(l) = 1 THEN l ELSE [list_reduce(l, lambda a, x: CASE WHEN a IS NULL THEN x WHEN a.base <> x.base THEN CASE WHEN x.sample = 'NORMAL' THEN CASE WHEN x.base <> x.ref THEN x ELSE a END ELSE NULL END WHEN a.quality < x.quality THEN x ELSE a END)] END) AS r FROM g),
+      x AS (SELECT tid, p, r.base AS base, r.ref AS ref, substr('ACGT', CAST(1 + (tid * 7 + p * 3 + 1) % 4 AS INT), 1) AS alt, r.quality AS q, r.mapq AS mapq, r.rev AS rev, r.o2 AS partkey, abs(p - r.o0) AS fo, abs(p - r.o0 - r.len + 1) AS ro, pow(10, -r.quality / 10.0) AS e,
+        r.sample = 'TUMOR' AS tu, r.quality >= {c.min_qscore} AS us, r.quality >= {c.min_qscore} AND r.mapq > 0 AS tp, r.sample = 'TUMOR' AND r.quality >= {c.min_qscore} AND r.mapq > 0 AND r.o2 % 29 <> 0 AS pk FROM f0 WHERE r IS NOT NULL),
+      s AS (SELECT tid, p, ref, alt, count(*) FILTER (WHERE tu AND tp AND base = ref) AS f_ref, count(*) FILTER (WHERE tu AND tp AND base = alt) AS f_alt, count(*) FILTER (WHERE pk AND base = ref) AS c_ref, count(*) FILTER (WHERE pk AND base = alt) AS c_alt,
+        count(*) FILTER (WHERE pk AND NOT rev AND base = ref) AS w_ref, count(*) FILTER (WHERE pk AND NOT rev AND base = alt) AS w_alt, count(*) FILTER (WHERE pk AND rev AND base = ref) AS v_ref, count(*) FILTER (WHERE pk AND rev AND base = alt) AS v_alt,
+        count(*) FILTER (WHERE NOT tu AND us AND base = ref) AS n_ref, count(*) FILTER (WHERE NOT tu AND us AND base = alt) AS n_alt, coalesce(sum(q) FILTER (WHERE NOT tu AND us AND base = alt), 0) AS n_alt_sum, count(*) FILTER (WHERE tu AND tp AND q > {c.min_qsum_qscore} AND base = alt) AS sums,
+        count(*) FILTER (WHERE tu AND tp) AS t_depth, count(*) FILTER (WHERE NOT tu AND tp) AS n_depth, count(*) FILTER (WHERE us AND mapq = 0) AS mq0, count(*) FILTER (WHERE us) AS reads, count(*) FILTER (WHERE tu AND partkey % 97 = 0 AND fo <= 5) AS t_ins,
+        max(mapq) FILTER (WHERE pk AND base = alt) AS alt_mapq, count(*) FILTER (WHERE pk) AS picked, count(*) FILTER (WHERE pk AND NOT rev) AS fwd_depth, count(*) FILTER (WHERE pk AND rev) AS rev_depth, median(fo) FILTER (WHERE pk AND base = alt) AS fm, median(ro) FILTER (WHERE pk AND base = alt) AS rm FROM x GROUP BY tid, p, ref, alt),
+      h AS (SELECT *, {share("f_alt", "f_ref")} AS ff, {share("c_alt", "c_ref")} AS tf, {share("w_alt", "w_ref")} AS wf, {share("v_alt", "v_ref")} AS vf, {share("n_alt", "n_ref")} AS normal_f FROM s WHERE sums > 0 AND picked > 0),
+      rk AS (SELECT x.*, row_number() OVER (PARTITION BY x.tid, x.p, tu AND tp, base = x.alt ORDER BY q DESC) AS rn FROM x JOIN h USING (tid, p)),
+      j AS (SELECT rk.*, ff, tf, wf, vf, fm, rm, CASE WHEN base = rk.alt AND rn > floor(t_depth * {fraction}) THEN rk.ref ELSE base END AS b, least({fraction}, ff) AS cf FROM rk JOIN h USING (tid, p)),
+      y AS (SELECT tid, p, sum({ll("ff")} - {ll("0")}) FILTER (WHERE tu AND tp) AS lod0, coalesce(sum({ll("tf")} - {ll("0")}) FILTER (WHERE pk), 0) AS t_lod, coalesce(sum({ll("wf")} - {ll("0")}) FILTER (WHERE pk AND NOT rev), 0) AS t_lod_fwd, coalesce(sum({ll("vf")} - {ll("0")}) FILTER (WHERE pk AND rev), 0) AS t_lod_rev,
+        sum({mixed("cf")} - {mixed("0")}) FILTER (WHERE tu AND tp) AS contaminant_lod, coalesce(sum({ll("0")}) FILTER (WHERE NOT tu AND us), 0) AS rr, coalesce(sum({ll("0.5")}) FILTER (WHERE NOT tu AND us), 0) AS ra, coalesce(sum({ll("1")}) FILTER (WHERE NOT tu AND us), 0) AS aa,
+        median(abs(fo - fm)) FILTER (WHERE pk AND base = alt) AS fd, median(abs(ro - rm)) FILTER (WHERE pk AND base = alt) AS rd FROM j GROUP BY tid, p),
+      mk AS (SELECT CAST(o_orderkey % 7 AS INT) AS tid, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS INT) AS p, bool_or(o_orderpriority NOT LIKE '1%') AS dbsnp, bool_or(o_orderpriority LIKE '1%') AS cosmic FROM orders GROUP BY 1, 2),
+      k AS (SELECT h.*, y.* EXCLUDE (tid, p), rr - (greatest(ra, aa) + ln(1 + pow(10, least(ra, aa) - greatest(ra, aa)))) AS init_n_lod, coalesce(dbsnp AND NOT cosmic, false) AS at_risk FROM h JOIN y USING (tid, p) LEFT JOIN mk USING (tid, p) WHERE ff >= {c.tumor_f_pretest!r} AND lod0 >= {c.initial_tumor_lod!r}),
+      {_tail_sql("ps", "SELECT DISTINCT fwd_depth AS depth, tf AS f FROM k UNION SELECT DISTINCT rev_depth, tf FROM k", own, lod_t, c.strand_artifact_lod)},
+      {_tail_sql("pt", "SELECT DISTINCT t_depth AS depth, 0 AS f FROM k", flat, lod_t, c.tumor_lod)},
+      {_tail_sql("pn", "SELECT DISTINCT n_depth AS depth, 0 AS f FROM k", repr(e), lod_n, c.normal_lod, True)},
+      {_tail_sql("pw", "SELECT DISTINCT n_depth AS depth, 0 AS f FROM k", repr(e), lod_n, c.normal_dbsnp_lod, True)},
+      n AS (SELECT k.*, a.power AS power_neg, b.power AS power_pos, coalesce(pt.power, 0) * coalesce(CASE WHEN at_risk THEN pw.power ELSE pn.power END, 0) AS power, t_depth >= {c.tumor_covered_depth} AND n_depth >= (CASE WHEN at_risk THEN {c.normal_covered_depth_dbsnp} ELSE {c.normal_covered_depth} END) AS covered
+        FROM k LEFT JOIN ps a ON a.depth = fwd_depth AND a.f = tf LEFT JOIN ps b ON b.depth = rev_depth AND b.f = tf LEFT JOIN pt ON pt.depth = t_depth LEFT JOIN pn ON pn.depth = n_depth LEFT JOIN pw ON pw.depth = n_depth),
+      o AS (SELECT *, {said} AS reasons FROM n) {final}"""
+
+
+@query(_somatic_sql("SELECT tid, p, ref, alt, round(tf, 6) AS tumor_f, round(t_lod, 5) AS t_lod, round(init_n_lod, 5) AS init_n_lod, round(contaminant_lod, 5) AS contaminant_lod, array_to_string(reasons, ',') AS reasons FROM o"))
 def somatic_candidates(spark, sf):
     cfg = SomaticConfig()
     c = somatic.candidates(somatic.loci(somatic_pile(spark, sf), cfg), cfg, *annotations(spark, sf))
     return c.select("tid", "p", "ref", "alt", F.round("tumor_f", 6).alias("tumor_f"), F.round("t_lod", 5).alias("t_lod"), F.round("init_n_lod", 5).alias("init_n_lod"), F.round("contaminant_lod", 5).alias("contaminant_lod"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
+@query(_somatic_sql("SELECT tid, p, ref, alt, round(power, 6) AS power, covered, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'KEEP' ELSE 'REJECT' END AS judgement FROM o"))
 def somatic_calls(spark, sf):
     out = somatic.call(somatic_pile(spark, sf), SomaticConfig(), *annotations(spark, sf))
     return out.select("tid", "p", "ref", "alt", F.round("power", 6).alias("power"), "covered", F.array_join("reasons", ",").alias("reasons"), "judgement")
