@@ -43,7 +43,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 
-def slices(off: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer text stands alone, whole."""
     at = 0
     while at < len(off) - 1:
