@@ -44,7 +44,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+class Rows:
+    """0/1 features of some rows, by the places of the ones."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.shape = row, column, shape
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray], words: np.ndarray) -> Rows:
+        flat, row = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+        hit = words[at] == flat
+        return cls(row[hit], at[hit], (len(docs), len(words)))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        """Sums of g over the rows of each column."""
+        return np.bincount(self.column, g[self.row], self.shape[1])
+
+
+def nnpu(xp: Rows, xu: Rows, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights of a linear model under the non-negative risk estimator.
 
     Risk: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss. Where the
@@ -63,8 +84,9 @@ def nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 1500, rate:
         if risk < best:
             best, kept = risk, (w, b)
         gp, gu = sig(zp), sig(zu)
-        neg = np.r_[xu.T @ gu / len(xu) - prior * (xp.T @ gp) / len(xp), gu.mean() - prior * gp.mean()]
-        pos = prior * np.r_[xp.T @ (gp - 1) / len(xp), (gp - 1).mean()]
+        rows_p, rows_u = xp.shape[0], xu.shape[0]
+        neg = np.r_[xu.back(gu) / rows_u - prior * xp.back(gp) / rows_p, gu.mean() - prior * gp.mean()]
+        pos = prior * np.r_[xp.back(gp - 1) / rows_p, (gp - 1).mean()]
         g = pos + neg if negative >= 0 else -neg
         g[:d] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -119,12 +141,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not len(words):
         return Model(*SILENT)
 
-    def rows(docs: list[np.ndarray]) -> np.ndarray:
-        return np.stack([np.isin(words, d, assume_unique=True) for d in docs]).astype(float)
-
-    xp, xu = rows(positive), rows(unlabelled)
-    seen = (xp.sum(1) > 0).mean()
-    prior = min(prior, max(0.005, (xu.sum(1) > 0).mean() / seen))
+    xp, xu = Rows.of(positive, words), Rows.of(unlabelled, words)
+    some = lambda x: len(np.unique(x.row)) / x.shape[0]
+    prior = min(prior, max(0.005, some(xu) / some(xp)))
     w, b = nnpu(xp, xu, prior)
     cut = cut_off(xp @ w + b, xu @ w + b, prior, b + 1e-9)
     return Model(*SILENT) if cut is None else Model(words, w, b - cut)

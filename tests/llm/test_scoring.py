@@ -183,7 +183,7 @@ def test_nnpu_minimises_the_risk_it_states():
     rng = np.random.default_rng(7)
     xp, xu = (rng.random((80, 4)) < [0.8, 0.1, 0.5, 0.3]).astype(float), (rng.random((400, 4)) < [0.1, 0.1, 0.5, 0.3]).astype(float)
     prior, decay = 0.1, 1e-3
-    w, b = toxicity.nnpu(xp, xu, prior, decay=decay)
+    w, b = toxicity.nnpu(*[toxicity.Rows(*np.nonzero(x), x.shape) for x in (xp, xu)], prior, decay=decay)
 
     def direct(w, b):  # the estimator written out row by row
         loss = lambda z: float(np.log1p(np.exp(-z)))
