@@ -232,10 +232,10 @@ def genotype_algebra(spark, sf):
     return g.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), i.alias("i"), B.genotype_alleles(i)["a"].alias("a"), B.genotype_alleles(i)["b"].alias("b"), kept.alias("mask"), F.element_at(own, -1).alias("homozygous"))
 
 
-@query("SELECT o_orderkey, CASE WHEN abs(v) < 0.0005 THEN '0' ELSE regexp_replace(printf('%.3f', v), '\\.?0+$', '') END AS three, round(v, 2) + 0.0 AS two, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS big FROM (SELECT *, (o_custkey % 4000) / 8000.0 - 0.1 AS v FROM orders)")
+@query("SELECT o_orderkey, CASE WHEN abs(v) < 0.0005 THEN '0' ELSE regexp_replace(printf('%.3f', v), '\\.?0+$', '') END AS three, round(v, 1) + 0.0 AS one, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS big FROM (SELECT *, (o_custkey % 4000) / 8000.0 - 0.1 AS v FROM orders)")
 def number_text(spark, sf):
     v = (F.col("o_custkey") % 4000) / 8000.0 - 0.1
-    return V.table(spark, sf, "orders").select("o_orderkey", X.round_nearest_text(v, 3).alias("three"), (X.round_nearest(v, 2) + 0.0).alias("two"), X.thousands(F.floor("o_totalprice")).alias("big"))
+    return V.table(spark, sf, "orders").select("o_orderkey", X.round_nearest_text(v, 3).alias("three"), (X.round_nearest(v, 1) + 0.0).alias("one"), X.thousands(F.floor("o_totalprice")).alias("big"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'unmapped' WHEN o_custkey % 5 = 1 THEN 'c' || (o_orderkey % 7) WHEN o_custkey % 5 = 2 THEN 'c' || (o_orderkey % 7) || ':' || o_custkey ELSE 'c' || (o_orderkey % 7) || ':' || o_custkey || '-' || (o_custkey + 9) END AS locus FROM orders")
