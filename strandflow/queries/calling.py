@@ -201,7 +201,15 @@ def icb_hob(spark, sf):
     return c.select("k", F.round(bias.inbreeding_column(*a), 9).alias("icb"), F.round(bias.heterozygote_bias(*a), 6).alias("hob"))
 
 
-@query()
+#: two-sided Fisher tests of the tables in t, by the hypergeometric probability of every table with their margins
+FISHER = """f AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM t), x AS (SELECT *, unnest(generate_series(greatest(0, r + k - n), least(r, k))) AS x FROM f),
+  v AS (SELECT *, CASE WHEN x = a THEN 1 ELSE 0 END AS own, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1)) AS pr FROM x),
+  o AS (SELECT *, max(CASE WHEN own = 1 THEN pr END) OVER (PARTITION BY a, b, c, d) AS p0 FROM v),
+  q AS (SELECT a, b, c, d, CAST(CASE WHEN least(a + b, c + d, a + c, b + d) < 2 THEN 0 ELSE least(255, floor(-4.343 * ln(greatest(sum(CASE WHEN pr <= p0 * (1 + 1e-7) THEN pr END), 1e-300)) + 0.499)) END AS INT) AS sp FROM o GROUP BY a, b, c, d)"""
+
+
+@query(WP + f""", l AS (SELECT tid, p, count(*) FILTER (WHERE base = ref AND NOT rev) AS a, count(*) FILTER (WHERE base = ref AND rev) AS b, count(*) FILTER (WHERE base <> ref AND NOT rev) AS c, count(*) FILTER (WHERE base <> ref AND rev) AS d FROM pile GROUP BY tid, p),
+  t AS (SELECT DISTINCT a, b, c, d FROM l), {FISHER} SELECT a, b, c, d, tid, p, sp FROM l JOIN q USING (a, b, c, d)""")
 def fisher_strand(spark, sf):
     same, rev = F.col("base") == F.col("ref"), F.col("rev")
     t = pile(spark, sf).groupBy("tid", "p").agg(F.count_if(same & ~rev).alias("a"), F.count_if(same & rev).alias("b"), F.count_if(~same & ~rev).alias("c"), F.count_if(~same & rev).alias("d"))
