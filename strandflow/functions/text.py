@@ -52,6 +52,16 @@ def round_nearest_text(value: Column, digits: int = 6) -> Column:
     return F.when(size < eps, F.lit("0")).otherwise(cut)
 
 
+def significant(value: Column, digits: int = 6) -> Column:
+    """The value at so many significant digits, trailing zeros cut, with an exponent under -4 or from ``digits`` on, as printf's %g."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", value), "e")
+    mantissa, power = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)).try_cast("int")
+    cut = lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)
+    plain = cut(F.concat(mantissa, F.lit("E"), power.cast("string")).try_cast(f"decimal(38,{digits + 4})").cast("string"))
+    far = F.concat(cut(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(value == 0, "0").when(power.between(-4, digits - 1), plain).otherwise(far)
+
+
 def thousands(value: Column) -> Column:
     return F.format_number(value, 0)
 

@@ -195,3 +195,59 @@ def call(pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
     if cfg.variants_only:
         sites = sites.filter(F.size("alleles") > 1)
     return sites.select("tid", "p", "ref", "alleles", "allele_qs", "depth", "anno", "samples").mapInPandas(_call(cfg), SITE)
+
+
+def histograms(pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
+    """(tid, p, sample, kind, side, bin, n): what the bias tests compare, counted; at most a few hundred rows a site and sample.
+
+    pos: place in the aligned read in 100 bins, bq and mq: base and mapping quality up to 59, each of
+    reference (side 0) and other bases (1); mqs: mapping quality of forward and reverse reads. Needs
+    read_pos (1-based place without clips) and read_len (without clips).
+    """
+    cfg = cfg or GermlineConfig()
+    rows = pile.filter(~F.col("is_del") & (F.col("quality") >= cfg.min_baseq))
+    diff, rev = (F.col("base") != F.col("ref")).cast("int"), F.col("rev").cast("int")
+    mq = F.least(F.when(F.col("mapq") == 255, 20).otherwise(F.col("mapq")), F.lit(cfg.cap_mapq), F.lit(59))
+    kinds = {"pos": (diff, F.floor(F.col("read_pos") / (F.col("read_len") + 1) * 100)), "bq": (diff, F.least(F.col("quality"), F.lit(59))), "mq": (diff, mq), "mqs": (rev, mq)}
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), side.alias("side"), b.cast("int").alias("bin")) for k, (side, b) in kinds.items()])
+    return rows.select("tid", "p", "sample", F.explode(each).alias("h")).groupBy("tid", "p", "sample", "h.kind", "h.side", "h.bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tests() -> str:
+    return "tid int, p int, vdb double, rpb double, mqb double, mqsb double, bqb double"
+
+
+def _bias(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from ..operators import bias
+
+    for b in batches:
+        out = []
+        for tid, p, counts in zip(b["tid"], b["p"], b["h"], strict=True):
+            h = {(k, s): np.zeros(100) for k in ("pos", "bq", "mq", "mqs") for s in (0, 1)}
+            for x in counts:
+                h[x["kind"], x["side"]][x["bin"]] += x["n"]
+            two = lambda k: bias.mann_whitney(h[k, 0], h[k, 1])  # noqa: E731, B023
+            out.append((tid, p, bias.variant_distance_bias(h["pos", 1]), two("pos"), two("mq"), two("mqs"), two("bq")))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _tests().split(", ")])
+        yield frame.astype({c: "float64" for c in frame.columns[2:]})
+
+
+def with_tags(calls: DataFrame, pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
+    """Called sites with their bias tests, the share of mapping quality 0, segregation, inbreeding and heterozygote bias.
+
+    Only the pile of called sites is counted.
+    """
+    from ..operators import bias
+
+    cfg = cfg or GermlineConfig()
+    own = pile.join(calls.select("tid", "p"), ["tid", "p"], "left_semi")
+    h = histograms(own, cfg).groupBy("tid", "p", "kind", "side", "bin").agg(F.sum("n").alias("n"))
+    tests = h.groupBy("tid", "p").agg(F.collect_list(F.struct("kind", "side", "bin", "n")).alias("h")).mapInPandas(_bias, _tests())
+    bases = own.filter(~F.col("is_del"))
+    used = F.col("quality") >= cfg.min_baseq
+    per = bases.groupBy("tid", "p", "sample").agg(F.count_if(used & (F.col("base") != F.col("ref"))).alias("o"), F.count_if(used).alias("d"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("mapq") == 0).alias("z"))
+    site = per.groupBy("tid", "p").agg(F.collect_list("o").alias("o"), F.collect_list("d").alias("d"), (F.sum("z") / F.sum("n")).alias("mq0f"))
+    site = site.select("tid", "p", "mq0f", bias.segregation_bias(F.col("o"), F.col("d")).alias("sgb"))
+    n = (F.col("nref"), F.col("nalt"), F.col("nhets"), F.col("ndiploid"))
+    out = calls.join(site, ["tid", "p"], "left").join(tests, ["tid", "p"], "left")
+    return out.withColumns({"icb": bias.inbreeding_column(*n), "hob": bias.heterozygote_bias(*n)})

@@ -62,7 +62,7 @@ def pile(reads: DataFrame, reference: DataFrame, targets: DataFrame | None = Non
     odd = F.when(~F.col("is_del") & (F.col("base") != F.col("ref")), F.col("quality")).otherwise(0)
     rows = rows.withColumn("clean", ~F.col("heavy") & (F.sum(odd).over(near) <= cfg.max_read_mismatch_quality_sum))
     size = R.read_length(F.col("e"))
-    rows = rows.select("tid", "contig", "p", "ref", "base", "quality", "mapq", "rev", "sample", "is_del", "clean", "offset", F.col("offset").alias("fwd_offset"), (size - F.col("offset") - 1).alias("rev_offset"), P.gap_event(F.col("e"), F.col("offset"), cfg.gap_event_proximity).alias("gap"), "mates", *ORDER)
+    rows = rows.select("tid", "contig", "p", "ref", "base", "quality", "mapq", "rev", "sample", "is_del", "clean", "offset", F.col("offset").alias("fwd_offset"), (size - F.col("offset") - 1).alias("rev_offset"), P.gap_event(F.col("e"), F.col("offset"), cfg.gap_event_proximity).alias("gap"), R.read_position(F.col("offset"), F.col("e")).alias("read_pos"), R.aligned_read_length(F.col("e")).alias("read_len"), "mates", *ORDER)
     if targets is not None:
         rows = in_targets(rows.withColumns({"read_pos": F.col("pos"), "pos": F.col("p"), "stop": F.col("p")}), targets).withColumn("pos", F.col("read_pos")).drop("read_pos", "stop")
     if not fold:
@@ -84,5 +84,6 @@ def somatic_calls(reads: DataFrame, reference: DataFrame, targets: DataFrame | N
 
 
 def germline_calls(reads: DataFrame, reference: DataFrame, targets: DataFrame | None = None, cfg: GermlineConfig | None = None, chunk: int = 4096) -> DataFrame:
-    """Genotyped sites of records of any samples; every overlapping mate counts once."""
-    return germline.call(pile(reads, reference, targets, chunk=chunk, retain=F.lit(False)), cfg)
+    """Genotyped sites of records of any samples with their tags; every overlapping mate counts once."""
+    rows = pile(reads, reference, targets, chunk=chunk, retain=F.lit(False))
+    return germline.with_tags(germline.call(rows, cfg), rows, cfg)

@@ -159,6 +159,16 @@ def germline_calls(spark, sf):
     return c.select("tid", "p", "ref", F.array_join("alt", ",").alias("alt"), F.round("qual", 3).alias("qual"), "depth", "an", F.array_join(F.transform("ac", lambda x: x.cast("string")), ",").alias("ac"), F.array_join(F.transform("samples", lambda s: F.concat(s["sample"], F.lit(":"), s["gt"])), ",").alias("genotypes"))
 
 
+@query()
+def germline_records(spark, sf):
+    """Variant text of the called sites, tags and all."""
+    from ..sinks.calls import germline_vcf
+
+    rows = pile(spark, sf).filter(F.col("mapq") > 0).withColumns({"read_pos": F.col("p") - F.col("pos") + 1, "read_len": F.col("len")})
+    contigs = spark.range(7).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("c"), "id").alias("contig"))
+    return germline_vcf(germline.with_tags(germline.call(rows, GermlineConfig()), rows), contigs)
+
+
 @query(WP + """, h AS (SELECT tid, p, quality // 10 AS k, count(*) FILTER (WHERE base = ref) AS a, count(*) FILTER (WHERE base <> ref) AS b FROM pile GROUP BY ALL),
   u AS (SELECT tid, p, sum(a * (coalesce(nb, 0) + b * 0.5)) AS u, sum(a) AS n, sum(b) AS m FROM (SELECT *, sum(b) OVER (PARTITION BY tid, p ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM h) GROUP BY tid, p)
   SELECT tid, p, round(exp(-0.5 * (u - n * m / 2.0) * (u - n * m / 2.0) / (n * m * (n + m + 1) / 12.0)), 6) AS mwu FROM u WHERE (n >= 8 OR m >= 8) AND n > 2 AND m > 2""")

@@ -113,6 +113,33 @@ def test_germline_calls(spark, sf, pile):
     assert called == len(got)
 
 
+def test_tags_of_germline_records(spark, sf, pile):
+    got = {(r["tid"], r["p"]): r["line"].split("\t") for r in Q.QUERIES["germline_records"](spark, sf).collect()}
+    calls = {(r["tid"], r["p"]): r for r in Q.QUERIES["germline_calls"](spark, sf).collect()}
+    assert got.keys() == calls.keys() and got
+    for key, f in got.items():
+        rows = [r for r in pile[key] if r[3] > 0]
+        good = [r for r in rows if r[2] >= 13]
+        info = dict(x.split("=") for x in f[7].split(";"))
+        assert (f[0], f[1], f[3], f[4], f[8], info["DP"]) == (f"c{key[0]}", str(key[1] + 1), rows[0][1], calls[key]["alt"], "GT:PL", str(len(rows)))
+        tables = {
+            "RPB": [(base != ref, int((key[1] - pos + 1) / (n + 1) * 100)) for base, ref, *_, pos, n in good], "BQB": [(r[0] != r[1], min(r[2], 59)) for r in good], "MQB": [(r[0] != r[1], min(r[3], 59)) for r in good], "MQSB": [(r[4], min(r[3], 59)) for r in good],
+        }
+        for name, pairs in tables.items():
+            a, b = [x for s, x in pairs if not s], [x for s, x in pairs if s]
+            if not a or not b:
+                assert name not in info
+                continue
+            n, m = len(a), len(b)
+            u = sum((y < x) + 0.5 * (y == x) for x in a for y in b)
+            if n == 1 or m == 1 or n == 2 or m == 2 or (n < 8 and m < 8):  # small samples: held against the exact statistic elsewhere
+                assert 0 <= float(info[name]) < 1.5  # over the likelihood of the mean, which need not be the mode
+            else:
+                assert abs(float(info[name]) - math.exp(-0.5 * (u - n * m / 2) ** 2 / (n * m * (n + m + 1) / 12))) < 1e-5
+        assert ("VDB" in info) == (sum(r[0] != r[1] for r in good) >= 2) and info["MQ0F"] == "0"
+        assert info["DP4"] == ",".join(str(sum((r[0] != r[1]) == d and r[4] == s for r in good)) for d in (False, True) for s in (False, True))
+
+
 def test_levelled_reads_keep_their_limits(spark, sf):
     got = Q.QUERIES["levelling_downsample"](spark, sf).toPandas()
     reads = pd.read_parquet(f"{sf}/lineitem.parquet")

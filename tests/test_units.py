@@ -117,6 +117,13 @@ def test_numbers_as_text_round_what_the_double_holds(spark):
             assert g == want, (v, digits)
 
 
+def test_significant_digits(spark):
+    rng = random.Random(8)
+    values = [0.0, 1.0, 488.0, 3.10664, 0.842082, -4.22417, 999999.5, 1e6, 1234567.0, 0.0001, 0.00012345678, 9.9999996e-5, 1e-300, 100.0] + [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9) for _ in range(300)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(X.significant(F.col("v"))).collect()]
+    assert got == [f"{v:g}" for v in values]
+
+
 def test_error_model_equals_a_walk_over_bases():
     rng = np.random.default_rng(6)
     for n in (1, 7, 60, 400):
