@@ -98,20 +98,23 @@ def _somatic_sql(final: str) -> str:
         count(*) FILTER (WHERE pk AND NOT rev AND base = ref) AS w_ref, count(*) FILTER (WHERE pk AND NOT rev AND base = alt) AS w_alt, count(*) FILTER (WHERE pk AND rev AND base = ref) AS v_ref, count(*) FILTER (WHERE pk AND rev AND base = alt) AS v_alt,
         count(*) FILTER (WHERE NOT tu AND us AND base = ref) AS n_ref, count(*) FILTER (WHERE NOT tu AND us AND base = alt) AS n_alt, coalesce(sum(q) FILTER (WHERE NOT tu AND us AND base = alt), 0) AS n_alt_sum, count(*) FILTER (WHERE tu AND tp AND q > {c.min_qsum_qscore} AND base = alt) AS sums,
         count(*) FILTER (WHERE tu AND tp) AS t_depth, count(*) FILTER (WHERE NOT tu AND tp) AS n_depth, count(*) FILTER (WHERE us AND mapq = 0) AS mq0, count(*) FILTER (WHERE us) AS reads, count(*) FILTER (WHERE tu AND partkey % 97 = 0 AND fo <= 5) AS t_ins,
-        max(mapq) FILTER (WHERE pk AND base = alt) AS alt_mapq, count(*) FILTER (WHERE pk) AS picked, count(*) FILTER (WHERE pk AND NOT rev) AS fwd_depth, count(*) FILTER (WHERE pk AND rev) AS rev_depth, median(fo) FILTER (WHERE pk AND base = alt) AS fm, median(ro) FILTER (WHERE pk AND base = alt) AS rm FROM x GROUP BY tid, p, ref, alt),
+        max(mapq) FILTER (WHERE pk AND base = alt) AS alt_mapq, count(*) FILTER (WHERE pk) AS picked, count(*) FILTER (WHERE pk AND NOT rev) AS fwd_depth, count(*) FILTER (WHERE pk AND rev) AS rev_depth, median(fo) FILTER (WHERE pk AND base = alt) AS fm, median(ro) FILTER (WHERE pk AND base = alt) AS rm,
+        count(*) FILTER (WHERE tu AND tp AND q >= 20) AS t_q20, count(*) FILTER (WHERE NOT tu AND tp AND q >= 20) AS n_q20, coalesce(sum(q) FILTER (WHERE pk AND base = ref), 0) AS c_ref_sum, coalesce(sum(q) FILTER (WHERE pk AND base = alt), 0) AS c_alt_sum,
+        coalesce(sum(q) FILTER (WHERE NOT tu AND us AND base = ref), 0) AS n_ref_sum, max(mapq) FILTER (WHERE pk AND base = ref) AS ref_mapq FROM x GROUP BY tid, p, ref, alt),
       h AS (SELECT *, {share("f_alt", "f_ref")} AS ff, {share("c_alt", "c_ref")} AS tf, {share("w_alt", "w_ref")} AS wf, {share("v_alt", "v_ref")} AS vf, {share("n_alt", "n_ref")} AS normal_f FROM s WHERE sums > 0 AND picked > 0),
       rk AS (SELECT x.*, row_number() OVER (PARTITION BY x.tid, x.p, tu AND tp, base = x.alt ORDER BY q DESC) AS rn FROM x JOIN h USING (tid, p)),
       j AS (SELECT rk.*, ff, tf, wf, vf, fm, rm, CASE WHEN base = rk.alt AND rn > floor(t_depth * {fraction}) THEN rk.ref ELSE base END AS b, least({fraction}, ff) AS cf FROM rk JOIN h USING (tid, p)),
       y AS (SELECT tid, p, sum({ll("ff")} - {ll("0")}) FILTER (WHERE tu AND tp) AS lod0, coalesce(sum({ll("tf")} - {ll("0")}) FILTER (WHERE pk), 0) AS t_lod, coalesce(sum({ll("wf")} - {ll("0")}) FILTER (WHERE pk AND NOT rev), 0) AS t_lod_fwd, coalesce(sum({ll("vf")} - {ll("0")}) FILTER (WHERE pk AND rev), 0) AS t_lod_rev,
         sum({mixed("cf")} - {mixed("0")}) FILTER (WHERE tu AND tp) AS contaminant_lod, coalesce(sum({ll("0")}) FILTER (WHERE NOT tu AND us), 0) AS rr, coalesce(sum({ll("0.5")}) FILTER (WHERE NOT tu AND us), 0) AS ra, coalesce(sum({ll("1")}) FILTER (WHERE NOT tu AND us), 0) AS aa,
+        sum({ll("0")}) FILTER (WHERE pk) AS t_rr, sum({ll("0.5")}) FILTER (WHERE pk) AS t_ra, sum({ll("1")}) FILTER (WHERE pk) AS t_aa,
         median(abs(fo - fm)) FILTER (WHERE pk AND base = alt) AS fd, median(abs(ro - rm)) FILTER (WHERE pk AND base = alt) AS rd FROM j GROUP BY tid, p),
       mk AS (SELECT CAST(o_orderkey % 7 AS INT) AS tid, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS INT) AS p, bool_or(o_orderpriority NOT LIKE '1%') AS dbsnp, bool_or(o_orderpriority LIKE '1%') AS cosmic FROM orders GROUP BY 1, 2),
-      k AS (SELECT h.*, y.* EXCLUDE (tid, p), rr - (greatest(ra, aa) + ln(1 + pow(10, least(ra, aa) - greatest(ra, aa)))) AS init_n_lod, coalesce(dbsnp AND NOT cosmic, false) AS at_risk FROM h JOIN y USING (tid, p) LEFT JOIN mk USING (tid, p) WHERE ff >= {c.tumor_f_pretest!r} AND lod0 >= {c.initial_tumor_lod!r}),
+      k AS (SELECT h.*, y.* EXCLUDE (tid, p), rr - (greatest(ra, aa) + ln(1 + pow(10, least(ra, aa) - greatest(ra, aa)))) AS init_n_lod, greatest(t_ra, t_aa) + ln(1 + pow(10, least(t_ra, t_aa) - greatest(t_ra, t_aa))) - t_rr AS init_t_lod, coalesce(dbsnp, false) AS db, coalesce(cosmic, false) AS co, coalesce(dbsnp AND NOT cosmic, false) AS at_risk FROM h JOIN y USING (tid, p) LEFT JOIN mk USING (tid, p) WHERE ff >= {c.tumor_f_pretest!r} AND lod0 >= {c.initial_tumor_lod!r}),
       {_tail_sql("ps", "SELECT DISTINCT fwd_depth AS depth, tf AS f FROM k UNION SELECT DISTINCT rev_depth, tf FROM k", own, lod_t, c.strand_artifact_lod)},
       {_tail_sql("pt", "SELECT DISTINCT t_depth AS depth, 0 AS f FROM k", flat, lod_t, c.tumor_lod)},
       {_tail_sql("pn", "SELECT DISTINCT n_depth AS depth, 0 AS f FROM k", repr(e), lod_n, c.normal_lod, True)},
       {_tail_sql("pw", "SELECT DISTINCT n_depth AS depth, 0 AS f FROM k", repr(e), lod_n, c.normal_dbsnp_lod, True)},
-      n AS (SELECT k.*, a.power AS power_neg, b.power AS power_pos, coalesce(pt.power, 0) * coalesce(CASE WHEN at_risk THEN pw.power ELSE pn.power END, 0) AS power, t_depth >= {c.tumor_covered_depth} AND n_depth >= (CASE WHEN at_risk THEN {c.normal_covered_depth_dbsnp} ELSE {c.normal_covered_depth} END) AS covered
+      n AS (SELECT k.*, a.power AS power_neg, b.power AS power_pos, coalesce(pt.power, 0) AS tumor_power, coalesce(pn.power, 0) AS nsp, coalesce(pw.power, 0) AS wsp, coalesce(pt.power, 0) * coalesce(CASE WHEN at_risk THEN pw.power ELSE pn.power END, 0) AS power, t_depth >= {c.tumor_covered_depth} AND n_depth >= (CASE WHEN at_risk THEN {c.normal_covered_depth_dbsnp} ELSE {c.normal_covered_depth} END) AS covered
         FROM k LEFT JOIN ps a ON a.depth = fwd_depth AND a.f = tf LEFT JOIN ps b ON b.depth = rev_depth AND b.f = tf LEFT JOIN pt ON pt.depth = t_depth LEFT JOIN pn ON pn.depth = n_depth LEFT JOIN pw ON pw.depth = n_depth),
       o AS (SELECT *, {said} AS reasons FROM n) {final}"""
 
@@ -129,11 +132,36 @@ def somatic_calls(spark, sf):
     return out.select("tid", "p", "ref", "alt", F.round("power", 6).alias("power"), "covered", F.array_join("reasons", ",").alias("reasons"), "judgement")
 
 
-@query()
+def _call_stats_sql() -> str:
+    number = lambda x: f"CASE WHEN {x} IS NULL THEN 'n/a' WHEN abs({x}) < 5e-7 THEN '0' ELSE regexp_replace(printf('%.6f', CAST({x} AS DOUBLE)), '\\.?0+$', '') END"
+    ref = lambda k: f"substr('ACGT', CAST(1 + (tid * 7 + (p + {k + 4}) * 3) % 4 AS INT), 1)"
+    plain = {
+        "contig": "CAST(tid AS VARCHAR)", "position": "CAST(p + 1 AS VARCHAR)", "context": " || ".join([*map(ref, (-3, -2, -1)), "'x'", *map(ref, (1, 2, 3))]), "ref_allele": "ref", "alt_allele": "alt", "tumor_name": "'TUMOR'", "normal_name": "'NORMAL'", "score": "'0'",
+        "dbsnp_site": "CASE WHEN db AND co THEN 'DBSNP+COSMIC' WHEN db THEN 'DBSNP' WHEN co THEN 'COSMIC' ELSE 'NOVEL' END", "covered": "CASE WHEN covered THEN 'COVERED' ELSE 'UNCOVERED' END", "contaminant_fraction": "'0.02'", "normal_best_gt": "gt",
+        "strand_bias_counts": "'(' || w_ref || ',' || v_ref || ',' || w_alt || ',' || v_alt || ')'", "observed_in_normals_count": "'0'", "failure_reasons": "array_to_string(reasons, ',')", "judgement": "CASE WHEN len(reasons) = 0 THEN 'KEEP' ELSE 'REJECT' END",
+    }
+    numbers = {
+        "power": "power", "tumor_power": "tumor_power", "normal_power": "CASE WHEN at_risk THEN wsp ELSE nsp END", "normal_power_nsp": "nsp", "normal_power_wsp": "wsp", "total_reads": "reads", "map_Q0_reads": "mq0", "init_t_lod": "init_t_lod", "t_lod_fstar": "t_lod", "t_lod_fstar_forward": "t_lod_fwd", "t_lod_fstar_reverse": "t_lod_rev",
+        "tumor_f": "tf", "contaminant_lod": "contaminant_lod", "t_q20_count": "t_q20", "t_ref_count": "c_ref", "t_alt_count": "c_alt", "t_ref_sum": "c_ref_sum", "t_alt_sum": "c_alt_sum", "t_ref_max_mapq": "coalesce(ref_mapq, 0)", "t_alt_max_mapq": "coalesce(alt_mapq, 0)", "t_ins_count": "t_ins", "t_del_count": "0",
+        "init_n_lod": "init_n_lod", "normal_f": "normal_f", "n_q20_count": "n_q20", "n_ref_count": "n_ref", "n_alt_count": "n_alt", "n_ref_sum": "n_ref_sum", "n_alt_sum": "n_alt_sum", "power_to_detect_positive_strand_artifact": "coalesce(power_pos, 0)", "power_to_detect_negative_strand_artifact": "coalesce(power_neg, 0)",
+        "tumor_alt_fpir_median": "fm", "tumor_alt_fpir_mad": "fd", "tumor_alt_rpir_median": "rm", "tumor_alt_rpir_mad": "rd",
+    }
+    cols = ", ".join([f"{v} AS {k}" for k, v in plain.items()] + [f"{number('(' + v + ')')} AS {k}" for k, v in numbers.items()])
+    # the best of ten genotypes of the normal's bases; the last of equals
+    best = """, gn(g, i) AS (VALUES ('AA', 0), ('AC', 1), ('CC', 2), ('AG', 3), ('CG', 4), ('GG', 5), ('AT', 6), ('CT', 7), ('GT', 8), ('TT', 9)),
+      gl AS (SELECT tid, p, i, g, sum(log10(0.5 * (CASE WHEN base = g[1] THEN 1 - e ELSE e / 3 END) + 0.5 * (CASE WHEN base = g[2] THEN 1 - e ELSE e / 3 END))) AS l FROM x, gn WHERE NOT tu AND us GROUP BY ALL),
+      gb AS (SELECT tid, p, arg_max(g, {'l': round(l, 9), 'i': i}) AS gt0 FROM gl GROUP BY tid, p), w AS (SELECT o.*, coalesce(gt0, 'TT') AS gt FROM o LEFT JOIN gb USING (tid, p))"""
+    return _somatic_sql(f"{best} SELECT {cols} FROM w")
+
+
+@query(_call_stats_sql())
 def call_stats_rows(spark, sf):
+    from ..plans.alignment_view import ref_base
     from ..sinks.calls import call_stats
 
-    return call_stats(somatic.call(somatic_pile(spark, sf), SomaticConfig(), *annotations(spark, sf)))
+    out = somatic.call(somatic_pile(spark, sf), SomaticConfig(), *annotations(spark, sf))
+    near = [F.lit("x") if k == 0 else ref_base(F.col("tid"), F.col("p") + k + 4) for k in range(-3, 4)]
+    return call_stats(out.withColumn("context", F.concat(*near)))
 
 
 EQ = ", eqs AS (SELECT *, greatest(4, least(quality, least(mapq, 60), 63)) AS eq FROM pile WHERE quality >= 13)"

@@ -26,6 +26,6 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert text(got).equals(text(want))
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL) - {"call_stats_rows"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
 def test_other_queries_run(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
