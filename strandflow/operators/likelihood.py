@@ -32,6 +32,19 @@ def lod(hist: Column, ref: Column, alt: Column, f: Column, f0: Column | None = N
     return log_likelihood(hist, ref, alt, f) - log_likelihood(hist, ref, alt, F.lit(0.0) if f0 is None else f0)
 
 
+def lods(loci: DataFrame, keys: list[str], fractions: dict[str, Column], hist: str = "hist", ref: str = "ref", alt: str = "alt") -> DataFrame:
+    """(keys, name...): log-likelihood of each fraction over that of 0, for every row of ``loci``.
+
+    The histogram is unnested and summed again, which compiled code does; ``keys`` hold what the
+    histogram is grouped by, so no row changes its partition.
+    """
+    rows = loci.select(*keys, ref, alt, *[f.alias(f"f_{k}") for k, f in fractions.items()], F.explode(hist).alias("h"))
+    h, n = F.col("h"), F.col("h.n")
+    at = lambda f: read_log_likelihood(h["base"], h["q"], F.col(ref), F.col(alt), f)
+    none = F.sum(n * at(F.lit(0.0)))
+    return rows.groupBy(*keys, ref, alt).agg(*[(F.sum(n * at(F.col(f"f_{k}"))) - none).alias(k) for k in fractions])
+
+
 def count_of(hist: Column, base: Column) -> Column:
     return F.aggregate(F.filter(hist, lambda h: h["base"] == base), F.lit(0).cast("long"), lambda a, h: a + h["n"])
 

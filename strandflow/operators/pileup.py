@@ -42,21 +42,31 @@ def depth(pile: DataFrame, keys: Sequence[str] = LOCUS) -> DataFrame:
     return pile.groupBy(*keys).agg(F.count(F.lit(1)).alias("depth"))
 
 
-def depth_by_boundaries(spans: DataFrame, tid: str = "tid", start: str = "start", stop: str = "stop", segment: int = 16384) -> DataFrame:
-    """Depth of covered positions from span ends alone: (tid, p, depth).
+def depth_by_boundaries(spans: DataFrame, tid: str = "tid", start: str = "start", stop: str = "stop", segment: int = 16384, weights: dict[str, Column] | None = None) -> DataFrame:
+    """Depth of covered positions from span ends alone: (tid, p, depth), and a sum for each of ``weights`` of the spans.
 
     Spans add 1 at their start and take it away after their stop; a running sum over fixed segments
     of the contig gives the depth, each segment opened with what spans it. Per-base rows appear only
     after aggregation, so the shuffle carries two rows a span (and one for each segment it enters).
     """
-    s = spans.select(F.col(tid).alias("tid"), F.col(start).alias("a"), F.col(stop).alias("b")).filter("a <= b")
+    named = {"depth": F.lit(1)} | (weights or {})
+    s = spans.select(F.col(tid).alias("tid"), F.col(start).alias("a"), F.col(stop).alias("b"), *[w.cast("int").alias(k) for k, w in named.items()]).filter("a <= b")
     inside = s.withColumn("seg", F.explode(F.sequence(F.floor(F.col("a") / segment), F.floor(F.col("b") / segment))))
     lo, hi = F.greatest(F.col("a"), F.col("seg") * segment), F.least(F.col("b"), (F.col("seg") + 1) * segment - 1)
-    ends = inside.select("tid", "seg", F.explode(F.array(F.struct(lo.alias("at"), F.lit(1).alias("d")), F.struct((hi + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select("tid", "seg", "e.at", "e.d")
-    steps = ends.groupBy("tid", "seg", "at").agg(F.sum("d").alias("d"))
+    two = F.array(F.struct(lo.alias("at"), F.lit(1).alias("sign")), F.struct((hi + 1).alias("at"), F.lit(-1).alias("sign")))
+    ends = inside.select("tid", "seg", *named, F.explode(two).alias("e"))
+    steps = ends.groupBy("tid", "seg", F.col("e.at").alias("at")).agg(*[F.sum(F.col(k) * F.col("e.sign")).alias(k) for k in named])
     w = Window.partitionBy("tid", "seg").orderBy("at")
-    runs = steps.select("tid", "at", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), F.lead("at").over(w).alias("next")).filter("depth > 0 and next is not null")
-    return runs.select("tid", F.explode(F.sequence(F.col("at").cast("int"), (F.col("next") - 1).cast("int"))).alias("p"), "depth")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = steps.select("tid", "at", *[F.sum(k).over(run).alias(k) for k in named], F.lead("at").over(w).alias("next")).filter("depth > 0 and next is not null")
+    return runs.select("tid", F.explode(F.sequence(F.col("at").cast("int"), (F.col("next") - 1).cast("int"))).alias("p"), *named)
+
+
+def block_spans(reads: DataFrame, keep: Sequence[str], cigar: str = "cigar", pos: str = "pos") -> DataFrame:
+    """(keep, start, stop, is_del): the spans of aligned and of deleted blocks of each read, a row a block."""
+    b = F.col("b")
+    rows = reads.select(*keep, F.col(pos).alias("at"), F.explode(F.filter(R.blocks(R.cigar_elements(F.col(cigar))), lambda x: F.instr(F.lit("M=XD"), x["op"]) > 0)).alias("b"))
+    return rows.filter(b["len"] > 0).select(*keep, (F.col("at") + b["ref0"]).alias("start"), (F.col("at") + b["ref0"] + b["len"] - 1).alias("stop"), (b["op"] == "D").alias("is_del"))
 
 
 def zero_filled(covered: DataFrame, intervals: DataFrame, value: str = "depth") -> DataFrame:

@@ -47,6 +47,14 @@ def pile(rows: DataFrame, *keep: str) -> DataFrame:
     return out.withColumn("ref", ref_base(F.col("tid"), F.col("p"))).withColumn("base", F.when(odd, ref_base(F.col("tid"), F.col("p"), 1)).otherwise(F.col("ref"))).withColumn("is_del", F.lit(False))
 
 
+def mismatches(rows: DataFrame, *keep: str) -> DataFrame:
+    """The pile's rows whose base differs from the reference, without the others ever being unnested: p and the columns named."""
+    first = F.col("pos") + F.pmod(-(F.col("partkey") * 31 + F.col("pos")), F.lit(23))
+    stop = F.col("pos") + F.col("len") - 1
+    some = rows.select("tid", *keep, first.cast("int").alias("m_first"), stop.cast("int").alias("m_stop")).filter("m_first <= m_stop")
+    return some.select("tid", *keep, F.explode(F.sequence("m_first", "m_stop", F.lit(23))).alias("p"))
+
+
 #: the same in SQL: WITH <READS>, <PILE> SELECT ...
 READS = """reads AS (SELECT *, cast((CASE WHEN partkey % 4 > 0 THEN (partkey % 4) || 'S' ELSE '' END) || (CASE WHEN len // 2 > 0 THEN (len // 2) || 'M' ELSE '' END) || (1 + suppkey % 3) || 'D'
       || (CASE WHEN partkey % 3 > 0 THEN (partkey % 3) || 'I' ELSE '' END) || (len - len // 2) || 'M' AS VARCHAR) AS cigar,

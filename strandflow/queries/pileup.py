@@ -67,8 +67,7 @@ def cigar_parse_end(spark, sf):
   u AS (SELECT tid, pos + unnest(generate_series(0, a + d + len - a - 1)) AS p, a, d, pos FROM x)
   SELECT tid, CAST(p AS INT) AS p, count(*) AS depth, CAST(sum(CASE WHEN p - pos >= a AND p - pos < a + d THEN 1 ELSE 0 END) AS BIGINT) AS n_del FROM u GROUP BY tid, p""")
 def cigar_unnest(spark, sf):
-    rows = P.unnest(V.reads(spark, sf), ["tid"])
-    return rows.groupBy("tid", "p").agg(F.count(F.lit(1)).alias("depth"), F.count_if("is_del").alias("n_del"))
+    return P.depth_by_boundaries(P.block_spans(V.reads(spark, sf), ["tid"]), weights={"n_del": F.col("is_del")})
 
 
 @query(W + CIGAR + """, b AS (SELECT *, CAST(pos - 1 + list_sum(list_transform(els, lambda e: CASE WHEN contains('MDN=X', e.op) THEN e.len ELSE 0 END)) AS INT) AS stop FROM el),
@@ -201,7 +200,8 @@ def allele_fraction(spark, sf):
 def lod_alt_ref(spark, sf):
     h, r, a = F.col("hist"), F.col("ref"), F.col("alt")
     loci = L.alternatives(histograms(spark, sf)).filter(L.count_of(h, a) > 0).withColumn("f", L.allele_fraction(h, r, a))
-    return loci.select("tid", "p", "alt", F.round(L.lod(h, r, a, F.col("f")), 6).alias("lod"), F.round(L.lod(h, r, a, F.lit(0.1)), 6).alias("lod_tenth"))
+    out = L.lods(loci, ["tid", "p"], {"lod": F.col("f"), "lod_tenth": F.lit(0.1)})
+    return out.select("tid", "p", "alt", F.round("lod", 6).alias("lod"), F.round("lod_tenth", 6).alias("lod_tenth"))
 
 
 GENO = """, g(g, i) AS (VALUES ('AA', 0), ('AC', 1), ('CC', 2), ('AG', 3), ('CG', 4), ('GG', 5), ('AT', 6), ('CT', 7), ('GT', 8), ('TT', 9)),
@@ -306,7 +306,7 @@ def normal_power(spark, sf):
 @query(WT + """, o AS (SELECT tid, p, abs(p - pos) AS x FROM pile WHERE base <> ref), m AS (SELECT tid, p, median(x) AS m FROM o GROUP BY tid, p)
   SELECT tid, p, max(m) AS median, median(abs(x - m)) AS mad FROM o JOIN m USING (tid, p) GROUP BY tid, p""")
 def offset_median_mad(spark, sf):
-    o = tumor_pile(spark, sf).filter(F.col("base") != F.col("ref")).groupBy("tid", "p", F.abs(F.col("p") - F.col("pos")).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    o = V.mismatches(placed(spark, sf).filter(F.col("mapq") > 0), "pos").groupBy("tid", "p", F.abs(F.col("p") - F.col("pos")).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     o = o.groupBy("tid", "p").agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("x")).withColumn("median", S.weighted_median(F.col("x")))
     return o.select("tid", "p", "median", S.weighted_median(S.deviations(F.col("x"), F.col("median"))).alias("mad"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import intervals as I
+from ..operators import pileup as P
 from ..operators import qc as Q
 from ..plans import alignment_view as V
 from .pileup import W, WT, placed
@@ -230,6 +231,10 @@ CS = WT + """, c AS (SELECT tid, p, max(ref) AS ref, count(*) AS n, count(*) FIL
 
 @query(CS)
 def call_stats_format(spark, sf):
-    t = V.pile(placed(spark, sf).filter(F.col("mapq") > 0)).groupBy("tid", "p").agg(F.first("ref").alias("ref"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("base") != F.col("ref")).alias("k"))
+    # depth from the ends of reads; only bases that differ become rows
+    r = placed(spark, sf).filter(F.col("mapq") > 0)
+    n = P.depth_by_boundaries(r.select("tid", F.col("pos").alias("start"), (F.col("pos") + F.col("len") - 1).alias("stop"))).withColumnRenamed("depth", "n")
+    k = V.mismatches(r).groupBy("tid", "p").agg(F.count(F.lit(1)).alias("k"))
+    t = n.join(k, ["tid", "p"], "left").withColumn("ref", V.ref_base(F.col("tid"), F.col("p")))
     f = F.coalesce(F.try_divide("k", "n"), F.lit(0.0))
     return t.select(F.concat_ws("\t", F.col("tid").cast("string"), (F.col("p") + 1).cast("string"), "ref", X.covered_label(F.col("n") >= 14), X.round_nearest_text(f, 3)).alias("line"))
