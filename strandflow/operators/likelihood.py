@@ -132,6 +132,17 @@ def contaminant_lod(hist: Column, ref: Column, alt: Column, fraction: float, tum
     return let(contaminated(hist, ref, alt, fraction), lambda c: let(F.least(F.lit(fraction), tumor_f), lambda f: diff(c, f)))
 
 
+def contaminant_lods(loci: DataFrame, keys: list[str], fraction: float, tumor_f: Column, name: str = "contaminant_lod", hist: str = "hist", ref: str = "ref", alt: str = "alt") -> DataFrame:
+    """(keys, ref, alt, name): :func:`contaminant_lod` of every row, summed over the unnested histogram."""
+    mixed = contaminated(F.col(hist), F.col(ref), F.col(alt), fraction)
+    rows = loci.select(*keys, ref, alt, F.least(F.lit(fraction), tumor_f).alias("c_f"), F.explode(mixed).alias("h"))
+    h = F.col("h")
+    e = F.pow(F.lit(10.0), -h["q"] / 10.0)
+    read = lambda b: F.when(h["base"] == F.col(b), 1 - e).otherwise(e / 3)
+    gain = F.log10((1 - F.col("c_f")) * read(ref) + F.col("c_f") * read(alt)) - F.log10(read(ref))
+    return rows.groupBy(*keys, ref, alt).agg(F.sum(F.when((h["q"] > 0) & h["base"].isin("A", "C", "G", "T"), h["n"] * gain).otherwise(0.0)).alias(name))
+
+
 def alternatives(loci: DataFrame, ref: str = "ref") -> DataFrame:
     """A row for each of the three other bases of a locus."""
     return loci.withColumn("alt", F.explode(F.filter(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: b != F.col(ref))))

@@ -242,7 +242,7 @@ def ref_vs_alt(spark, sf):
 def contaminant_lod(spark, sf):
     h, r, a = F.col("hist"), F.col("ref"), F.col("alt")
     loci = L.alternatives(histograms(spark, sf)).filter(L.count_of(h, a) > 0)
-    return loci.select("tid", "p", "alt", F.round(L.contaminant_lod(h, r, a, 0.15, L.allele_fraction(h, r, a)), 5).alias("contaminant_lod"))
+    return L.contaminant_lods(loci, ["tid", "p"], 0.15, L.allele_fraction(h, r, a)).select("tid", "p", "alt", F.round("contaminant_lod", 5).alias("contaminant_lod"))
 
 
 @query(WT + " SELECT DISTINCT depth, k, round((depth - k) * log10(f * 0.001 + (1 - f) * 0.999) + k * log10(f * 0.999 + (1 - f) * 0.001), 6) AS ll FROM (SELECT DISTINCT count(*) AS depth, count(*) FILTER (WHERE base <> ref) AS k, 0.3 AS f FROM pile GROUP BY tid, p)")
