@@ -288,6 +288,20 @@ def test_embedding_links_are_complete_with_dozens_of_cells_and_a_hot_group(spark
     assert [got[i]["component_id"] for i in range(len(x))] == want
 
 
+def test_crowded_cells_are_divided_without_losing_a_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 12))
+    x = np.concatenate([base[rng.integers(30, size=700)] + rng.normal(size=(700, 12)) * rng.choice([0.15, 0.4], (700, 1)), rng.normal(size=(300, 12))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(z) for z in v], i % 3 == 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label boolean")
+    sim = (x @ x.T >= 0.93) & ((np.arange(1000)[:, None] % 3 == 0) == (np.arange(1000) % 3 == 0))
+    np.fill_diagonal(sim, False)
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, per_cell=12, most_cells=5, sample=200, block=32).collect()}
+    assert [got[i] for i in range(1000)] == sim.sum(1).tolist() and sim.sum() > 1000
+
+
 def test_components_of_a_long_path(spark):
     from strandflow.llm.components import connected_components
 
