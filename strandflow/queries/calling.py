@@ -132,6 +132,25 @@ def somatic_calls(spark, sf):
     return out.select("tid", "p", "ref", "alt", F.round("power", 6).alias("power"), "covered", F.array_join("reasons", ",").alias("reasons"), "judgement")
 
 
+def _somatic_text_sql() -> str:
+    three = lambda x: f"CASE WHEN {x} < 0.0005 THEN '0' ELSE regexp_replace(printf('%.3f', CAST({x} AS DOUBLE)), '\\.?0+$', '') END"
+    keep = "len(reasons) = 0"
+    normal = f"'0:' || n_ref || ',' || n_alt || ':.:' || (n_ref + n_alt) || ':' || {three('normal_f')} || CASE WHEN {keep} THEN ':0' ELSE '' END"
+    tumor = f"'0/1:' || c_ref || ',' || c_alt || ':' || CASE WHEN c_alt > 0 THEN CAST(CAST(round(c_alt_sum / c_alt, 0) AS INT) AS VARCHAR) ELSE '.' END || ':' || (c_ref + c_alt) || ':' || {three('tf')} || CASE WHEN {keep} THEN ':2' ELSE '' END"
+    info = f"array_to_string(list_filter([CASE WHEN db THEN 'DB' END, CASE WHEN {keep} THEN 'SOMATIC' END, CASE WHEN {keep} THEN 'VT=SNP' END], lambda x: x IS NOT NULL), ';')"
+    fields = ["'c' || tid", "(p + 1)", "'.'", "ref", "alt", "'.'", f"CASE WHEN {keep} THEN 'PASS' ELSE 'REJECT' END", f"CASE WHEN {info} = '' THEN '.' ELSE {info} END", f"'GT:AD:BQ:DP:FA' || CASE WHEN {keep} THEN ':SS' ELSE '' END", normal, tumor]
+    return _somatic_sql("SELECT tid, p, " + " || chr(9) || ".join(fields) + " AS line FROM o")
+
+
+@query(_somatic_text_sql())
+def somatic_records(spark, sf):
+    from ..sinks.calls import somatic_vcf
+
+    out = somatic.call(somatic_pile(spark, sf), SomaticConfig(), *annotations(spark, sf))
+    contigs = spark.range(7).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("c"), "id").alias("contig"))
+    return somatic_vcf(out, contigs)
+
+
 def _call_stats_sql() -> str:
     number = lambda x: f"CASE WHEN {x} IS NULL THEN 'n/a' WHEN abs({x}) < 5e-7 THEN '0' ELSE regexp_replace(printf('%.6f', CAST({x} AS DOUBLE)), '\\.?0+$', '') END"
     ref = lambda k: f"substr('ACGT', CAST(1 + (tid * 7 + (p + {k + 4}) * 3) % 4 AS INT), 1)"
@@ -273,20 +292,42 @@ def depth_cap(spark, sf):
     return P.depth(downsample.capped(pile(spark, sf), ["tid", "p"], list(V.ORDER), 12))
 
 
-@query("SELECT event_type, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS pos, event_id AS payload, false AS late FROM events")
-def stream_sorted_writer(spark, sf):
+def _drained(spark, out, mode: str, name: str):
+    """The rows of a stream that has read all there is; its state goes to the shared folder."""
     import os
     import tempfile
 
-    from ..streaming.cursor import sorted_writer
-
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*" if os.path.isfile(f"{sf}/events.parquet") else f"{sf}/events.parquet")
-    rows = stream.select("event_type", F.unix_timestamp("ts").alias("pos"), F.col("event_id").alias("payload"))
-    # a last record far ahead of each key closes its window
-    out = sorted_writer(rows, "event_type", "pos", "payload", 0)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandflow-stream-")
-    name = f"sorted_{abs(hash((sf, os.getpid(), os.urandom(4))))}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir for the state of streams")
+        base = tempfile.mkdtemp(prefix="strandflow-stream-")
+    name = f"{name}_{os.getpid()}_{os.urandom(4).hex()}"
+    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def _events(spark, sf):
+    import os
+
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    # a folder streams as it is, a file by a pattern that matches it alone
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*" if os.path.isfile(f"{sf}/events.parquet") else f"{sf}/events.parquet")
+
+
+@query("SELECT event_type, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS pos, event_id AS payload, false AS late FROM events")
+def stream_sorted_writer(spark, sf):
+    from ..streaming.cursor import sorted_writer
+
+    rows = _events(spark, sf).select("event_type", F.unix_timestamp("ts").alias("pos"), F.col("event_id").alias("payload"))
+    return _drained(spark, sorted_writer(rows, "event_type", "pos", "payload", 0), "append", "sorted")
+
+
+@query("SELECT event_type, CAST(epoch_us(ts) // 1000000 // 21600 * 21600 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf):
+    from ..streaming.cursor import chunk_counts
+
+    events = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = chunk_counts(events, "ts", "1 day", "6 hours", "event_type")
+    return _drained(spark, out.select("event_type", F.unix_timestamp("window.start").alias("start"), "n"), "complete", "windows")

@@ -39,6 +39,12 @@ def sorted_writer(stream: DataFrame, key: str, pos: str, payload: str, window: i
     return slim.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def strict(written: DataFrame, key: str, pos: str) -> DataFrame:
+    """The writer's rows without ``late``; a late record is an error, as positions must not go back beyond the window."""
+    said = F.concat(F.lit("out of order at "), F.col(key).cast("string"), F.lit(":"), F.col(pos).cast("string"))
+    return written.withColumn(pos, F.when(F.col("late"), F.raise_error(said).cast("long")).otherwise(F.col(pos))).drop("late")
+
+
 def chunk_counts(stream: DataFrame, time: str, delay: str, width: str, *keys: str) -> DataFrame:
     """Tumbling windows over event time: rows of each window and key, late rows dropped after ``delay``."""
     return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
