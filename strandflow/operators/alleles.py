@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,8 +58,37 @@ def mendelian_prior(father: tuple[int, int], mother: tuple[int, int], child: tup
     return p if p else novel
 
 
+@lru_cache(maxsize=32)
+def trio_prior(alleles: int, novel: float = 1e-8) -> np.ndarray:
+    """P(child | father, mother) for all genotypes in PL order, indexed (father, mother, child)."""
+    gts = [(a, b) for b in range(alleles) for a in range(b + 1)]
+    return np.array([[[mendelian_prior(f, m, c, novel) for c in gts] for m in gts] for f in gts])
+
+
 def trio_genotypes(father: np.ndarray, mother: np.ndarray, child: np.ndarray, alleles: int = 2, novel: float = 1e-8) -> tuple:
-    """The jointly most likely (father, mother, child) genotypes from likelihoods in PL order."""
+    """The jointly most likely (father, mother, child) genotypes from likelihoods in PL order; the first of equals."""
     gts = [(a, b) for b in range(alleles) for a in range(b + 1)]
-    best = max(itertools.product(range(len(gts)), repeat=3), key=lambda g: father[g[0]] * mother[g[1]] * child[g[2]] * mendelian_prior(gts[g[0]], gts[g[1]], gts[g[2]], novel))
-    return tuple(gts[i] for i in best)
+    joint = trio_prior(alleles, novel) * np.asarray(father)[:, None, None] * np.asarray(mother)[None, :, None] * np.asarray(child)[None, None, :]
+    return tuple(gts[i] for i in np.unravel_index(int(joint.argmax()), joint.shape))
+
+
+def trios(calls: DataFrame, families: DataFrame, novel: float = 1e-8) -> DataFrame:
+    """(tid, p, sample, father, mother, gt, father_gt, mother_gt, mendelian) of called sites and families.
+
+    ``calls`` hold samples with their likelihoods (pl) over the kept alleles; ``families`` a row a
+    child. A child's row meets its parents' rows of the site by equi-joins; a site that lacks one of
+    the three gives no row. mendelian: the child's genotype is one its parents can pass on.
+    """
+    people = calls.select("tid", "p", (F.size("alt") + 1).alias("alleles"), F.explode("samples").alias("s")).select("tid", "p", "alleles", F.col("s.sample").alias("sample"), F.col("s.pl").alias("pl"))
+    side = lambda name: people.select("tid", "p", F.col("sample").alias(name), F.col("pl").alias(f"{name}_pl"))
+    rows = people.join(families.select("sample", "father", "mother"), "sample").join(side("father"), ["tid", "p", "father"]).join(side("mother"), ["tid", "p", "mother"])
+
+    def run(batches):
+        for b in batches:
+            lk = lambda x: 10.0 ** (-np.asarray(x, float) / 10)
+            best = [trio_genotypes(lk(f), lk(m), lk(c), int(n), novel) for f, m, c, n in zip(b["father_pl"], b["mother_pl"], b["pl"], b["alleles"], strict=True)]
+            text = lambda i: ["/".join(map(str, g[i])) for g in best]  # noqa: E731, B023
+            fits = [mendelian_prior(*g, 0.0) > 0 for g in best]
+            yield b[["tid", "p", "sample", "father", "mother"]].assign(gt=text(2), father_gt=text(0), mother_gt=text(1), mendelian=fits)
+
+    return rows.mapInPandas(run, "tid int, p int, sample string, father string, mother string, gt string, father_gt string, mother_gt string, mendelian boolean")

@@ -158,6 +158,28 @@ def test_indel_and_allele_helpers():
     assert alleles.mendelian_prior((0, 1), (0, 1), (0, 1)) == 0.5 and alleles.trio_genotypes(np.array([0.1, 0.8, 0.1]), np.array([0.9, 0.05, 0.05]), np.array([0.1, 0.8, 0.1])) == ((0, 1), (0, 0), (0, 1))
 
 
+def test_trios_over_tables_equal_every_combination(spark):
+    import itertools
+
+    rng = random.Random(13)
+    people, sites = ["f", "m", "c", "x", "d"], []
+    for p in range(40):
+        n = rng.choice([2, 3])
+        sites.append((0, p, ["T"] * (n - 1), [(s, "./.", 0, [rng.randrange(120) for _ in range(n * (n + 1) // 2)]) for s in people if (s, p) != ("m", 7)]))
+    calls = spark.createDataFrame(sites, "tid int, p int, alt array<string>, samples array<struct<sample:string,gt:string,gq:int,pl:array<int>>>")
+    families = spark.createDataFrame([("c", "f", "m"), ("d", "x", "m"), ("z", "f", "m")], "sample string, father string, mother string")
+    got = {(r["p"], r["sample"]): r for r in alleles.trios(calls, families).collect()}
+    assert set(got) == {(p, s) for p in range(40) if p != 7 for s in "cd"}
+    for (p, s), r in got.items():
+        pl, n = {x[0]: x[3] for x in sites[p][3]}, len(sites[p][2]) + 1
+        gts = [(a, b) for b in range(n) for a in range(b + 1)]
+        value = lambda f, m, c: 10 ** (-(pl[r["father"]][gts.index(f)] + pl[r["mother"]][gts.index(m)] + pl[s][gts.index(c)]) / 10) * alleles.mendelian_prior(f, m, c)  # noqa: E731, B023
+        top = max(value(*g) for g in itertools.product(gts, repeat=3))
+        own = [tuple(map(int, r[k].split("/"))) for k in ("father_gt", "mother_gt", "gt")]
+        assert math.isclose(value(*own), top, rel_tol=1e-9)
+        assert r["mendelian"] == any(tuple(sorted(w)) == own[2] for w in itertools.product(own[0], own[1]))
+
+
 def test_forward_cursor():
     c = ForwardCursor(iter([(10438, "a"), (10438, "b"), (10439, "c"), (10491, "d"), (10518, "e"), (10600, "f")]))
     assert [len(c.seek(a, b)) for a, b in ((10438, 10438), (10439, 10439), (10440, 10440), (10440, 10519))] == [2, 1, 0, 2]
