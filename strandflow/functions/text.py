@@ -27,13 +27,12 @@ def _product(a: Column, b: float) -> tuple[Column, Column]:
     return p, ((a_hi * b_hi - p) + a_hi * b_lo + a_lo * b_hi) + a_lo * b_lo
 
 
-def round_nearest_text(value: Column, digits: int = 6) -> Column:
-    """The shortest decimal that rounds like the value at ``digits`` decimals; 0 if that small.
+def fixed(value: Column, digits: int = 6) -> Column:
+    """The value at ``digits`` decimals as printf's %f: what the double holds is rounded, half to even.
 
-    Rounds what the double holds exactly, half to even, as printf does: 0.0375 lies below the tie
-    and gives 0.037. A place that looks like a tie is decided by the rest of an exact product.
+    0.0375 lies below the tie and gives 0.037. A place that looks like a tie is decided by the rest of
+    an exact product.
     """
-    eps = 5.0 * 10.0 ** -(digits + 1)
     size = F.abs(value)
     p, rest = _product(size, 10.0**digits)
     low = F.floor(p)
@@ -41,15 +40,16 @@ def round_nearest_text(value: Column, digits: int = 6) -> Column:
     up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (low % 2 == 1))))
     units = low.cast("bigint") + F.when(up, 1).otherwise(0)
     sign = F.when(value < 0, "-").otherwise("")
-    if digits:
-        ten = F.lit(10**digits).cast("bigint")
-        whole = F.floor((units - units % ten) / ten).cast("bigint")
-        own = F.concat(sign, whole.cast("string"), F.lit("."), F.lpad((units % ten).cast("string"), digits, "0"))
-        own = F.when(p < 2.0**52, own).otherwise(F.format_string(f"%.{digits}f", value))
-        cut = F.regexp_replace(own, r"\.?0+$", "")
-    else:
-        cut = F.when(p < 2.0**52, F.concat(sign, units.cast("string"))).otherwise(F.format_string("%.0f", value))
-    return F.when(size < eps, F.lit("0")).otherwise(cut)
+    ten = F.lit(10**digits).cast("bigint")
+    whole = F.floor((units - units % ten) / ten).cast("bigint")
+    own = [sign, whole.cast("string")] + ([F.lit("."), F.lpad((units % ten).cast("string"), digits, "0")] if digits else [])
+    return F.when(p < 2.0**52, F.concat(*own)).otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def round_nearest_text(value: Column, digits: int = 6) -> Column:
+    """The shortest decimal that rounds like the value at ``digits`` decimals (see :func:`fixed`); 0 if that small."""
+    cut = F.regexp_replace(fixed(value, digits), r"\.?0+$", "") if digits else fixed(value, 0)
+    return F.when(F.abs(value) < 5.0 * 10.0 ** -(digits + 1), F.lit("0")).otherwise(cut)
 
 
 def significant(value: Column, digits: int = 6) -> Column:

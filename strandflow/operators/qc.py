@@ -63,11 +63,17 @@ def normalised(rows: DataFrame, value: str, keys: Sequence[str] = (), name: str
     return joined.withColumn(name, F.try_divide(F.col(value), F.col("top"))).drop("top")
 
 
+def peak(rows: DataFrame, keys: Sequence[str], index: str, count: str) -> DataFrame:
+    """(keys, peak, height): the index of the highest count, the first of equals."""
+    return rows.groupBy(*keys).agg(F.min_by(index, F.struct(-F.col(count), F.col(index))).alias("peak"), F.max(count).alias("height"))
+
+
 def gc_of_lines(lines: DataFrame, text: str = "line") -> DataFrame:
-    """(gc, freq): lines by GC percentage of the longest line, over the commonest; no GC is left out."""
+    """(gc, freq): for each number of G and C in a line its percentage of the longest line, and how often it occurs over the commonest number.
+
+    Lines without any take part in that, but are left out of the result.
+    """
     counted = lines.select((F.length(text) - F.length(F.regexp_replace(text, "[GCgc]", ""))).alias("n"), F.length(text).alias("len"))
     per = counted.groupBy("n").agg(F.count(F.lit(1)).alias("lines"), F.max("len").alias("len"))
-    whole = per.agg(F.max("len").alias("longest"))
-    gc = per.crossJoin(F.broadcast(whole)).select(F.floor(F.col("n") * 100 / F.col("longest")).cast("int").alias("gc"), "lines").groupBy("gc").agg(F.sum("lines").alias("lines")).filter("gc > 0")
-    top = gc.agg(F.max("lines").alias("top"))
-    return gc.crossJoin(F.broadcast(top)).select("gc", (F.col("lines") / F.col("top")).alias("freq"))
+    whole = per.agg(F.max("len").alias("longest"), F.max("lines").alias("top"))  # one row
+    return per.crossJoin(F.broadcast(whole)).filter("n > 0").select((F.col("n") * 100 / F.col("longest")).alias("gc"), (F.col("lines") / F.col("top")).alias("freq"))

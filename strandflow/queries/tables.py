@@ -195,13 +195,33 @@ def hist_percentile(spark, sf):
     return Q.histogram_percentile(h, ["source"], "x", "w", [25, 50])
 
 
-@query("""WITH t AS (SELECT replace(text, chr(10), ' ') AS text FROM documents), l AS (SELECT substr(text, CAST(k * 60 + 1 AS INT), 60) AS line FROM (SELECT text, unnest(generate_series(0, (length(text) - 1) // 60)) AS k FROM t WHERE length(text) > 0)), m AS (SELECT max(length(line)) AS longest FROM l),
-  g AS (SELECT CAST(floor((length(line) - length(regexp_replace(line, '[GCgc]', '', 'g'))) * 100 / longest) AS INT) AS gc, count(*) AS n FROM l, m GROUP BY 1) SELECT gc, round(n / max(n) OVER (), 6) AS freq FROM g WHERE gc > 0""")
-def gc_content(spark, sf):
+GC = """WITH t AS (SELECT replace(text, chr(10), ' ') AS text FROM documents), l AS (SELECT substr(text, CAST(k * 60 + 1 AS INT), 60) AS line FROM (SELECT text, unnest(generate_series(0, (length(text) - 1) // 60)) AS k FROM t WHERE length(text) > 0)), m AS (SELECT max(length(line)) AS longest FROM l),
+  c AS (SELECT length(line) - length(regexp_replace(line, '[GCgc]', '', 'g')) AS n, count(*) AS lines FROM l GROUP BY 1), g AS (SELECT n, n * 100 / longest AS gc, lines / max(lines) OVER () AS freq FROM c, m)"""
+
+
+def fixed_lines(spark, sf):
+    """The documents as lines of 60 letters."""
     text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     whole = V.table(spark, sf, "documents").select(text.alias("text")).filter("length(text) > 0")
-    lines = whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int")), lambda k: F.substring(F.col("text"), k * 60 + 1, F.lit(60)))).alias("line"))
-    return Q.gc_of_lines(lines).select("gc", F.round("freq", 6).alias("freq"))
+    return whole.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 60).cast("int")), lambda k: F.substring(F.col("text"), k * 60 + 1, F.lit(60)))).alias("line"))
+
+
+@query(GC + " SELECT round(gc, 6) AS gc, round(freq, 6) AS freq FROM g WHERE n > 0")
+def gc_content(spark, sf):
+    return Q.gc_of_lines(fixed_lines(spark, sf)).select(F.round("gc", 6).alias("gc"), F.round("freq", 6).alias("freq"))
+
+
+@query(GC + " SELECT printf('%.6f', gc) || chr(9) || printf('%.6f', freq) AS line FROM g WHERE n > 0")
+def gc_statistics(spark, sf):
+    from ..sinks.calls import gc_lines
+
+    return gc_lines(Q.gc_of_lines(fixed_lines(spark, sf))).select("line")
+
+
+@query("WITH h AS (SELECT source, n_chars // 50 AS size, count(*) AS n FROM documents GROUP BY ALL) SELECT source, arg_min(size, -n * 1000000 + size) AS peak, max(n) AS height FROM h GROUP BY source")
+def insert_peak(spark, sf):
+    h = V.table(spark, sf, "documents").groupBy("source", F.floor(F.col("n_chars") / 50).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    return Q.peak(h, ["source"], "size", "n")
 
 
 @query("SELECT o_orderpriority, round(coalesce(count(*) FILTER (WHERE o_orderstatus = 'F') / nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0), 0), 6) AS ratio FROM orders GROUP BY 1")
