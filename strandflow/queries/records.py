@@ -300,10 +300,26 @@ def fisher_tables(spark, sf):
   f AS (SELECT *, NOT heavy AND sum(CASE WHEN NOT del AND base <> ref THEN quality ELSE 0 END) OVER (PARTITION BY rid) <= 100 AS clean FROM e)
   SELECT 'c' || tid AS contig, CAST(p AS INT) AS p, ref, count(*) AS n, count(*) FILTER (WHERE del) AS n_del, count(*) FILTER (WHERE NOT del AND base <> ref) AS n_alt, count(*) FILTER (WHERE clean) AS n_clean, CAST(sum(off) AS BIGINT) AS offsets FROM f GROUP BY 1, 2, 3""")
 def records_pile(spark, sf):
-    whole = F.expr("substring(repeat('ACGTTGCAAC', 272), int(tid) + 1, 2700)")
-    text = spark.range(7).withColumnRenamed("id", "tid").select("tid", F.posexplode(F.concat(F.array(F.concat(F.lit(">c"), "tid")), F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.substring(whole, i * 60 + 1, F.lit(60))))).alias("i", "value"))
-    ref = regions.fasta_of(text.coalesce(1).sortWithinPartitions("tid", "i").select("value"), 512)
+    ref = pattern(spark)
     r = sam.records(alignments(spark, sf)).withColumns({"tid": F.substring("contig", 2, 9).cast("int"), "sample": F.lit("TUMOR")})
     rows = plan.pile(r, ref, chunk=512, fold=False)
     odd = ~F.col("is_del") & (F.col("base") != F.col("ref"))
     return rows.groupBy("contig", "p", "ref").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_del").alias("n_del"), F.count_if(odd).alias("n_alt"), F.count_if("clean").alias("n_clean"), F.sum("offset").cast("long").alias("offsets"))
+
+
+def pattern(spark, chunk=512):
+    """FASTA text of seven contigs of one repeated pattern."""
+    whole = F.expr("substring(repeat('ACGTTGCAAC', 272), int(tid) + 1, 2700)")
+    text = spark.range(7).withColumnRenamed("id", "tid").select("tid", F.posexplode(F.concat(F.array(F.concat(F.lit(">c"), "tid")), F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.substring(whole, i * 60 + 1, F.lit(60))))).alias("i", "value"))
+    return regions.fasta_of(text.coalesce(1).sortWithinPartitions("tid", "i").select("value"), chunk)
+
+
+@query(ALN + """, y AS (SELECT *, row_number() OVER () AS rid FROM z WHERE mapq > 0),
+  b AS (SELECT rid, tid, quality, seq, pos + k AS p, s + k AS off FROM (SELECT *, unnest(generate_series(0, half - 1)) AS k FROM y) UNION ALL SELECT rid, tid, quality, seq, pos + half + gap + k AS p, s + half + ins + k AS off FROM (SELECT *, unnest(generate_series(0, len - half - 1)) AS k FROM y)),
+  c AS (SELECT rid, least(quality, 33) AS q, quality >= 13 AS good, substr(seq, CAST(off + 1 AS INT), 1) AS base, substr('ACGTTGCAAC', CAST((tid + p) % 10 + 1 AS INT), 1) AS ref FROM b),
+  e AS (SELECT rid, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND base <> 'N' AND base <> ref) AS m, coalesce(sum(q) FILTER (WHERE good AND base <> 'N' AND base <> ref), 0) AS cost FROM c GROUP BY rid),
+  t AS (SELECT tid, qid, cost - 4.343 * (CASE WHEN m > 0 THEN m * ln(greatest(n, 1)) - lgamma(m + 1) ELSE 0 END) + s * quality / 5.0 AS t FROM y JOIN e USING (rid))
+  SELECT CASE WHEN t > 400 THEN -1 ELSE CAST(floor(sqrt((400 - greatest(t, 0)) / 400) * 400 + 0.499) AS INT) END AS cap, count(*) AS n FROM t GROUP BY 1""")
+def mapping_quality_cap(spark, sf):
+    r = sam.records(alignments(spark, sf))
+    return plan.capped_quality(r, pattern(spark), 400, 512).groupBy("cap").agg(F.count(F.lit(1)).alias("n"))
