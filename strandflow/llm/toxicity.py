@@ -197,26 +197,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fol
     Labels are learnt only from rows whose crc32 of doc_id is not ``held_fold`` modulo ``folds``. A
     null or empty text has no words and gets the score of the bias, which is under one half. The
     model weighs all words that confirmed texts hold far more often (:func:`fit`); without confirmed
-    examples, or without such words, it abstains: all scores are low and alike. Equal texts score alike; rows that repeat are scored each; other
-    columns are not read.
+    examples, or without such words, it abstains: all scores are low and alike. Equal texts score
+    alike; rows that repeat are scored each; other columns are not read.
     """
     model = learn(docs, labels, folds=folds, held_fold=held_fold, **options)
     scored = docs.select("doc_id", "text").mapInArrow(_score(model), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), folds) == held_fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def _keep(model: Model, schema: pa.Schema, text: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, off = buffers(b.column(text))
-            for lo, hi in slices(off):
-                score = model.score(data, off[lo : hi + 1])
-                yield b.slice(lo, hi - lo).filter(pa.array(score < threshold))
-
-    return run
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """Documents whose score stays under ``threshold``, all their columns; all of them where the model abstains."""
     model = learn(docs, labels, **options)
-    return docs.mapInArrow(_keep(model, None, docs.columns.index("text"), threshold), docs.schema)
+
+    # only the text goes to Python; the rest of a row waits beside it
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, off = buffers(column)
+            yield pa.array(np.concatenate([np.zeros(0), *(model.score(data, off[lo : hi + 1]) for lo, hi in slices(off))]), pa.float64())
+
+    return docs.filter(score(F.col("text")) < threshold)
