@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -424,9 +424,9 @@ def _all(root: Node) -> list[Node]:
     return out
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    texts = extract(pdf["html"].tolist())
-    return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
+def _group(pages: pa.Table) -> pa.Table:
+    texts = extract(pages["html"].to_pylist())
+    return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string())})
 
 
 def host(url: Column) -> Column:
@@ -446,4 +446,4 @@ def main_text(pages: DataFrame, group: int = 16) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"), F.xxhash64("html").alias("h"))
     sizes = materialize(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups")), "hosts")
     dealt = rows.join(sizes, "host").withColumn("g", F.pmod(F.xxhash64("h", "page_id"), F.col("groups")).cast("int")).drop("h", "groups")
-    return dealt.groupBy("host", "g").applyInPandas(_group, f"page_id {kinds['page_id']}, url string, text string")
+    return dealt.groupBy("host", "g").applyInArrow(_group, f"page_id {kinds['page_id']}, url string, text string")

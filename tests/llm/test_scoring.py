@@ -275,6 +275,13 @@ def test_chat_layouts_take_extra_fields_and_run_the_query(spark):
     assert chat.layout_of(["conv_id", "role", "text", "turn"])[0] == "turn_rows"
 
 
+def test_pages_with_null_and_large_ids_keep_them(spark):
+    rows = [(None, "http://a.org/1", PAGE), (2**62 + 1, "http://a.org/2", PAGE.replace("{}", "z")), (2**62 + 1, "http://a.org/2", None), (None, None, None)] * 3
+    out = html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), str(r["url"])) for r in out) == sorted((str(a), str(b)) for a, b, _ in rows)
+    assert {r["text"].split("\n")[0] for r in out} == {"", "Head & more"}
+
+
 def stripped_pages(n=12, body=None):
     """Pages without article tags or telling names: menus, adverts and footers that vary, a notice that does not."""
     rnd = random.Random(11)
