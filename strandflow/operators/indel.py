@@ -66,16 +66,13 @@ def query_position(elements: Column, pos: Column, target: Column) -> Column:
     return F.coalesce(F.when(rel < 0, F.try_element_at(aligned, F.lit(1))["read0"]).when(F.size(holds) > 0, inside).otherwise(last["read0"] + last["len"]), F.lit(0))
 
 
-def homopolymer_run(ref: str, pos: int) -> int:
-    """Length of the run of one base that holds the position right of ``pos``."""
-    if pos + 1 >= len(ref):
-        return 0
-    b, i, j = ref[pos + 1].upper(), pos + 1, pos + 1
-    while i > 0 and ref[i - 1].upper() == b:
-        i -= 1
-    while j + 1 < len(ref) and ref[j + 1].upper() == b:
-        j += 1
-    return j - i + 1
+def homopolymer_run(ref: Column, pos: Column) -> Column:
+    """Length of the run of one base that holds the position right of ``pos`` (0-based); 0 behind the end."""
+    bases = F.upper(ref)
+    base = F.substring(bases, pos + 2, F.lit(1))
+    upto, behind = F.substring(bases, F.lit(1), pos + 2), F.substring(bases, pos + 3, F.length(ref))
+    run = F.length(upto) - F.length(F.rtrim(upto, base)) + F.length(behind) - F.length(F.ltrim(behind, base))
+    return F.when(pos + 1 < F.length(ref), run).otherwise(0)
 
 
 def glocal_score(ref: str, query: str, quality: np.ndarray, gap_open: float = 1e-4, gap_extend: float = 1e-2, band: int = 10) -> int:

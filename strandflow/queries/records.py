@@ -323,3 +323,25 @@ def pattern(spark, chunk=512):
 def mapping_quality_cap(spark, sf):
     r = sam.records(alignments(spark, sf))
     return plan.capped_quality(r, pattern(spark), 400, 512).groupBy("cap").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, repeat('A', CAST(o_custkey % 4 AS INT)) || repeat('C', CAST(1 + o_orderkey % 5 AS INT)) || 'G' AS ref, CAST(o_custkey % 3 AS INT) AS p FROM orders),
+  y AS (SELECT *, substr(ref, p + 2, 1) AS b, substr(ref, 1, p + 2) AS u, substr(ref, p + 3) AS v FROM x)
+  SELECT o_orderkey, CAST(CASE WHEN p + 1 < length(ref) THEN length(u) - length(rtrim(u, b)) + length(v) - length(ltrim(v, b)) ELSE 0 END AS INT) AS run FROM y""")
+def homopolymer_runs(spark, sf):
+    c = F.col
+    ref = F.concat(F.expr("repeat('A', int(o_custkey % 4))"), F.expr("repeat('C', int(1 + o_orderkey % 5))"), F.lit("G"))
+    return V.table(spark, sf, "orders").select("o_orderkey", indel.homopolymer_run(ref, (c("o_custkey") % 3).cast("int")).alias("run"))
+
+
+@query("""WITH x AS (SELECT DISTINCT o_custkey % 4 AS i, o_orderkey % 4 AS j FROM orders), a AS (SELECT *, ['C', 'CT', 'CTA', 'G'][CAST(i + 1 AS INT)] AS r1, ['C', 'CT', 'CTA', 'G'][CAST(j + 1 AS INT)] AS r2 FROM x),
+  b AS (SELECT *, r1 || 'T' AS s1, r2 || 'T' AS s2, CASE WHEN starts_with(r1, r2) THEN substr(r1, length(r2) + 1) WHEN starts_with(r2, r1) THEN substr(r2, length(r1) + 1) END AS tail FROM a),
+  m AS (SELECT i, j, tail, CASE WHEN length(r2) > length(r1) THEN [r1 || tail, s1 || tail] ELSE [r1, s1] END AS mine, CASE WHEN length(r1) > length(r2) THEN [r2 || tail, s2 || tail] ELSE [r2, s2] END AS want FROM b)
+  SELECT i, j, CAST(CASE WHEN tail IS NULL THEN -1 ELSE coalesce(nullif(list_position(mine, want[1]), 0), 0) - 1 END AS INT) AS ref_at, CAST(CASE WHEN tail IS NULL THEN -1 ELSE coalesce(nullif(list_position(mine, want[2]), 0), 0) - 1 END AS INT) AS alt_at FROM m""")
+def allele_positions(spark, sf):
+    c = F.col
+    refs = F.array(*[F.lit(x) for x in ("C", "CT", "CTA", "G")])
+    pair = lambda k: F.array(F.get(refs, c(k).cast("int")), F.concat(F.get(refs, c(k).cast("int")), F.lit("T")))
+    x = V.table(spark, sf, "orders").select((c("o_custkey") % 4).alias("i"), (c("o_orderkey") % 4).alias("j")).distinct()
+    x = x.withColumn("at", A.allele_map(pair("i"), pair("j")))
+    return x.select("i", "j", c("at")[0].alias("ref_at"), c("at")[1].alias("alt_at"))

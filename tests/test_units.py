@@ -149,8 +149,16 @@ def test_query_positions_and_repeats(spark):
     assert reach("T" + "A" * 20 + "C" + "A" * 30, 0, 1, "a") == 51
 
 
+def test_homopolymer_runs(spark):
+    import itertools
+
+    cases = [(r, p) for r in ("ACGGGT", "AAAA", "acCCt", "G", "") for p in range(-1, 5)]
+    df = spark.createDataFrame(cases, "ref string, p int").select(indel.homopolymer_run(F.col("ref"), F.col("p")).alias("n"))
+    want = [0 if p + 1 >= len(r) else [len(list(g)) for _, g in itertools.groupby(r.upper()) for g in [list(g)] for _ in g][p + 1] for r, p in cases]
+    assert [x["n"] for x in df.collect()] == want
+
+
 def test_indel_and_allele_helpers():
-    assert indel.homopolymer_run("ACGGGT", 1) == 3
     assert indel.glocal_score("A" * 30 + "ACGTACGTAC", "GTACG", np.full(5, 30)) < 20
     assert indel.glocal_score("ACGTACGTAC", "GTACG", np.full(5, 30)) < indel.glocal_score("ACGTACGTAC", "GTTTG", np.full(5, 30))
     assert indel.top_types({0: 1, 1: 9, -2: 4, 3: 4, 5: 2}) == [0, 1, -2, 3]
