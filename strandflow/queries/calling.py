@@ -258,6 +258,16 @@ def icb_hob(spark, sf):
     return c.select("k", F.round(bias.inbreeding_column(*a), 9).alias("icb"), F.round(bias.heterozygote_bias(*a), 6).alias("hob"))
 
 
+@query("""WITH c AS (SELECT o_custkey % 997 AS k, count(*) FILTER (WHERE o_orderstatus = 'F') AS nref, count(*) FILTER (WHERE o_orderstatus <> 'F') AS nalt, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS h, count(*) + 2 AS n FROM orders GROUP BY 1),
+  d AS (SELECT *, 2.0 * nref * nalt / ((nref + nalt) * (nref + nalt)) AS q FROM c WHERE nref > 0 AND nalt > 0), e AS (SELECT *, q * n AS mean, floor(n * q) AS m FROM d)
+  SELECT k, round(CASE WHEN (mean > 10 AND (1 - q) * n > 10) OR n > 200 THEN exp(-0.5 * (h - mean) * (h - mean) / (mean * (1 - q)))
+    ELSE exp((lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1)) - (lgamma(n + 1) - lgamma(m + 1) - lgamma(n - m + 1)) + (h - m) * (ln(q) - ln(1 - q))) END, 7) AS icb FROM e""")
+def inbreeding_binomial(spark, sf):
+    s = F.col("o_orderstatus")
+    c = V.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 997).alias("k")).agg(F.count_if(s == "F").alias("nref"), F.count_if(s != "F").alias("nalt"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("h"), (F.count(F.lit(1)) + 2).alias("n"))
+    return c.filter("nref > 0 and nalt > 0").select("k", F.round(bias.inbreeding_column(F.col("nref"), F.col("nalt"), F.col("h"), F.col("n")), 7).alias("icb"))
+
+
 #: two-sided Fisher tests of the tables in t, by the hypergeometric probability of every table with their margins
 FISHER = """f AS (SELECT *, a + b AS r, a + c AS k, a + b + c + d AS n FROM t), x AS (SELECT *, unnest(generate_series(greatest(0, r + k - n), least(r, k))) AS x FROM f),
   v AS (SELECT *, CASE WHEN x = a THEN 1 ELSE 0 END AS own, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1)) AS pr FROM x),
