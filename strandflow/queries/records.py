@@ -345,3 +345,12 @@ def allele_positions(spark, sf):
     x = V.table(spark, sf, "orders").select((c("o_custkey") % 4).alias("i"), (c("o_orderkey") % 4).alias("j")).distinct()
     x = x.withColumn("at", A.allele_map(pair("i"), pair("j")))
     return x.select("i", "j", c("at")[0].alias("ref_at"), c("at")[1].alias("alt_at"))
+
+
+@query(ALN + " SELECT 'c' || tid AS contig, CAST(pos + half - 1 AS INT) AS p, CAST(-gap AS INT) AS length, count(*) AS n FROM z WHERE mapq > 0 AND half > 0 GROUP BY 1, 2, 3")
+def indel_events(spark, sf):
+    from ..plans import indels
+
+    r = sam.records(alignments(spark, sf)).filter(F.col("contig").isNotNull())
+    v = r.select("contig", "pos", F.explode(indels.events(R.cigar_elements(F.col("cigar")), F.col("seq"))).alias("v"))
+    return v.groupBy("contig", (F.col("pos") + F.col("v.ref0")).cast("int").alias("p"), F.col("v.length").alias("length")).agg(F.count(F.lit(1)).alias("n"))
