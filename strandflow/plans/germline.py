@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -186,10 +187,23 @@ def call_site(x: dict, cfg: GermlineConfig) -> dict | None:
     }
 
 
-def call(pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
-    """Called sites with genotypes; without ``cfg.call`` every covered site keeps its likelihoods only (see combine)."""
+def constrained(sites: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sites of ``wanted`` (tid, p, alts) with the reference and those alleles alone, in their order; of repeated sites the first by alts counts."""
+    one = wanted.groupBy("tid", "p").agg(F.min("alts").alias("alts"))
+    others = F.filter(F.array_distinct("alts"), lambda b: (b != F.col("ref")) & b.isin(*BASES))
+    s = sites.join(one, ["tid", "p"]).withColumn("alleles", F.slice(F.concat(F.array("ref"), others), 1, 4)).drop("alts")
+    return s.withColumn("allele_qs", F.transform("alleles", lambda b: F.col("qs")[F.instr(F.lit(BASES), b) - 1]))
+
+
+def call(pile: DataFrame, cfg: GermlineConfig | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Called sites with genotypes; without ``cfg.call`` every covered site keeps its likelihoods only (see combine).
+
+    With ``wanted`` sites, these are called with their alleles alone, variant or not.
+    """
     cfg = cfg or GermlineConfig()
     sites = combine(samples(pile, cfg))
+    if wanted is not None:
+        sites, cfg = constrained(sites, wanted), replace(cfg, variants_only=False)
     if not cfg.call:
         return sites
     if cfg.variants_only:

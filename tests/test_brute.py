@@ -113,6 +113,28 @@ def test_germline_calls(spark, sf, pile):
     assert called == len(got)
 
 
+def test_calls_constrained_to_given_alleles(spark, sf, pile):
+    from pyspark.sql import functions as F
+
+    from strandflow.plans import germline
+    from strandflow.queries.pileup import pile as view
+
+    keys = sorted(k for k, rows in pile.items() if any(r[3] > 0 for r in rows))
+    shown = {k: {r[0] for r in pile[k] if r[3] > 0 and r[2] >= 13} for k in keys}
+    varied = [k for k in keys if len(shown[k]) > 1][:15] + keys[:15]
+    alts = {k: sorted({"ACGT"[(i + k[1]) % 4] for i in range(2)} | ({*shown[k]} if i % 2 else set())) for i, k in enumerate(varied)}
+    wanted = spark.createDataFrame([(*k, a) for k, a in alts.items()], "tid int, p int, alts array<string>")
+    got = {(r["tid"], r["p"]): r for r in germline.call(view(spark, sf).filter(F.col("mapq") > 0), wanted=wanted).collect()}
+    assert set(got) == set(alts)
+    for k, r in got.items():
+        assert set(r["alt"]) <= set(alts[k]) - {r["ref"]} and r["depth"] == sum(x[3] > 0 for x in pile[k])
+        assert all(set(s["gt"].replace(".", "0").split("/")) <= {str(i) for i in range(len(r["alt"]) + 1)} for s in r["samples"])
+    free = {(r["tid"], r["p"]): r for r in germline.call(view(spark, sf).filter(F.col("mapq") > 0)).collect()}
+    for k in set(free) & set(alts):
+        if set(free[k]["alt"]) <= set(alts[k]):  # what may be said is said alike
+            assert set(got[k]["alt"]) >= set(free[k]["alt"])
+
+
 def test_tags_of_germline_records(spark, sf, pile):
     got = {(r["tid"], r["p"]): r["line"].split("\t") for r in Q.QUERIES["germline_records"](spark, sf).collect()}
     calls = {(r["tid"], r["p"]): r for r in Q.QUERIES["germline_calls"](spark, sf).collect()}
