@@ -123,6 +123,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def give_back() -> None:
+    """Return what the driver's Python has freed to the system, after a model is fitted there."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

@@ -222,8 +222,8 @@ def _links(sets: DataFrame, percent: int, home: int) -> DataFrame | None:
         core = materialize(_core(active, percent), "core")
         if core.isEmpty():
             break
-        # what is far from all pivots is thin: its regions are wider
-        wide = max(home - 15 * level, 100 - percent + 5)
+        # what is far from all pivots is thin: its regions are as wide as pivots can still be found
+        wide = home if level == 0 else min(home, 100 - percent + 5)
         pivots = materialize(_chosen(core, materialize(_elected(core), "elected")), "pivots")
         close = materialize(_near(core, pivots, wide - (100 - percent)), "near")
         homes = materialize(_homes(close, wide), "homes")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, give_back
 from .tokens import SPACE, buffers, lists, slices, word_hashes
 
 #: words end at white space and at any other ASCII character that is no letter or digit
@@ -178,7 +178,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 5, f
     prior = min(0.9, max(0.005, pos / n))
     p = [w for w, v in zip(words, y, strict=True) if v == 1]
     u = [w for w, v in zip(words, y, strict=True) if v == 0]
-    return fit(p, u, prior)
+    model = fit(p, u, prior)
+    del got, y, words, p, u
+    give_back()
+    return model
 
 
 def _score(model: Model):
