@@ -34,12 +34,12 @@ def _power(n: int) -> np.ndarray:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; nulls are empty."""
-    if column.null_count:
-        column = column.fill_null("")
+    """(bytes, offsets) of a string column; nulls are empty. The bytes are copied only if a null has some."""
     column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+    if column.null_count and np.diff(off)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return buffers(column.fill_null(""))
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), off
 
 

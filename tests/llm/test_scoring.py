@@ -20,6 +20,18 @@ def test_encoder_gives_the_ids_of_tokenizers():
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_string_buffers_with_nulls_and_slices():
+    import pyarrow as pa
+
+    from strandflow.llm import tokens
+
+    plain = pa.array(["ab", None, "", "céd", None])
+    hidden = pa.Array.from_buffers(pa.string(), 3, [pa.py_buffer(bytes([0b101])), pa.py_buffer(np.array([0, 2, 5, 6], np.int32).tobytes()), pa.py_buffer(b"abXXXc")])
+    for column, want in ((plain, ["ab", "", "", "céd", ""]), (plain.slice(1, 3), ["", "", "céd"]), (hidden, ["ab", "", "c"]), (pa.array([None, None], pa.string()), ["", ""]), (pa.array([], pa.string()), [])):
+        data, off = tokens.buffers(column)
+        assert [bytes(data[a:b]).decode() for a, b in zip(off, off[1:])] == want
+
+
 def test_lower_bound_and_best_fit_decreasing():
     rng = np.random.default_rng(3)
     for _ in range(50):
