@@ -128,11 +128,20 @@ def _chosen(core: DataFrame, ids: DataFrame) -> DataFrame:
     return may_be_in(core, F.col("doc_id"), bit_filter(ids, F.col("doc_id"), bits), bits).join(ids, "doc_id", "left_semi")
 
 
+def _whole(pivots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pivots with their whole sets: what a pivot alone holds, all differ from it by, and so have in common."""
+    full = _chosen(sets, pivots.select("doc_id")).dropDuplicates(["doc_id"])
+    return pivots.join(full.select("doc_id", F.array_distinct("members").alias("whole")), "doc_id")
+
+
 def _near(core: DataFrame, pivots: DataFrame, near: int) -> DataFrame:
-    """(doc_id, q, n, nq, i, diff): every pivot of at least ``near`` per cent similarity, with the shared shingles that differ."""
+    """(doc_id, q, n, nq, i, diff): every pivot of at least ``near`` per cent similarity, with the shingles that differ.
+
+    diff has all of the pivot's that the document lacks, and the document's that others hold too.
+    """
     own = _heads(pivots, near).select("token", F.col("doc_id").alias("q"), F.col("n").alias("nq"))
     pairs = _heads(core, near).join(own, "token").filter(_sizes_fit("n", "nq", near)).select("doc_id", "q").distinct()
-    both = pairs.join(pivots.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("members").alias("p")), "q").join(core.select("doc_id", "n", F.col("members").alias("x")), "doc_id")
+    both = pairs.join(pivots.select(F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("whole").alias("p")), "q").join(core.select("doc_id", "n", F.col("members").alias("x")), "doc_id")
     out = both.withColumn("only", F.array_except("x", "p")).withColumn("i", (F.size("x") - F.size("only")).cast("long"))
     return out.filter(_at_least(near)).select("doc_id", "q", "n", "nq", "i", F.concat("only", F.array_except("p", "x")).alias("diff"))
 
@@ -224,7 +233,7 @@ def _links(sets: DataFrame, percent: int, home: int) -> DataFrame | None:
             break
         # what is far from all pivots is thin: its regions are as wide as pivots can still be found
         wide = home if level == 0 else min(home, 100 - percent + 5)
-        pivots = materialize(_chosen(core, materialize(_elected(core), "elected")), "pivots")
+        pivots = materialize(_whole(_chosen(core, materialize(_elected(core), "elected")), sets), "pivots")
         close = materialize(_near(core, pivots, wide - (100 - percent)), "near")
         homes = materialize(_homes(close, wide), "homes")
         here = materialize(_regions(close, homes, percent), "regions")

@@ -320,6 +320,22 @@ def test_vectors_that_do_not_cluster_are_shuffled_once(spark):
     assert got == {i: (int(i < 500 or i >= 2500), i - 2500 if i >= 2500 else i) for i in range(3000)}
 
 
+def test_links_of_a_group_whose_pivot_has_shingles_of_its_own(spark):
+    rng, rows = random.Random(8), []
+    for g in range(50):
+        n = rng.choice([40, 80, 160])
+        base = [f"g{g}w{i}" for i in range(n)]
+        for c in range(rng.choice([6, 12, 25])):
+            own = [f"g{g}c{c}t{i}" for i in range(rng.randrange(max(2, n // 7)))]
+            rows.append((len(rows), " ".join(base[: n - rng.randrange(max(2, n // 12))] + own)))
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    group = [int(t[1 : t.index("w")]) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if group[a] == group[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), words=4, percent=85)
+    got = {r["doc_id"]: r["component_id"] for r in out.collect()}
+    assert [got[i] for i in range(len(rows))] == components(len(rows), links)
+
+
 def test_components_of_a_long_path(spark):
     from strandflow.llm.components import connected_components
 
