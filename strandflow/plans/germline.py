@@ -249,13 +249,21 @@ def _bias(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def with_tags(calls: DataFrame, pile: DataFrame, cfg: GermlineConfig | None = None) -> DataFrame:
     """Called sites with their bias tests, the share of mapping quality 0, segregation, inbreeding and heterozygote bias.
 
-    Only the pile of called sites is counted.
+    Only the pile of called sites is counted. Its rows meet up to 100,000 sites by broadcast, more by a
+    broadcast bit filter that lets a few others pass; the pile is never shuffled, its counts are.
+    Calls are written to the shared folder first.
     """
+    from ..llm.common import bit_filter, filter_bits, materialize, may_be_in
     from ..operators import bias
 
     cfg = cfg or GermlineConfig()
-    own = pile.join(calls.select("tid", "p"), ["tid", "p"], "left_semi")
-    h = histograms(own, cfg).groupBy("tid", "p", "kind", "side", "bin").agg(F.sum("n").alias("n"))
+    calls = materialize(calls, "calls")
+    site, n = F.struct(F.col("tid"), F.col("p")), calls.count()
+    if n <= 100_000:
+        own = pile.join(F.broadcast(calls.select("tid", "p")), ["tid", "p"], "left_semi")
+    else:
+        own = may_be_in(pile, site, bit_filter(calls, site, filter_bits(n)), filter_bits(n))
+    h = histograms(own.withColumn("sample", F.lit("")), cfg).groupBy("tid", "p", "kind", "side", "bin").agg(F.sum("n").alias("n"))
     tests = h.groupBy("tid", "p").agg(F.collect_list(F.struct("kind", "side", "bin", "n")).alias("h")).mapInPandas(_bias, _tests())
     bases = own.filter(~F.col("is_del"))
     used = F.col("quality") >= cfg.min_baseq

@@ -162,6 +162,23 @@ def test_tags_of_germline_records(spark, sf, pile):
         assert info["DP4"] == ",".join(str(sum((r[0] != r[1]) == d and r[4] == s for r in good)) for d in (False, True) for s in (False, True))
 
 
+def test_tags_of_germline_records_do_not_shuffle_the_pile(spark, sf):
+    def written(query):
+        bus, store = (spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore())
+        bus.waitUntilEmpty(30_000)
+        before = store.executorList(False).head().totalShuffleWrite()
+        assert Q.QUERIES[query](spark, sf).collect()
+        bus.waitUntilEmpty(30_000)
+        return store.executorList(False).head().totalShuffleWrite() - before
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for sites whose number isn't known
+    try:
+        assert written("germline_records") < written("germline_calls") + 500_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_levelled_reads_keep_their_limits(spark, sf):
     got = Q.QUERIES["levelling_downsample"](spark, sf).toPandas()
     reads = pd.read_parquet(f"{sf}/lineitem.parquet")
