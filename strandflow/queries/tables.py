@@ -85,8 +85,11 @@ def bed_anti_join(spark, sf):
 def range_join_cursor(spark, sf):
     pos = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
     v = V.table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).cast("int").alias("tid"), pos.alias("pos"), pos.alias("pos_to"))
-    hits = I.range_join(regions(spark, sf), v, ["tid"], "a", "b", "pos", "pos_to", width=64)
-    return hits.groupBy("tid", "a", "b").agg(F.count(F.lit(1)).alias("hits"), F.min("o_orderkey").alias("first_id"))
+    # regions and positions that repeat meet once, with their numbers
+    each = regions(spark, sf).groupBy("tid", "a", "b").agg(F.count(F.lit(1)).alias("times"))
+    at = v.groupBy("tid", "pos", "pos_to").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
+    hits = I.range_join(each, at, ["tid"], "a", "b", "pos", "pos_to", width=64)
+    return hits.groupBy("tid", "a", "b").agg(F.sum(F.col("times") * F.col("n")).alias("hits"), F.min("first_id").alias("first_id"))
 
 
 @query(W + " SELECT tid, count(*) AS n FROM reads WHERE suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 0) GROUP BY tid")

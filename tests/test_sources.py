@@ -112,3 +112,20 @@ def test_bam(spark, tmp_path):
     spark.dataSource.register(BamSource)
     rows = spark.read.format("strandflow_bam").load(str(tmp_path / "a.bam")).orderBy("pos").collect()
     assert len(rows) == 20 and rows[3]["qname"] == "r3" and rows[3]["cigar"] == "5M2D3M" and rows[3]["seq"] == "ACGTACGT" and rows[3]["stop"] == 12 and rows[3]["tags"] == {"RG": "x", "NM": "2", "ZZ": "s,1,-1"} and rows[3]["contig"] == "chr1" and rows[3]["qual"] == [30] * 8
+
+
+def test_repeated_regions_and_positions_are_counted_before_they_meet(spark, sf, tmp_path):
+    import duckdb
+
+    from strandflow import queries as Q
+
+    for t, key in (("part", "p_partkey"), ("orders", "o_orderkey")):
+        d = spark.read.parquet(f"{sf}/{t}.parquet")
+        d.crossJoin(spark.range(5)).withColumn(key, F.col(key) + F.col("id") * 7_000_000).drop("id").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = Q.QUERIES["range_join_cursor"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 3  # both sides and the pairs
+    duck = duckdb.connect()
+    for t in ("part", "orders"):
+        duck.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = [tuple(r) for r in duck.execute(Q.SQL["range_join_cursor"]).fetchall()]
+    assert sorted(tuple(r) for r in out.select("tid", "a", "b", "hits", "first_id").collect()) == sorted(want) and want
