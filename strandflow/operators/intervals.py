@@ -85,10 +85,11 @@ def range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], l_start:
     cond = [one[k] == narrow[k] for k in [*keys, "j_bin"]]
     cond = cond[0] if len(cond) == 1 else __import__("functools").reduce(lambda a, b: a & b, cond)
     out = one.join(narrow, cond & (one[l_start] <= narrow[r_stop]) & (narrow[r_start] <= one[l_stop]), how).select(*cols)
-    long_ = l.filter(~short & (F.col(l_start) <= F.col(l_stop))).withColumn("j_row", F.monotonically_increasing_id())
-    many = long_.withColumn("j_bin", bins(l_start, l_stop))
-    hits = many.join(narrow, [*keys, "j_bin"]).filter(hit).select("j_row").distinct()
-    return out.unionByName(long_.join(hits, "j_row", how).select(*cols))
+    long_ = l.filter(~short & (F.col(l_start) <= F.col(l_stop)))
+    own = list(dict.fromkeys([*keys, l_start, l_stop]))  # not row numbers, which may differ when rows are worked out again
+    many = long_.select(*own).distinct().withColumn("j_bin", bins(l_start, l_stop))
+    hits = many.join(narrow, [*keys, "j_bin"]).filter(hit).select(*own).distinct()
+    return out.unionByName(long_.join(hits, own, how).select(*cols))
 
 
 def first_match(left: DataFrame, marks: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
@@ -98,11 +99,14 @@ def first_match(left: DataFrame, marks: DataFrame, keys: Sequence[str], order: S
 
 
 def lookup_with_default(left: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, start: str, stop: str, value: str, default: Column) -> DataFrame:
-    """``value`` of the range that holds a position, the smallest start first, else the default."""
-    points = left.withColumn("l_row", F.monotonically_increasing_id()).withColumn("l_at", F.col(at))
-    hits = range_join(points.select("l_row", *keys, at, "l_at"), ranges.select(*keys, start, stop, value), keys, at, "l_at", start, stop)
-    best = hits.groupBy("l_row").agg(F.min_by(value, start).alias(value))
-    return points.join(best, "l_row", "left").withColumn(value, F.coalesce(F.col(value), default)).drop("l_row", "l_at")
+    """``value`` of the range that holds a position, the smallest start first, else the default.
+
+    Rows meet their range by keys and position: row numbers may differ when rows are worked out again.
+    """
+    points = left.select(*keys, at).distinct().withColumn("l_at", F.col(at))
+    hits = range_join(points, ranges.select(*keys, start, stop, value), keys, at, "l_at", start, stop)
+    best = hits.groupBy(*keys, at).agg(F.min_by(value, start).alias(value))
+    return left.join(best, [*keys, at], "left").select(*left.columns, F.coalesce(F.col(value), default).alias(value))
 
 
 def out_of_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
