@@ -303,7 +303,10 @@ def depth_cap(spark, sf):
 
 
 def _drained(spark, out, mode: str, name: str):
-    """The rows of a stream that has read all there is; its state goes to the shared folder."""
+    """The rows of a stream that has read all there is; its state goes to the shared folder.
+
+    Appended rows go there too, as Parquet files; only complete results, which are small, are held by the driver.
+    """
     import os
     import tempfile
 
@@ -313,9 +316,14 @@ def _drained(spark, out, mode: str, name: str):
             raise ValueError("a cluster needs spark.checkpoint.dir for the state of streams")
         base = tempfile.mkdtemp(prefix="strandflow-stream-")
     name = f"{name}_{os.getpid()}_{os.urandom(4).hex()}"
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    to = out.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True)
+    if mode != "append":
+        to.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-rows")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)  # a stream without files writes none
+    to.format("parquet").start(path.toString()).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path.toString())
 
 
 def _events(spark, sf):

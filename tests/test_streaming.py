@@ -35,3 +35,10 @@ def test_a_strict_writer_refuses_late_records(spark, tmp_path):
     with pytest.raises(Exception, match="out of order at a:3"):
         drained(rows, tmp_path, "refused")
     assert F is not None
+
+
+def test_rows_of_an_appending_stream_are_not_held_by_the_driver(spark, sf):
+    from strandflow import queries as Q
+
+    out = Q.QUERIES["stream_sorted_writer"](spark, sf)
+    assert out.inputFiles() and out.count() == spark.read.parquet(f"{sf}/events.parquet").count()
